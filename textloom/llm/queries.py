@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, urls
+from . import packing, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_packing": packing.op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
