@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, token_counts, urls
+from . import packing, secrets, simhash, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_packing": packing.op3_packing,
+    "op9_simhash": simhash.op9_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
