@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, token_counts, topk, urls
+from . import decontaminate, packing, quality, secrets, simhash, token_counts, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_packing": packing.op3_packing,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_simhash": simhash.op9_simhash,
