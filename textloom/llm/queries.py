@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, simhash, token_counts, topk, urls
+from . import decontaminate, packing, quality, secrets, simhash, token_counts, topk, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
+    "op7_revisits": warc.op7_revisits,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_revisits": warc.OP7_SQL,
     "op8_exact_topk": topk.OP8_SQL,
 }
