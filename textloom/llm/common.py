@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
             or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
         )
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path under the folder that all executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(
+        tempfile.gettempdir(), "textloom-checkpoints"
+    )
+    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read back; and where it lies."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, simhash, token_counts, topk, urls, warc
+from . import decontaminate, packing, pitman_yor, quality, secrets, simhash, token_counts, topk, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_packing": packing.op3_packing,
+    "op4_language_model": pitman_yor.op4_language_model,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_revisits": warc.op7_revisits,
