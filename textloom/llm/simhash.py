@@ -86,24 +86,28 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str, k: int, words: int = 1) -> list[int]:
-    """``words`` 64-bit fingerprint words; a bit is 1 if set in over half the hashes."""
+def fingerprint(text: str, k: int, words: int = 1, distinct: bool = False) -> list[int]:
+    """``words`` 64-bit fingerprint words; a bit is 1 if set in over half the hashes.
+
+    ``distinct`` counts equal shingles of a block of text (1 MB) once.
+    """
     counts, n = np.zeros((words, 64), dtype=np.int64), 0
     with np.errstate(over="ignore"):
         for h in shingle_hashes(text.encode("utf-8").lower(), k):
+            h = np.unique(h) if distinct else h
             n += len(h)
             for i in range(words):
                 counts[i] += bit_counts(remix(h, i) if i else h)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(doc_id, f0, f1, ...) per document. Row-local."""
     names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fingerprint(t.as_py(), k, words) for t in batch.column("text")]
+            rows = [fingerprint(t.as_py(), k, words, distinct) for t in batch.column("text")]
             cols = list(zip(*rows, strict=True)) if rows else [()] * words
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names]
