@@ -131,6 +131,7 @@ def _long_array(values: list[int]) -> str:
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links within ``distance`` bits that connect all that such links connect."""
     values = np.unique(values)
+    bits = values.view(np.uint64)  # a signed count would be that of the magnitude
     parent = list(range(len(values)))
 
     def top(i: int) -> int:
@@ -141,7 +142,7 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
     out = []
     for i in range(len(values) - 1):
-        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= distance)
+        near = np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= distance)
         for j in (near + i + 1).tolist():
             a, b = top(i), top(j)
             if a != b:
