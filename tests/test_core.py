@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import parts as P
+from textloom.functions import raw_input
 from textloom.functions import rules
 from textloom.operators import align, corpus, html_labels, infer, metrics, mining, quantize, spans, training
 from textloom.sources import files
@@ -353,3 +354,38 @@ def test_weights(spark):
     bits = spark.createDataFrame([(1,), (1,), (0,), (0,), (0,)], "m int")
     got = {r.bit: r.weight for r in metrics.auxiliary_weights(bits, "m", bits=2).collect()}
     assert got == {0: pytest.approx(math.sqrt(1.5)), 1: 1.0}
+
+
+def test_raw_tokens_and_segments(spark):
+    got = [r.value for r in raw_input.raw_tokens(docs(spark, "ab12 += é_x(';')\n--z")).orderBy("i").collect()]
+    assert got == ["ab", "12", "+=", "é_x", "(", "'", ";", "'", ")", "--", "z"]
+    text = "\n".join(["word " * 9] * 40 + [""] + ["word " * 9] * 60)
+    rows = raw_input.segments(docs(spark, text, "", None), least=100, most=200).orderBy("doc_id", "first").collect()
+    mine = [(r["first"], r["count"]) for r in rows if r.doc_id == 0]
+    assert [a + n for a, n in mine][:-1] == [a for a, _ in mine][1:] and sum(n for _, n in mine) == 900
+    assert all(n <= 200 for _, n in mine) and all(a % 9 == 0 for a, _ in mine)
+    assert [(r["first"], r["count"]) for r in rows if r.doc_id > 0] == [(0, 0), (0, 0)]
+    open_quote = "'" + " word" * 500
+    assert [n for _, n in raw_input.segment_cuts(open_quote.replace("'", "' ").split(), [" "] * 501, 100, 200)] == [200, 200, 101]
+
+
+def test_profile_and_lite_hashes(spark):
+    p = raw_input.document_profiles(docs(spark, "f(a)[b] // <>\n  x", "", None)).orderBy("doc_id").collect()
+    assert p[0].brackets == 3 and p[0].pairs == 3 and p[0].sigils == 0
+    assert (p[1].brackets, p[1].sketch, p[2].sketch) == (0, 0, 0)
+
+    def low(word, start, factor, keep):
+        h = start
+        for c in word:
+            h = ((h ^ ord(c)) * factor) & 0xFFFFFFFF
+        return (h ^ h >> 16) & keep
+
+    got = docs(spark, "Foo_1").select(raw_input.lite_hashes(F.col("text")).alias("h")).first().h
+    assert tuple(got) == (low("Foo_1", 2166136261, 16777619, 511), low("Foo_1", 0x9E3779B9, 2246822519, 127))
+
+
+def test_agreement(spark):
+    rows = "doc_id long, i int, class string"
+    a = spark.createDataFrame([(0, 0, "plain"), (0, 1, "string"), (1, 0, "plain")], rows)
+    b = spark.createDataFrame([(0, 0, "plain"), (0, 1, "number")], rows)
+    assert {r.doc_id: (r.correct, r.total, r.value) for r in metrics.agreement(a, b).collect()} == {0: (1, 2, 0.5), 1: (1, 1, 1.0)}

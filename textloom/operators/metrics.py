@@ -125,3 +125,12 @@ def guard_decisions(candidate: DataFrame, baseline: DataFrame, *, min_support: i
         .when(delta > tolerance, "regression")
     )
     return rows.select("family", "metric", F.coalesce("n", F.lit(0)).alias("support"), delta.alias("delta"), tolerance.alias("tolerance"), F.coalesce(reason, F.lit("passed")).alias("decision"))
+
+
+def agreement(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(doc_id, correct, total, value) over two aligned sets of (doc_id, i, class); nothing to compare is agreement."""
+    r = reference.select("doc_id", "i", F.col("class").alias("expected"))
+    c = candidate.select("doc_id", "i", F.col("class").alias("actual"))
+    hits = F.count_if(F.col("expected") == F.coalesce("actual", F.lit("plain")))
+    n = r.join(c, ["doc_id", "i"], "left").groupBy("doc_id").agg(hits.alias("correct"), F.count("*").alias("total"))
+    return n.select("doc_id", "correct", "total", F.when(F.col("total") == 0, 1.0).otherwise(F.col("correct") / F.col("total")).alias("value"))

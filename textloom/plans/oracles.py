@@ -162,6 +162,48 @@ SCOPE_SQL = (
     + f"], lambda x: x IS NOT NULL))) > 1 THEN 0.5 WHEN {some(r'(?:^|\.)(?:unknown|unparsed|illegal)(?:\.|$)')} THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM d"
 )
 
+def wide(start: int, factor: int) -> str:
+    """A 32-bit rolling hash over the normalised characters of a word."""
+    chars = "list_transform(string_split(value, ''), lambda ch: CASE WHEN unicode(ch) > 127 THEN 95 ELSE unicode(ch) END::BIGINT)"
+    return f"list_reduce(list_prepend({start}::BIGINT, {chars}), lambda h, c: CAST((xor(h, c)::HUGEINT * {factor}) % 4294967296 AS BIGINT))"
+
+
+def voted(name: str, size: int) -> str:
+    """Each part's class by windows of ``size`` units that tile the text."""
+    return f"""{name}_n AS (SELECT doc_id, i, start, stop, unnest(range(start // {size}, (stop - 1) // {size} + 1)) AS k FROM s),
+{name}_v AS (SELECT doc_id, i, {CLASS_LIST}[(k * {size} // 50) % 9 + 1] AS class, min(k) AS k, sum(least(stop, k * {size} + {size}) - greatest(start, k * {size})) AS w FROM {name}_n GROUP BY doc_id, i, 3),
+{name} AS (SELECT doc_id, i, class FROM {name}_v QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY w DESC, k) = 1)"""
+
+
+RAW_TOKENS = r"[A-Za-z_\x{80}-\x{10FFFF}]+|[0-9]+|[-+*/%=!<>&|^~#$\\]+|[^\t-\r A-Za-z_\x{80}-\x{10FFFF}0-9+*/%=!<>&|^~#$\\-]"
+
+
+def counted(chars: str) -> str:
+    return f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+
+
+def bucket(n: str) -> str:
+    return f"CASE WHEN {n} = 0 THEN 0 WHEN {n} * 64 < w THEN 1 WHEN {n} * 64 < w * 3 THEN 2 ELSE 3 END"
+
+
+BYTES = "list_transform(range(1, strlen(value) + 1), lambda k: CAST('0x' || substr(hex(value), CAST(2 * k - 1 AS INTEGER), 2) AS BIGINT))"
+PROFILE = (
+    "WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\t-\\r ]+$', '') AS t FROM documents), "
+    "pr AS (SELECT doc_id, " + " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(t, '{x}+'), lambda r: length(r) - 1)), 0)" for x in ("/", "-", ":", "\\{"))
+    + " + " + " + ".join(f"len(regexp_extract_all(t, '{x}'))" for x in ("/\\*", "=>", "</")) + " AS pairs, len(regexp_extract_all(t, '\\n[ \\t]')) AS indents FROM b), "
+    "c AS (SELECT b.doc_id, greatest(1, length(t)) AS w, " + counted("()\\[\\]{}") + " AS brackets, " + counted("<>") + " AS angles, " + counted(";:,.") + " AS separators, "
+    + counted("''\"`") + " AS quotes, " + counted("#$@") + " AS sigils, " + counted("\\\\") + " + 2 * coalesce(pairs, 0) AS pairs, "
+    + counted("\\n") + " + coalesce(indents, 0) AS layout, " + counted("0-9A-Za-z_") + " AS identifiers FROM b LEFT JOIN pr ON b.doc_id = pr.doc_id), "
+    f"tk AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), {q(RAW_TOKENS)}, 0)) AS value FROM documents), "
+    "wt AS (SELECT doc_id, value FROM tk WHERE regexp_matches(value, '^[A-Za-z_]')), "
+    f"dh AS (SELECT value, list_reduce(list_prepend(2166136261::BIGINT, {BYTES}), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM (SELECT DISTINCT value FROM wt)), "
+    "h AS (SELECT doc_id, h FROM wt JOIN dh ON wt.value = dh.value), "
+    "v AS (SELECT doc_id, " + ", ".join(f"sum(CASE WHEN (h >> {4 * k}) & 1 = 1 THEN 1 ELSE -1 END) AS v{k}" for k in range(8)) + " FROM h GROUP BY doc_id) "
+    "SELECT c.doc_id, " + ", ".join(f"{bucket(n)} AS {n}" for n in ("brackets", "angles", "separators", "quotes", "sigils", "pairs", "layout"))
+    + ", CASE WHEN identifiers * 20 < w * 7 THEN 0 WHEN identifiers * 20 < w * 11 THEN 1 WHEN identifiers * 25 < w * 18 THEN 2 ELSE 3 END AS identifiers, "
+    + "CAST(" + " + ".join(f"CASE WHEN coalesce(v{k}, 0) > 0 THEN {1 << k} ELSE 0 END" for k in range(8)) + " AS INTEGER) AS sketch FROM c LEFT JOIN v ON c.doc_id = v.doc_id"
+)
+
 CLASS_LIST = "[" + ", ".join(map(q, rules.CLASSES)) + "]"
 
 ORACLE_SQL = {
@@ -270,4 +312,14 @@ SELECT vec_id, round(scale, 12) AS scale, array_to_string(list_transform(v, lamb
     "texts_in_several_sources": f"SELECT min(doc_id) AS doc_id, count(DISTINCT source) AS n_sources FROM documents GROUP BY {TRIM} HAVING count(DISTINCT source) > 1",
     "replay_factors": """WITH g AS (SELECT source, max(n_chars)::DOUBLE AS top, sum(n_chars)::DOUBLE AS mass, count(*) AS n FROM documents GROUP BY source), w AS (SELECT sum(top) AS tops, sum(n) AS docs FROM g)
 SELECT doc_id, round(docs * (top / tops) * (n_chars::DOUBLE / mass), 9) AS factor FROM documents d JOIN g ON d.source = g.source, w""",
+    "effective_support": f"""WITH {OBJECTIVE}, g AS (SELECT lang, sum(n_chars) AS n FROM documents GROUP BY lang)
+SELECT lang AS family, round(coalesce(weight, 0.1::DOUBLE) * sum(n) OVER () / n, 9) AS importance FROM g LEFT JOIN obj ON family = lang""",
+    "lite_word_hashes": f"""WITH {PARTS}, w AS (SELECT value, count(*) AS n FROM p WHERE kind = 0 GROUP BY value),
+h AS (SELECT value, n, {wide(2166136261, 16777619)} AS a, {wide(2654435769, 2246822519)} AS b FROM w)
+SELECT value, n, CAST(xor(a, a >> 16) & 511 AS INTEGER) AS hash9, CAST(xor(b, b >> 16) & 127 AS INTEGER) AS hash7 FROM h""",
+    "span_agreement": f"""WITH {OFFSETS}, s AS (SELECT * FROM o WHERE kind IN (0, 3)), e AS (SELECT doc_id, max(stop) AS fin FROM o GROUP BY doc_id),
+{voted('x', 7)}, {voted('y', 11)}
+SELECT s.doc_id, count(*) FILTER (x.class = y.class) AS correct, count(*) AS total, count(*) FILTER (x.class = y.class)::DOUBLE / count(*) AS value
+FROM s JOIN x ON s.doc_id = x.doc_id AND s.i = x.i JOIN y ON s.doc_id = y.doc_id AND s.i = y.i GROUP BY s.doc_id""",
+    "document_profile": PROFILE,
 }

@@ -17,7 +17,8 @@ from ..functions.parts import (
     part_features,
     with_offsets,
 )
-from ..operators import align, corpus, html_labels, metrics, quantize, spans
+from ..functions.raw_input import document_profiles, lite_hashes, segments
+from ..operators import align, corpus, html_labels, metrics, quantize, spans, training
 
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.3, "fr": 0.2, "it": 0.1}
 JUNK = r"[#$%&*]{3}|\||!!"
@@ -284,6 +285,43 @@ def page_text_spans(spark, sf):
     return s.groupBy("page_id", "class").agg(F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("units"))
 
 
+def document_profile(spark, sf):
+    return document_profiles(_table(spark, sf, "documents"))
+
+
+def token_segments(spark, sf):
+    return segments(_table(spark, sf, "documents"))
+
+
+def lite_word_hashes(spark, sf):
+    """Distinct words of all documents and the lite layout's hashes."""
+    w = explode_parts(_table(spark, sf, "documents")).where(F.col("kind") == WORD).groupBy("value").agg(F.count("*").alias("n"))
+    return w.select("value", "n", lite_hashes(F.col("value")).alias("h")).select("value", "n", "h.*")
+
+
+def span_agreement(spark, sf):
+    """Per document: share of solid parts on which labels of windows of 7 and of 11 units agree."""
+    p = with_offsets(explode_parts(_table(spark, sf, "documents")))
+    solid = p.where(F.col("kind").isin(WORD, SYMBOL))
+    ends = p.groupBy("doc_id").agg(F.max("stop").alias("end"))
+
+    def windows(size):
+        k = F.col("k")
+        return ends.select("doc_id", "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 1) / size))).alias("k")).select(
+            "doc_id", k.alias("seq"), (k * size).alias("from"), F.least(k * size + size, F.col("end")).alias("to"),
+            F.get(F.lit(list(rules.CLASSES)), (F.floor(k * size / 50) % 9).cast("int")).alias("class"), F.lit(1.0).alias("confidence"), F.lit(0).alias("auxiliary"),
+        )
+
+    return metrics.agreement(align.align_labels(windows(7), solid), align.align_labels(windows(11), solid))
+
+
+def effective_support(spark, sf):
+    """Families by weight: share of their files' units, importance and multiplier (one row per language)."""
+    g = _table(spark, sf, "documents").groupBy(F.col("lang").alias("family")).agg(F.sum("n_chars").cast("long").alias("count"))
+    j = g.join(F.broadcast(_objective(spark)), "family", "left").withColumn("weight", F.coalesce("weight", F.lit(0.1)))  # four rows
+    return training.family_importance(j).select("family", F.round("importance", 9).alias("importance"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -292,5 +330,6 @@ QUERIES = {
         structural_dedup, reserved_antijoin, round_robin_limit, balanced_take, objective_coverage, weighted_error,
         guard_decisions, corpus_summary, class_weights, auxiliary_weights, page_paths, syntax_constructs, scope_classes,
         quantized_embeddings, event_latest, texts_in_several_sources, replay_factors, page_text_spans,
+        document_profile, token_segments, lite_word_hashes, span_agreement, effective_support,
     )
 } | {"part_features": part_features_by_document}
