@@ -220,4 +220,6 @@ def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
 def clean_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keeps every document and masks its secrets; n_chars follows the text."""
     out = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
