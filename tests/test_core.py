@@ -389,3 +389,37 @@ def test_agreement(spark):
     a = spark.createDataFrame([(0, 0, "plain"), (0, 1, "string"), (1, 0, "plain")], rows)
     b = spark.createDataFrame([(0, 0, "plain"), (0, 1, "number")], rows)
     assert {r.doc_id: (r.correct, r.total, r.value) for r in metrics.agreement(a, b).collect()} == {0: (1, 2, 0.5), 1: (1, 1, 1.0)}
+
+
+def test_codecs():
+    from textloom.functions import codec
+
+    codes = np.array([-31, 0, 31, 16, -15])
+    packed = codec.pack_signed(codes, 6)
+    assert len(packed) == 4 and (codec.unpack_signed(packed, 6, 5) == codes).all()
+    assert (codec.unzigzag(codec.zigzag(codes)) == codes).all()
+    assert codec.half_to_float(np.array([0x3C00, 0x0001]))[0] == 1.0
+    import base64
+
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~"
+    assert codec.decode_base85(base64.b85encode(b"hello, codec").decode(), alphabet) == b"hello, codec"
+
+
+def test_token_labels_and_engines(spark):
+    kind = "doc_id long, offset long, content string, explanation array<struct<content:string,scopes:array<string>>>"
+    rows = [(0, 0, "a=1", [("a", ["source.x"]), ("=", ["keyword.operator.x"]), ("1", ["constant.numeric.x"])]), (0, 4, "zz", [("z", ["x"])])]
+    t = spark.createDataFrame(rows, kind)
+    got = align.labels_of_tokens(t.where("offset = 0")).orderBy("from").collect()
+    assert [(r["from"], r.to, r["class"]) for r in got] == [(0, 1, "plain"), (1, 2, "operator"), (2, 3, "number")]
+    assert [r.offset for r in align.malformed_tokens(t, docs(spark, "a=1 zz")).collect()] == [4]
+    counts = spark.createDataFrame([("e", "a", 10, 9, True), ("e", "b", 10, 5, True), ("f", "a", 10, 10, True), ("f", "b", 10, 10, False)], "engine string, family string, support long, correct long, mapped boolean")
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "family string, weight double")
+    assert [(r.engine, r.agreement, r.coverage) for r in metrics.engine_agreement(counts, weights).collect()] == [("e", pytest.approx(0.7), 1.0), ("f", 0.5, 0.5)]
+    bands = spark.createDataFrame([(0.96,), (0.9,), (0.1,)], "a double").select(metrics.accuracy_band(F.col("a"))).collect()
+    assert [r[0] for r in bands] == ["95+", "90+", "below"]
+
+
+def test_replay_mix_and_partition():
+    mixed = training.mix_replay([("b", 50), ("c", 50)], [("h", 30), ("i", 30)], 0.25)
+    assert sum(n for k, n in mixed if k in "hi") == 33 and [k for k, _ in mixed if k in "bc"] == ["b", "c"]
+    assert training.balanced_partition([("a", 5), ("b", 4), ("c", 3)], 2) == [["a"], ["b", "c"]]

@@ -80,3 +80,31 @@ def rasterize(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("to") > F.col("from")).select(
         "doc_id", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("offset"), "class"
     )
+
+
+def labels_of_tokens(tokens: DataFrame) -> DataFrame:
+    """Labels of (doc_id, offset, content, explanation ARRAY<STRUCT<content, scopes>>) token rows.
+
+    A token's explanation splits it; each piece's scopes give class, auxiliary bits and
+    confidence. Row-local.
+    """
+    from ..functions import rules
+    from ..functions.parts import units_of
+
+    sizes = F.transform("explanation", lambda e: units_of(e["content"]))
+    flat = tokens.select("doc_id", "offset", sizes.alias("sizes"), F.posexplode("explanation").alias("k", "e"))
+    start = F.col("offset") + F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.lit(0), lambda a, n: a + n)
+    flat = flat.select("doc_id", start.cast("long").alias("from"), (start + units_of(F.col("e.content"))).cast("long").alias("to"), F.col("e.scopes").alias("scopes"))
+    s = F.col("scopes")
+    return flat.where(F.col("to") > F.col("from")).select(
+        "doc_id", "from", "to", rules.class_of_scopes(s).alias("class"), rules.auxiliary_of_scopes(s).alias("auxiliary"), rules.confidence_of_scopes(s).alias("confidence")
+    )
+
+
+def malformed_tokens(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """Tokens whose explanation does not spell them, or that are not the text at their offset."""
+    spelled = F.array_join(F.transform("explanation", lambda e: e["content"]), "")
+    j = tokens.join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d"), "left")
+    there = F.substring(F.col("text"), F.col("offset").cast("int") + 1, F.char_length("content"))
+    good = (spelled == F.col("content")) & (there == F.col("content")) & (F.col("offset") >= 0)
+    return j.where(~F.coalesce(good, F.lit(False))).select(*tokens.columns)

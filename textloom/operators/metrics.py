@@ -134,3 +134,31 @@ def agreement(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     hits = F.count_if(F.col("expected") == F.coalesce("actual", F.lit("plain")))
     n = r.join(c, ["doc_id", "i"], "left").groupBy("doc_id").agg(hits.alias("correct"), F.count("*").alias("total"))
     return n.select("doc_id", "correct", "total", F.when(F.col("total") == 0, 1.0).otherwise(F.col("correct") / F.col("total")).alias("value"))
+
+
+def engine_agreement(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(engine, family, support, correct, mapped) and (family, weight) -> agreement and coverage per engine, best first.
+
+    A family that an engine does not map counts as wrong throughout.
+    """
+    j = weights.join(counts, "family")
+    hits = F.when(F.col("mapped"), F.col("correct")).otherwise(0)
+    share = lambda n: F.sum(F.col("weight") * ratio(n, F.col("support"))) / F.sum("weight")
+    covered = F.sum(F.when(F.col("mapped"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    return j.groupBy("engine").agg(share(hits).alias("agreement"), covered.alias("coverage")).orderBy(F.desc("agreement"), "engine")
+
+
+def accuracy_band(accuracy: Column, bounds: tuple[float, ...] = (0.95, 0.9, 0.8, 0.7)) -> Column:
+    """The band's lower bound, in percent; bands are half open."""
+    out = F.lit("below")
+    for b in sorted(bounds):
+        out = F.when(accuracy >= b, f"{b * 100:g}+").otherwise(out)
+    return out
+
+
+def median_of(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.median(value).alias("median"))
+
+
+def length_bands(units: Column) -> Column:
+    return F.when(units <= 64, "1-64").when(units <= 256, "65-256").when(units <= 1024, "257-1024").otherwise("1025+")
