@@ -277,9 +277,9 @@ def test_near_groups_at_a_similarity(spark, nothing):
     assert simhash_groups.near_groups(nothing).count() == 0
 
 
-def test_shortest_forest():
-    prints = np.array([[0], [1], [3], [255 << 8]], dtype=np.uint64)
-    assert sorted(simhash_groups.shortest_forest(prints, 2)) == [(0, 1), (1, 2)]
+def test_linked_forest():
+    prints = np.array([[0], [1], [3], [255 << 8], [15], [254 << 8]], dtype=np.uint64)
+    assert sorted(simhash_groups.linked_forest(prints, 2)) == [(0, 1), (0, 2), (2, 4), (3, 5)]
 
 
 # 8

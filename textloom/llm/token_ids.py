@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -22,7 +23,7 @@ DOUBLE = re.compile(r"\s\s")
 #: Outside these ranges Unicode versions may differ between libraries on what a letter is.
 RARE = re.compile("[^\x01-ɏ‐-‧€]")
 AFTER_OTHER = re.compile(r"[\W_][,.] ")
-MAX_UNITS = 500_000
+MAX_UNITS = 300_000
 
 
 def default_vocabulary() -> str:
@@ -43,7 +44,7 @@ class _Units(dict):
         if got is None:
             mark = unit[:1]
             asked = unit if mark == "\n" else unit[1:] if mark == "\x00" else f" {unit}"
-            got = np.array(self.encode(asked), dtype="<u4").tobytes()
+            got = array("I", self.encode(asked)).tobytes()
         if len(self) >= MAX_UNITS:
             self.older = dict(self)
             self.clear()
