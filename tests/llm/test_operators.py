@@ -277,6 +277,39 @@ def test_near_groups_at_a_similarity(spark, nothing):
     assert simhash_groups.near_groups(nothing).count() == 0
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def brute_groups(rows, similarity=0.8):
+    sets, top = [shingle_set(t) for _, t in rows], [i for i, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if x == old else x for x in top]
+    return {i: x for (i, _), x in zip(rows, top)}
+
+
+def test_near_groups_compare_all_of_long_lists(spark):
+    fresh, words, rows = iter(f"new{k}" for k in range(10**6)), prose(300, 71).split(), []
+    for i in range(60):  # each text has ten more new words in a row than the one before: a chain
+        rows.append((i, " ".join(words)))
+        at = i * 10 % 300
+        words = words[:at] + [next(fresh) for _ in range(10)] + words[at + 10 :]
+    want = brute_groups(rows)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash_groups.near_groups(df, max_list=3).collect()} == want
+    members = spark.range(20).selectExpr("id AS node", "id % 2 AS key", "10L AS n")
+    groups = {}
+    for r in simhash_groups.dealt(members, 3).collect():
+        groups.setdefault((r.key, r.i, r.j), set()).add(r.node)
+    for a in range(20):
+        assert all(any({a, b} <= g for g in groups.values()) for b in range(a % 2, a, 2))
+
+
 def test_linked_forest():
     prints = np.array([[0], [1], [3], [255 << 8], [15], [254 << 8]], dtype=np.uint64)
     assert sorted(simhash_groups.linked_forest(prints, 2)) == [(0, 1), (0, 2), (2, 4), (3, 5)]
