@@ -294,7 +294,7 @@ def brute_groups(rows, similarity=0.8):
 
 def test_near_groups_compare_all_of_long_lists(spark):
     fresh, words, rows = iter(f"new{k}" for k in range(10**6)), prose(300, 71).split(), []
-    for i in range(60):  # each text has ten more new words in a row than the one before: a chain
+    for i in range(14):  # each text has ten more new words in a row than the one before: a chain
         rows.append((i, " ".join(words)))
         at = i * 10 % 300
         words = words[:at] + [next(fresh) for _ in range(10)] + words[at + 10 :]
@@ -310,6 +310,25 @@ def test_near_groups_compare_all_of_long_lists(spark):
         assert all(any({a, b} <= g for g in groups.values()) for b in range(a % 2, a, 2))
 
 
+def test_near_groups_equal_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for family in range(3):  # mostly one template: similarities on both sides of 0.8, lists of all of a family
+        template = prose(200, 300 + family).split()
+        for c in range(24):
+            own = prose(rng.choice([20, 34, 50]), 1000 * family + c // 2).split()
+            words = template + own
+            for p in rng.sample(range(len(words)), rng.choice([0, 1, 2, 5, 8])):
+                words[p] = f"sub{c}x{p}"
+            rows.append((100 * family + c, " ".join(words)))
+    for n in range(4, 16):  # short texts that differ in the last word only
+        rows += [(1000 + 10 * n + c, f"{prose(n - 1, 500 + n)} last{c}") for c in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert len(rows) > len(set(want.values())) > 3
+    for longest in (3, 1024):
+        assert {r.doc_id: r.group_id for r in simhash_groups.near_groups(df, max_list=longest).collect()} == want
+
+
 def test_linked_forest():
     prints = np.array([[0], [1], [3], [255 << 8], [15], [254 << 8]], dtype=np.uint64)
     assert sorted(simhash_groups.linked_forest(prints, 2)) == [(0, 1), (0, 2), (2, 4), (3, 5)]
