@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -425,6 +426,23 @@ def test_decontamination(spark, nothing):
     assert decontaminate.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_overlap_of_the_share():
+    rng = random.Random(9)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20, 25, 31, 40)}
+    index = decontaminate.SeedIndex([(n, words) for n, words in items.items()])
+    for n, words in items.items():
+        spare = n - math.ceil(0.8 * n - 1e-9)
+        sets = list(itertools.combinations(range(n), spare))
+        for gone in sets if len(sets) < 500 else rng.sample(sets, 300):
+            text = " ".join(["before"] * 4 + [f"sub{k}" if k in gone else w for k, w in enumerate(words)] + ["after"] * 4)
+            found = index.search([index.words(text)])
+            assert [index.names[x[1]] for x in found] == [n], (n, gone)
+            assert found[0][3] >= min(13, n) and found[0][4] >= 0.8 * found[0][3], (n, gone)
+        if n < 13:  # one substitution more is too many
+            text = " ".join(f"sub{k}" if k <= spare else w for k, w in enumerate(words))
+            assert index.search([index.words(text)]) == []
+
+
 # 1
 
 

@@ -2,10 +2,15 @@
 
 A mask is a string of 1s and 0s over successive words; the words at its 1s are hashed, so
 a match of training and benchmark hashes survives substitutions at its 0s. Every hit
-fixes an item and an alignment. Along it, the stretch with the best balance of equal
-words against two for each unequal one is the overlap; it is reported if it covers
+fixes an item and an alignment. Along it, a stretch is an overlap if it covers
 ``min_words`` words (or the whole item, if that is shorter) and ``min_share`` of them are
-equal. Items of fewer words than the longest mask are hashed whole; items of fewer than
+equal. The stretch with the best balance of equal words against two for each unequal one
+is reported if it is one, else the longest that is.
+
+At the default lengths and shares every overlap has a seed: wherever 2 of 13, 3 of 15, 4 of
+20 or 5 of 25 words are substituted, one of ``MASKS`` meets only equal words, and longer
+overlaps have such a part. Items of fewer than ``min_words`` words have masks of their own
+length, of which any allowed number of substitutions leaves one intact; items of fewer than
 ``least_item`` words say too little and are not searched for.
 
 Benchmarks are scanned in blocks of about ``max_block`` words, and documents are read once
@@ -19,10 +24,11 @@ items are reported each on its own; an empty benchmark gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +38,27 @@ from pyspark.sql import functions as F
 from .common import texts
 
 WORDS = re.compile(r"\w+")
-MASKS = ("110110111", "1101011011", "1110010111")
+MASKS = ("110110111", "1101011011", "1110010111", "111011", "1001000111")
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, n_equal long, item_words long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 BITS = 20
 
 
+def short_masks(n: int, min_share: float) -> list[str]:
+    """Masks over all ``n`` words: two blocks more than words may differ, less any as many blocks as may."""
+    spare = n - math.ceil(min_share * n - 1e-9)
+    blocks = min(n, spare + 2)
+    of = [k * blocks // n for k in range(n)]
+    return ["".join("0" if b in gone else "1" for b in of) for gone in combinations(range(blocks), spare)]
+
+
 class SeedIndex:
     """The hash tables of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, list[str]]], masks=MASKS, least_item: int = 5, min_words: int = 13, min_share: float = 0.8):
         self.vocab: dict[str, int] = {}
         self.min_words, self.min_share = min_words, min_share
-        longest = max(map(len, masks))
+        longest = max(min_words, *map(len, masks))
         rng = np.random.default_rng(11)
         self.factors = rng.integers(0, 2**63, longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.names: list[int] = []
@@ -54,7 +68,7 @@ class SeedIndex:
             if len(words) < least_item:
                 continue
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.uint64)
-            for m in masks if len(words) >= longest else ("1" * len(words),):
+            for m in masks if len(words) >= longest else short_masks(len(words), min_share):
                 seeds.setdefault(m, []).append((self.hashes(ids, m), len(self.items)))
             self.names.append(name)
             self.items.append(ids)
@@ -112,13 +126,24 @@ class SeedIndex:
         if b <= a:
             return None
         same = doc[a + shift : b + shift] == item[a:b]
+        least = min(self.min_words, len(item))
+        if len(same) < least or same.sum() < self.min_share * least - 1e-9:
+            return None
         sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
         gain = sums - np.minimum.accumulate(sums)
         end = int(np.argmax(gain))
         start = int(np.argmin(sums[: end + 1]))
         n, equal = end - start, int(same[start:end].sum())
-        if n < min(self.min_words, len(item)) or equal < self.min_share * n:
-            return None
+        if n < least or equal < self.min_share * n - 1e-9:
+            # The longest stretch with the share: from each start, the last end with no lower balance.
+            sums = np.concatenate([[0], np.cumsum(same - self.min_share)])
+            ahead = np.maximum.accumulate(sums[::-1])
+            ends = len(sums) - 1 - np.searchsorted(ahead, sums - 1e-9)
+            start = int(np.argmax(ends - np.arange(len(sums))))
+            n = int(ends[start]) - start
+            if n < least:
+                return None
+            equal = int(same[start : start + n].sum())
         return a + start + shift, n, equal
 
 
