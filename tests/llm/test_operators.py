@@ -156,6 +156,18 @@ def test_structural_confirmation():
     assert secrets.is_openssh_key(ssh) and not secrets.is_openssh_key(ssh + b"x")
 
 
+def test_pem_with_headers_and_escapes():
+    key = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))  # PKCS#8, Ed25519
+    body = base64.b64encode(key).decode()
+    plain = f"-----BEGIN PRIVATE KEY-----\n{body[:40]}\n{body[40:]}\n-----END PRIVATE KEY-----\n"
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + base64.b64encode(bytes(range(90))).decode() + "\n-----END RSA PRIVATE KEY-----"
+    for text in (plain, sealed, json.dumps({"private_key": plain})):
+        assert 3 in [k for _, k, _ in secrets.find_spans(text)] and "[SECRET]" in secrets.redact(text) and body[:20] not in secrets.redact(text)
+    for text in (sealed.replace("Proc-Type: 4,ENCRYPTED\n", ""), plain.replace(body[:4], "a:b\n"), sealed.replace("=", "!").replace("AAEC", "A!EC")):
+        assert 3 not in [k for _, k, _ in secrets.find_spans(text)]
+
+
+
 def brute_base(text):
     import re
 

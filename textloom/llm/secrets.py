@@ -41,7 +41,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----((?:[^-]|-(?!----))*+)-----END \1PRIVATE KEY-----")
 JWT = re.compile(
     r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
 )
@@ -126,6 +126,15 @@ def _from_base64(s: str) -> bytes | None:
         return None
 
 
+def _is_pem(label: str, body: str) -> bool:
+    """Also with header lines, whose encrypted bodies are not parsed, and with escapes of a string."""
+    lines = re.sub(r"\\+[nr]", "\n", body).replace("\\/", "/").splitlines()
+    heads = [x for x in lines if ":" in x]
+    data = _from_base64("".join("".join(x for x in lines if ":" not in x).split()))
+    sealed = any(x.strip().startswith("Proc-Type:") and "ENCRYPTED" in x for x in heads) and any(x.strip().startswith("DEK-Info:") for x in heads)
+    return bool(data) and (sealed or "ENCRYPTED" in label or _is_key(data))
+
+
 def _is_jwt(token: str) -> bool:
     head = _from_base64(token.split(".", 1)[0])
     try:
@@ -146,8 +155,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = _from_base64("".join(m[2].split()))
-            if body and (_is_key(body) or "ENCRYPTED" in m[1]):
+            if _is_pem(m[1], m[2]):
                 out.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in JWT.finditer(text) if _is_jwt(m[0])]
