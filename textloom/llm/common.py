@@ -7,9 +7,12 @@ called, never clash. A null text counts as the empty text; a null id stays null.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,27 +30,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder of the session.
+def _local(sc) -> bool:
+    return sc.master.split("[")[0] == "local"
+
+
+def _base(sc) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not _local(sc):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
+    return base.rstrip("/")
+
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir")
-            or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
-        )
+        sc.setCheckpointDir(_base(sc))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(
-        tempfile.gettempdir(), "textloom-checkpoints"
-    )
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    return f"{_base(spark.sparkContext)}/textloom-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
@@ -60,3 +67,24 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
 def discard(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def batches_of(spark: SparkSession, n_bytes: int = 8 << 20) -> Iterator[None]:
+    """Within, Arrow batches hold about ``n_bytes`` at most, however large their rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
