@@ -32,17 +32,6 @@ AWKWARD = [
 ]
 
 
-@pytest.fixture(scope="module")
-def awkward(spark):
-    rows = [(i, t, "TEXT column", "x", 3, "f0") for i, t in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, fp string, key string, n_tokens int, node string")
-
-
-@pytest.fixture(scope="module")
-def nothing(spark):
-    return spark.createDataFrame([], "doc_id long, text string")
-
-
 def ids_of(texts):
     from tokenizers import Tokenizer
 
@@ -295,7 +284,7 @@ def shingle_set(text, k=5):
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
-def brute_groups(rows, similarity=0.8):
+def brute_similar_groups(rows, similarity=0.8):
     sets, top = [shingle_set(t) for _, t in rows], [i for i, _ in rows]
     for a in range(len(rows)):
         for b in range(a):
@@ -311,7 +300,7 @@ def test_near_groups_compare_all_of_long_lists(spark):
         rows.append((i, " ".join(words)))
         at = i * 10 % 300
         words = words[:at] + [next(fresh) for _ in range(10)] + words[at + 10 :]
-    want = brute_groups(rows)
+    want = brute_similar_groups(rows)
     assert set(want.values()) == {0}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in simhash_groups.near_groups(df, max_list=3).collect()} == want
@@ -336,7 +325,7 @@ def test_near_groups_equal_brute_force(spark):
     for n in range(4, 16):  # short texts that differ in the last word only
         rows += [(1000 + 10 * n + c, f"{prose(n - 1, 500 + n)} last{c}") for c in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_groups(rows)
+    want = brute_similar_groups(rows)
     assert len(rows) > len(set(want.values())) > 3
     for longest in (3, 1024):
         assert {r.doc_id: r.group_id for r in simhash_groups.near_groups(df, max_list=longest).collect()} == want
@@ -535,62 +524,3 @@ def test_revisits_at_random_by_brute_force(spark):
 
 
 # 4
-
-
-def chain(n, seed):
-    """Words that depend on the word before."""
-    rng, at, out = random.Random(seed), 0, []
-    for _ in range(n):
-        at = (7 * at + rng.choice((1, 2))) % len(WORDS)
-        out.append(WORDS[at])
-    return " ".join(out)
-
-
-def test_language_model(spark, awkward, nothing):
-    rows = [(i, chain(80, i)) for i in range(120)] + [(None, None), (500, ""), (501, "unseen words"), (7, "alpha")]
-    df = common.texts(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, score int"))
-    model = pitman_yor.train(df, contexts=8)
-    for hot in (4, 1 << 16):
-        got = pitman_yor.score(df, model, hot_tokens=hot).collect()
-        assert len(got) == len(rows)
-        seen = Counter()
-        held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
-        for i, t in rows:
-            if not held(i):
-                seen.update([*(t or "").lower().split(), None])
-        n, v = sum(seen.values()), len(seen)
-        texts = defaultdict(list)
-        for i, t in rows:
-            texts[i].append([*(t or "").lower().split(), None])
-        for r in got:
-            options = [(len(w), sum(seen[x] > 0 for x in w), sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w)) for w in texts[r.doc_id]]
-            assert r.held_out == held(r.doc_id) and r.train_tokens == n
-            assert any(r.n_tokens == a and r.n_known == b and r.base_score == pytest.approx(c) for a, b, c in options)
-        held_out = [r for r in got if r.held_out and r.n_tokens > 20]
-        assert sum(r.score for r in held_out) >= sum(r.base_score for r in held_out)
-    assert pitman_yor.score(nothing, pitman_yor.train(nothing)).count() == 0
-    wide = common.texts(awkward)
-    assert pitman_yor.score(wide, pitman_yor.train(wide, contexts=4)).count() == len(AWKWARD)
-
-
-def test_predictive_probabilities_sum_to_one(spark):
-    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=60))) for i in range(40)]
-    model = pitman_yor.train(common.texts(spark.createDataFrame(rows, "doc_id long, text string")), contexts=4)
-    kept = model.rows.collect()
-    s = len(model.spares)
-    for context in range(4):
-        total = 0.0
-        for r in kept:
-            if context in r.contexts:
-                total += r.chances[r.contexts.index(context)] / s
-            else:
-                total += sum(model.spares[k][0][context] * r.parent_chances[k] for k in range(s)) / s
-        total += sum(spare[context] * up * model.totals.base() for spare, up in model.spares) / s
-        assert total == pytest.approx(1.0)
-
-
-def test_seating_is_within_bounds():
-    rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 5000, 100_000])
-    t = pitman_yor.seat(c, np.full(6, 0.7), 0.5, rng)
-    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0
