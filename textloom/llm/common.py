@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -70,9 +71,16 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so once their plans are collected."""
+    """Let Spark delete the shuffle files of finished steps now; it does so once their plans are collected.
+
+    The first collection frees the driver's handles, the second one what only they held.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    system = spark._jvm.System
+    system.gc()
+    system.runFinalization()
+    time.sleep(0.2)
+    system.gc()
 
 
 @contextmanager
