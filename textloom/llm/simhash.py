@@ -1,10 +1,13 @@
 """SimHash near-duplicates through an inverted index of positional fingerprint bytes.
 
 Fingerprints within ``d`` bits share at least ``8 - d`` of their eight positional bytes
-(each differing bit spoils one byte at most). One posting list per byte would hold a
-256th of all fingerprints and pair them all, so postings are keyed by every combination
-of that guaranteed number of positions: a pair is met exactly if its tally of shared
-bytes reaches the guarantee, and lists stay short. Met pairs are verified bit by bit.
+(each differing bit spoils one byte at most). The index is read as count filtering with
+skipped lists does: the lists of one position are left out, so a pair that reaches the
+minimum shares ``7 - d`` bytes at least in the other seven. Lists of single bytes would
+hold a 256th of all fingerprints and pair them all; they are intersected first, for each
+set of ``7 - d`` of the seven positions. For every pair that meets there, the shared
+positional bytes are tallied over all eight; pairs that reach the minimum are verified bit
+by bit.
 
 Equal fingerprints count as one entry, so copies never multiply. A list of two is a pair;
 a longer one yields a spanning forest of its links, never all its pairs. A list longer
@@ -13,7 +16,8 @@ after which a list holds at most 2^16 different fingerprints, whatever the input
 
 Texts: A-Z lower-cased, words are runs without ASCII white space. Null and empty texts
 have the fingerprint zero and link like any other. Shingles keep repeats. Repeated rows
-share a fingerprint and therefore a component.
+share a fingerprint and therefore a component. A null id counts for no component's least
+id; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -128,6 +132,11 @@ def _long_array(values: list[int]) -> str:
     return "array(" + ",".join(f"{_signed(v)}L" if _signed(v) != -(1 << 63) else "bigint('-9223372036854775808')" for v in values) + ")"
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally of positional bytes that are zero in each XOR of two fingerprints."""
+    return (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links within ``distance`` bits that connect all that such links connect."""
     values = np.unique(values)
@@ -142,7 +151,9 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
     out = []
     for i in range(len(values) - 1):
-        near = np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= distance)
+        apart = bits[i + 1 :] ^ bits[i]
+        met = np.flatnonzero(shared_bytes(apart) >= 8 - distance)
+        near = met[np.bitwise_count(apart[met]) <= distance]
         for j in (near + i + 1).tolist():
             a, b = top(i), top(j)
             if a != b:
@@ -152,16 +163,16 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def link_fingerprints(fps: DataFrame, distance: int = 4, max_list: int = 4096) -> DataFrame:
-    """Links (a, b) that connect all different values of ``fps`` (fp BIGINT) within ``distance`` bits."""
-    share = 8 - distance
-    masks = [_mask(c, 8) for c in combinations(range(8), share)]
+    """Links (a, b) that connect all different values of ``fps`` (fp BIGINT) within ``distance`` bits (6 at most)."""
+    masks = [_mask(c, 8) for c in combinations(range(7), 7 - distance)]
     posted = fps.select("fp", F.expr(f"posexplode(transform({_long_array(masks)}, m -> fp & m))").alias("c", "key"))
     lists = posted.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     lists = cut(lists)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = lists.where("n = 2").where(near).select("a", "b")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    tally = sum(((F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(255))) == 0).cast("int") for k in range(8))
+    pairs = lists.where("n = 2").where((tally >= 8 - distance) & (F.bit_count(apart) <= distance)).select("a", "b")
 
-    # Half bytes outside the shared bytes; as above, 8 - distance of them are shared at least.
+    # Half bytes outside the shared bytes: all but ``distance`` of them are shared at least.
     free = [[p for p in range(16) if not m >> 4 * p & 15] for m in masks]
     finer = [[_mask(c, 4) for c in combinations(f, len(f) - distance)] for f in free]
     finer_sql = "array(" + ",".join(_long_array(x) for x in finer) + ")"
@@ -186,7 +197,8 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, max_list: int = 4096) -
 def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", max_list: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document; the least id that links reach."""
     found = cut(fingerprints(docs, k, 1, id_col, text_col).withColumnRenamed("f0", "fp"))
-    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # postings multiply what few rows each hold
+    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts, "fp"))
     comps = connected_components(link_fingerprints(fps.select("fp"), distance, max_list))
     linked = comps.join(fps, F.col("node") == F.col("fp")).select("fp", "comp", "least")
     reach = linked.groupBy("comp").agg(F.min("least").alias("reached"))
