@@ -3,13 +3,15 @@
 Base kinds (``assign``, ``access``, ``hex``) are pattern matches with a length rule.
 Further kinds are reported only after structural confirmation:
 
-* ``pem``: a PEM private key whose body decodes to a well-formed key;
+* ``pem``: a PEM private key whose body decodes to a well-formed key, plain or sealed; of the
+  older sealed form, whose body has no structure, the cipher and its start value;
 * ``jwt``: three dot-joined parts whose first decodes to a JSON header with ``alg``;
 * ``b64key`` / ``hexkey``: base64 or hex runs that decode to a DER private key whose
   nested lengths tile the value exactly, or to an OpenSSH key container whose
   length-prefixed fields parse to the end.
 
-Null or empty text: no spans. Repeated rows give repeated results. Offsets are code
+Null or empty text: no spans. Repeated rows give repeated results; an empty table gives
+none. Offsets are code
 points, end exclusive. Every pattern is anchored so that a scan stays linear in the
 text's length; texts are scanned whole.
 """
@@ -78,6 +80,14 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
+def _tiles(data: bytes, at: int, end: int) -> bool:
+    """One element fills ``data[at:end]``, and its parts fill it in turn if it is a sequence."""
+    top = _tlv(data, at, end)
+    if top is None or top[2] != end:
+        return False
+    return top[0] != 0x30 or bool(_children(data, top[1], top[2]))
+
+
 def is_der_private_key(data: bytes) -> bool:
     """PKCS#1, PKCS#8 or SEC1 layout with all nested lengths consistent."""
     top = _tlv(data, 0, len(data))
@@ -91,10 +101,23 @@ def is_der_private_key(data: bytes) -> bool:
         return True
     if len(parts) >= 3 and tags[1:3] == [0x30, 0x04]:
         inner = _children(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 0x06
+        # The octets hold the key itself: a sequence, an octet string or a number of their length.
+        return bool(inner) and inner[0][0] == 0x06 and data[parts[2][1] : parts[2][1] + 1] in (b"\x30", b"\x04", b"\x02") and _tiles(data, parts[2][1], parts[2][2])
     return len(parts) >= 2 and tags[1] == 0x04 and set(tags[2:]) <= {0xA0, 0xA1}
 
 
+def is_sealed_key(data: bytes) -> bool:
+    """PKCS#8's sealed layout: an algorithm (an object id and its parameters), then the sealed octets."""
+    top = _tlv(data, 0, len(data))
+    if top is None or top[0] != 0x30 or top[2] != len(data):
+        return False
+    parts = _children(data, top[1], top[2])
+    if not parts or [p[0] for p in parts] != [0x30, 0x04] or parts[1][1] == parts[1][2]:
+        return False
+    inner = _children(data, parts[0][1], parts[0][2])
+    return bool(inner) and inner[0][0] == 0x06 and all(x[0] != 0x30 or _children(data, x[1], x[2]) for x in inner[1:])
+
+
 def is_openssh_key(data: bytes) -> bool:
     """The OpenSSH container: cipher, kdf, options, count, then count public keys and a blob."""
     if not data.startswith(b"openssh-key-v1\0"):
@@ -127,12 +150,15 @@ def _from_base64(s: str) -> bytes | None:
 
 
 def _is_pem(label: str, body: str) -> bool:
-    """Also with header lines, whose encrypted bodies are not parsed, and with escapes of a string."""
+    """Also with header lines and with the escapes of a string."""
     lines = re.sub(r"\\+[nr]", "\n", body).replace("\\/", "/").splitlines()
-    heads = [x for x in lines if ":" in x]
+    heads = dict(x.split(":", 1) for x in lines if ":" in x)
     data = _from_base64("".join("".join(x for x in lines if ":" not in x).split()))
-    sealed = any(x.strip().startswith("Proc-Type:") and "ENCRYPTED" in x for x in heads) and any(x.strip().startswith("DEK-Info:") for x in heads)
-    return bool(data) and (sealed or "ENCRYPTED" in label or _is_key(data))
+    if not data:
+        return False
+    if "ENCRYPTED" in heads.get("Proc-Type", ""):
+        return re.fullmatch(r"\s*[A-Z0-9-]+,(?:[0-9A-Fa-f]{2})+\s*", heads.get("DEK-Info", "")) is not None
+    return is_sealed_key(data) if "ENCRYPTED" in label else _is_key(data)
 
 
 def _is_jwt(token: str) -> bool:
