@@ -3,14 +3,16 @@
 A document's ids (with one end id) are cut into full windows while they exceed one; the
 rest goes to the fill level whose choice makes the sum of squared counts of partially
 filled windows smallest. ``counts[h]`` is the number of open windows filled to ``h``.
-Each task packs its own rows. When a task has ``max_open`` windows open, or has read its
-last row, the open ones are cut and joined into full windows; what is left at the very
-end becomes windows of powers of two, so no window is padded. A task keeps at most
-``max_open`` windows and one batch of texts in memory.
+Each task packs its own rows. When a task has over ``max_open`` windows open, the fullest
+one is filled up from the emptiest ones, which are cut for it, and the rest stay as they
+are. When it has read its last row, the open ones are cut and joined into full windows;
+what is left at the very end becomes windows of powers of two, so no window is padded. A
+task keeps at most ``max_open`` windows and one batch of texts in memory.
 
 Null and empty texts hold the end id alone. Repeated rows are packed each on its own. A
 sequence id is the task's number and a count within the task, so a task that runs again
-after a lost executor gives the same rows.
+after a lost executor gives the same rows. A null id stays null in the pieces; an empty
+table has none.
 """
 
 from __future__ import annotations
@@ -77,31 +79,49 @@ class Packer:
         counts[level + r] += 1
         self.open.setdefault(level + r, []).append(pieces)
         if counts.sum() > self.max_open:
-            self.join_open(last=False)
-
-    def join_open(self, last: bool) -> None:
+            self._fill_up()
+
+    def _fill_up(self) -> None:
+        """Close the fullest window with ids from the ends of the emptiest ones."""
+
+        def take(level: int) -> list:
+            self.counts[level] -= 1
+            return self.open[level].pop()
+
+        levels = np.flatnonzero(self.counts)
+        pieces, need = take(int(levels[-1])), self.window - int(levels[-1])
+        while need:
+            low = int(np.flatnonzero(self.counts)[0])
+            donor = take(low)
+            while need and donor:
+                doc, start, ids, total = donor.pop()
+                n = len(ids) // 4
+                keep = max(0, n - need)
+                pieces.append((doc, start + keep, ids[4 * keep :], total))
+                need, low = need - (n - keep), low - (n - keep)
+                if keep:
+                    donor.append((doc, start, ids[: 4 * keep], total))
+            if donor:
+                self.counts[low] += 1
+                self.open.setdefault(low, []).append(donor)
+        self._close(pieces)
+
+    def join_open(self) -> None:
         """Cut and join the open windows, fullest first, into full ones."""
         pending = [p for h in sorted(self.open, reverse=True) for ps in self.open[h] for p in ps]
         self.open.clear()
         self.counts[:] = 0
-        left = sum(len(p[2]) // 4 for p in pending)
-        room, window = min(self.window, left), []
+        left, room, window = sum(len(p[2]) // 4 for p in pending), 0, []
         for doc, start, ids, total in pending:
             while ids:
                 if not window:
                     room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    if not last and left < self.window:
-                        room = self.window
                 n = min(room, len(ids) // 4)
                 window.append((doc, start, ids[: 4 * n], total))
                 start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
                 if not room:
                     self._close(window)
                     window = []
-        if window:  # only while more rows may come: stays open
-            fill = sum(len(p[2]) // 4 for p in window)
-            self.counts[fill] += 1
-            self.open[fill] = [window]
 
     def take(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows, strict=True)) if self.rows else [()] * len(NAMES)
@@ -128,7 +148,7 @@ def pack(
             for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 packer.add(doc.as_py(), encode(text.as_py()) + end)
             yield packer.take()
-        packer.join_open(last=True)
+        packer.join_open()
         yield packer.take()
 
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
