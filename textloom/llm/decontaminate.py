@@ -27,21 +27,21 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import discard, shared_folder, stored, texts
 
 WORDS = re.compile(r"\w+")
 MASKS = ("110110111", "1101011011", "1110010111", "111011", "1001000111")
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, n_equal long, item_words long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 BITS = 20
+SLICE = 1_000_000
 
 
 def short_masks(n: int, min_share: float) -> list[str]:
@@ -55,7 +55,7 @@ def short_masks(n: int, min_share: float) -> list[str]:
 class SeedIndex:
     """The hash tables of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], masks=MASKS, least_item: int = 5, min_words: int = 13, min_share: float = 0.8):
+    def __init__(self, items: list[tuple[int, list[str]]], masks=MASKS, least_item: int = 1, min_words: int = 13, min_share: float = 0.8):
         self.vocab: dict[str, int] = {}
         self.min_words, self.min_share = min_words, min_share
         longest = max(min_words, *map(len, masks))
@@ -102,24 +102,30 @@ class SeedIndex:
         gap = np.zeros(16, dtype=np.uint64)
         joined = np.concatenate([x for d in docs for x in (d, gap)])
         starts = np.cumsum([0] + [len(d) + 16 for d in docs])
-        hits: set[tuple[int, int, int]] = set()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        seen: set[tuple[int, int, int]] = set()
         for mask, (hs, who, at, maybe) in self.tables.items():
             h = self.hashes(joined, mask)
             place = np.flatnonzero(maybe[h >> np.uint64(64 - BITS)])
             lo, hi = np.searchsorted(hs, h[place], "left"), np.searchsorted(hs, h[place], "right")
             sure = hi > lo
-            place, lo, hi = place[sure], lo[sure], hi[sure]
-            n = hi - lo
-            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-            pos = np.repeat(place, n)
-            doc = np.searchsorted(starts, pos, "right") - 1
-            rows = np.unique(np.stack([doc, who[entry], pos - starts[doc] - at[entry]], axis=1), axis=0)
-            hits.update(map(tuple, rows.tolist()))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, shift in sorted(hits):
-            if (got := self.overlap(docs[doc], self.items[item], shift)) and got[2] > best.get((doc, item), (0, 0, 0))[2]:
-                best[doc, item] = got
-        return [(*pair, *got) for pair, got in best.items()]
+            place, lo, n = place[sure], lo[sure], (hi - lo)[sure]
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // SLICE)) + 1):
+                first, many = lo[part], n[part]
+                entry = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                pos = np.repeat(place[part], many)
+                doc = np.searchsorted(starts, pos, "right") - 1
+                rows = np.unique(np.stack([doc, who[entry], pos - starts[doc] - at[entry]], axis=1), axis=0)
+                if len(seen) > SLICE:
+                    seen.clear()
+                for hit in map(tuple, rows.tolist()):
+                    if hit not in seen:
+                        seen.add(hit)
+                        pair, got = hit[:2], self.overlap(docs[hit[0]], self.items[hit[1]], hit[2])
+                        # The longest by equal words; of equal ones the first in the document.
+                        if got and (old := best.get(pair, (0, 0, 0))) and (got[2], -got[0]) > (old[2], -old[0] if old[2] else 0):
+                            best[pair] = got
+        return [(*pair, *got) for pair, got in sorted(best.items())]
 
     def overlap(self, doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
@@ -179,8 +185,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return source.mapInArrow(run, SCHEMA)
 
-    parts = [scan(spark.sparkContext.broadcast(x)) for x in seed_indexes(benchmark, **options)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+    blocks = seed_indexes(benchmark, **options)
+    index, following = next(blocks, None), next(blocks, None)
+    if index is None:
+        return spark.createDataFrame([], SCHEMA)
+    if following is None:
+        return scan(spark.sparkContext.broadcast(index))
+    path = shared_folder(spark)
+    for index in chain((index, following), blocks):
+        shared = spark.sparkContext.broadcast(index)
+        scan(shared).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -189,7 +205,10 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without an overlap, with all their columns."""
+    """Pipeline stage: the documents without an overlap, with all their columns.
+
+    Items of under five words, which clean documents hold too, are no ground to drop one.
+    """
 
     def without(kept: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +220,14 @@ def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return kept.mapInArrow(run, docs.schema)
 
-    for index in seed_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = without(docs, spark.sparkContext.broadcast(index))
+    path, last = None, None
+    for index in seed_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_item=5):
+        if last is not None:  # one block at a time: what the last one left is written first
+            docs, new = stored(docs)
+            last.destroy()
+            if path:
+                discard(spark, path)
+            path = new
+        last = spark.sparkContext.broadcast(index)
+        docs = without(docs, last)
     return docs
