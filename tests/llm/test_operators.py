@@ -112,6 +112,44 @@ def test_sum_of_squares_choice():
     assert p.counts[6] == 1 and p.sequence == 1
 
 
+def test_placement_by_brute_force():
+    rng, w = random.Random(5), 12
+    p = packing.Packer(w, 10**6, 0)
+    for k in range(400):
+        r = rng.randint(1, w)
+        before = p.counts.copy()
+
+        def total(level):
+            after = before.copy()
+            if level:
+                after[level] -= 1
+            if level + r < w:
+                after[level + r] += 1
+            return int((after**2).sum())
+
+        choices = [h for h in range(w - r + 1) if h == 0 or before[h]]
+        least = min(map(total, choices))
+        p.add(k, b"\0\0\0\0" * r)
+        assert int((p.counts**2).sum()) == least
+        assert sum(len(v) for v in p.open.values()) == p.counts.sum()
+
+
+def test_windows_are_filled_up_one_at_a_time():
+    rng, p = random.Random(6), packing.Packer(100, 5, 0)
+    sizes = [rng.randint(1, 70) for _ in range(300)]
+    for k, n in enumerate(sizes):
+        p.add(k, bytes(4 * n))
+        assert p.counts.sum() <= 5 and all(sum(len(x[2]) // 4 for x in ps) == h for h, v in p.open.items() for ps in v)
+    p.join_open()
+    held, got = defaultdict(int), defaultdict(list)
+    for _, _, n, _, _, sequence, _ in p.rows:
+        held[sequence] += n
+    assert all(n == 100 or n & (n - 1) == 0 for n in held.values()) and sum(held.values()) == sum(sizes)
+    for doc, start, n, *_ in p.rows:
+        got[doc] += range(start, start + n)
+    assert all(sorted(got[k]) == list(range(n)) for k, n in enumerate(sizes))
+
+
 # 2
 
 
@@ -157,6 +195,36 @@ def test_pem_with_headers_and_escapes():
 
 
 
+def test_sealed_keys_and_nested_lengths():
+    octets = der(0x04, bytes(range(64)))
+    oid = der(0x06, bytes.fromhex("2a864886f70d01050d"))
+    sealed = der(0x30, der(0x30, oid + der(0x30, der(0x04, b"salt") + der(0x02, b"\x08"))) + octets)
+    assert secrets.is_sealed_key(sealed) and not secrets.is_sealed_key(sealed + b"x") and not secrets.is_sealed_key(octets)
+    wrap = lambda b: "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.b64encode(b).decode() + "\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert [k for _, k, _ in secrets.find_spans(wrap(sealed))] == [3]
+    assert [k for _, k, _ in secrets.find_spans(wrap(bytes(range(80))))] == []
+    head = der(0x02, b"\0") + der(0x30, der(0x06, bytes.fromhex("2a864886f70d010101")) + der(0x05, b""))
+    whole = der(0x30, head + der(0x04, rsa_key()))
+    assert secrets.is_der_private_key(whole)
+    assert not secrets.is_der_private_key(der(0x30, head + der(0x04, rsa_key() + b"x")))
+    assert not secrets.is_der_private_key(der(0x30, head + der(0x04, b"\x30\x05abc")))
+
+
+def test_spans_of_long_and_repeated_texts(spark):
+    key = base64.b64encode(rsa_key()).decode()
+    parts = ["token = abcdefgh12", "AKIA" + "Z9" * 10, "ab" * 20, key, jwt({"alg": "none"})]
+    text, at, want = "", [], []
+    for k, part in enumerate(parts * 3):
+        text += f" {prose(2000, k)} "
+        at.append(len(text))
+        text += part
+    for k, (start, part) in enumerate(zip(at, parts * 3)):
+        kind = ("assign", "access", "hex", "b64key", "jwt")[k % 5]
+        want.append(f"{kind}:{start}:{start + len(part)}")
+    rows = secrets.scan_secrets(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [r.spans for r in rows] == [",".join(want)] * 2 and [r.n_confirmed for r in rows] == [6, 6]
+
+
 def brute_base(text):
     import re
 
@@ -418,8 +486,10 @@ def test_decontamination(spark, nothing):
     docs = spark.createDataFrame([(i, t, "z") for i, t, _ in rows], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(0, " ".join(item)), (1, None), (2, "short item of five y"), (3, "w1 w2")], "item_id long, text string")
     got = decontaminate.find_overlaps(docs, bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (2, 0), (6, 0), (8, 2), (8, 2)]
-    by = {r.doc_id: r for r in got}
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (1, 3), (2, 0), (2, 3), (6, 0), (6, 3), (7, 3), (8, 2), (8, 2)]
+    five = decontaminate.find_overlaps(docs, bench, least_item=5).collect()
+    assert sorted((r.doc_id, r.item_id) for r in five) == [(1, 0), (2, 0), (6, 0), (8, 2), (8, 2)]
+    by = {r.doc_id: r for r in five}
     assert (by[1].start_word, by[1].n_words, by[1].n_equal) == (3, 40, 40)
     blocks = decontaminate.find_overlaps(docs, bench, max_block=10)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got))
@@ -427,6 +497,44 @@ def test_decontamination(spark, nothing):
     assert decontaminate.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def brute_overlaps(docs, items, least=13, share=0.8):
+    """Pairs of which some alignment has ``least`` words (or the whole item) with the share equal."""
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            n = min(least, len(item))
+            for shift in range(-len(item) + 1, len(text)):
+                same = [0 <= k + shift < len(text) and text[k + shift] == w for k, w in enumerate(item)]
+                lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+                if any(sum(same[a:b]) >= share * (b - a) - 1e-9 for a in range(lo, hi) for b in range(a + n, hi + 1)):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_decontamination_by_brute_force(monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "SLICE", limit)
+    rng = random.Random(21)
+    pool = [f"p{k}" for k in range(30)]
+    items = [(i, [rng.choice(pool) for _ in range(rng.choice((1, 2, 3, 6, 9, 13, 15, 22)))]) for i in range(25)]
+    docs = []
+    for d in range(40):
+        text = [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+        item = rng.choice(items)[1]
+        copied = [w if rng.random() > 0.12 else "sub" for w in item]
+        docs.append((d, [*text, *copied, *(rng.choice(pool) for _ in range(6))]))
+    index = decontaminate.SeedIndex(items)
+    found = index.search([index.words(" ".join(t)) for _, t in docs])
+    assert {(d, index.names[i]) for d, i, *_ in found} == brute_overlaps(docs, items)
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = prose(30, 77)
+    docs = spark.createDataFrame([(1, f"{LONG} {item} {LONG}"), (1, f"{LONG} {item} {LONG}"), (2, LONG)], "doc_id long, text string")
+    got = decontaminate.find_overlaps(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.n_words) for r in got] == [(1, 60_000, 30)] * 2
+
+
 def test_decontamination_finds_every_overlap_of_the_share():
     rng = random.Random(9)
     items = {n: [f"i{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20, 25, 31, 40)}
