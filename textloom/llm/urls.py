@@ -1,14 +1,18 @@
 """URL filter: allow/block rules first, gradient-boosted trees on lexical features else.
 
-Everything runs as DataFrame expressions. Training takes a bounded, deterministic sample
-of labelled URLs (``max_training_rows`` expected rows by a hash of the URL) and grows the
-trees from histograms: each level of each tree is one aggregation whose result has at
-most nodes x features x bins rows. Scoring is row-local but for one join with the suffix
-statistics, a table of at most as many rows as the training sample, hence broadcast.
+Everything runs as DataFrame expressions. Labelled rows are first summed by URL, so a URL
+that holds a third of all rows is one row with a count. Suffix statistics cover all of
+them. The trees learn from a bounded, deterministic sample of the different URLs
+(``max_training_rows`` expected by a hash of the URL), each weighted by its count, and grow
+from histograms: each level of each tree is one aggregation whose result has at most
+nodes x features x bins rows. Scoring is row-local but for one join with the suffix
+statistics, which are broadcast up to ``MOST_BROADCAST`` suffixes and shuffled beyond; the
+result is the same.
 
 A null URL, or one without ``://``, has an empty host and path, matches no rule and gets
 the model's verdict for the empty URL. Repeated rows get equal verdicts; without labelled
-rows of both classes the model is a constant (allow when there are none at all).
+rows of both classes the model is a constant (allow when there are none at all). A URL of
+any length is read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ RULES = (
     ("block", "com/de/"),
 )
 
+MOST_BROADCAST = 100_000
+
 FEATURES = (
     "length", "depth", "digit_ratio", "entropy", "n_params", "host_length",
     "host_labels", "hyphens", "path_length", "secure", "suffix_rate",
@@ -97,6 +103,7 @@ class UrlModel:
     trees: list
     bias: float
     suffixes: DataFrame
+    few_suffixes: bool
     prior: float
 
     def margin(self) -> Column:
@@ -107,7 +114,7 @@ class UrlModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``block_score``, the probability of block, to (url_text, host, path, ...)."""
-        known = F.broadcast(self.suffixes)  # at most max_training_rows rows
+        known = F.broadcast(self.suffixes) if self.few_suffixes else self.suffixes
         joined = df.withColumn("suffix", suffix_of(F.col("host"))).join(known, "suffix", "left")
         joined = _lexical(joined).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.prior)))
         kept = [c for c in df.columns]
@@ -153,20 +160,23 @@ def fit_url_model(
     base = labelled.select(
         F.coalesce(F.col(url_col), F.lit("")).alias("url_text"), F.col(label_col).cast("double").alias("y")
     ).where("y IS NOT NULL")
-    n, pos = base.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    prior = (pos + 0.5) / (n + 1.0) if n else 0.0
-    rate = min(1.0, max_training_rows / max(n, 1))
-    sample = base.where(F.pmod(F.xxhash64("url_text"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
-    sample = sample.select("*", host_of(F.col("url_text")).alias("host"), path_of(F.col("url_text")).alias("path"))
-    sample = cut(_lexical(sample).withColumn("suffix", suffix_of(F.col("host"))).drop("url_text", "host", "path"))
-    suffixes = cut(
-        sample.groupBy("suffix").agg(((F.sum("y") + 4 * prior) / (F.count("*") + 4.0)).alias("suffix_rate"))
+    urls = cut(
+        base.groupBy("url_text").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"))
+        .withColumn("host", host_of(F.col("url_text"))).withColumn("suffix", suffix_of(F.col("host")))
     )
+    different, n, pos = urls.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    prior = (pos + 0.5) / (n + 1.0) if n else 0.0
+    suffixes = cut(urls.groupBy("suffix").agg(((F.sum("y") + 4 * prior) / (F.sum("n") + 4.0)).alias("suffix_rate")))
+    few = suffixes.count() <= MOST_BROADCAST
+    rate = min(1.0, max_training_rows / max(different, 1))
+    sample = urls.where(F.pmod(F.xxhash64("url_text"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+    sample = sample.withColumn("path", path_of(F.col("url_text")))
+    sample = _lexical(sample).withColumn("w", F.col("n")).withColumn("y", F.col("y") / F.col("n")).drop("url_text", "host", "path", "n")
     bias = math.log(prior / (1 - prior)) if 0 < pos < n else (-20.0 if pos == 0 else 20.0)
-    model = UrlModel([], bias, suffixes, prior)
+    model = UrlModel([], bias, suffixes, few, prior)
     if not 0 < pos < n:
         return model
-    rows = sample.join(F.broadcast(suffixes), "suffix")
+    rows = cut(sample.join(F.broadcast(suffixes) if few else suffixes, "suffix"))  # about max_training_rows
     cuts_row = rows.agg(
         *(F.percentile_approx(f, [i / n_bins for i in range(1, n_bins)], 1000).alias(f) for f in FEATURES)
     ).first()
@@ -174,11 +184,11 @@ def fit_url_model(
     bins = F.array(
         *(sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES)
     )
-    rows = cut(rows.select(*FEATURES, "y", bins.alias("bins")).repartition(4))
+    rows = cut(rows.select(*FEATURES, "y", "w", bins.alias("bins")).repartition(4))
     for _ in range(n_trees):
         tree = 0.0
         p = 1 / (1 + F.exp(-model.margin()))
-        stats = rows.select(*FEATURES, "bins", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+        stats = rows.select(*FEATURES, "bins", (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
         for level in range(depth):
             hist = (
                 stats.select(_node_of(tree).alias("node"), "g", "h", F.posexplode("bins").alias("f", "bin"))
