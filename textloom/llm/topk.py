@@ -7,8 +7,10 @@ in a block; blocks are scored through their forward index in the order of these
 until a bound falls below the k-th best score so far. A bound equal to it is still
 scored, as a smaller id may win the tie, so results are exact.
 
-Every query block meets every chunk once: chunks are dealt into slots, query blocks go to
-each slot, and a slot keeps k results per query across its chunks. Vectors that are null
+Every query block meets every chunk once, in a grid: chunks are dealt into slots and query
+blocks into groups of about ``group`` blocks; a cell of the grid holds a copy of both, and
+keeps k results per query across its chunks. A task works on one cell at a time, so what
+it holds does not grow with the queries or the rows. Vectors that are null
 or hold null or non-finite components take no part, nor do rows without an id; a shorter
 vector is as if padded by zeros. A repeated row is a candidate (or query) of its own, but
 never a candidate of a query with its own id. Too few candidates give shorter lists; an
@@ -136,34 +138,49 @@ def top_k(
     chunk: int = 8192,
     block: int = 256,
     query_block: int = 1024,
+    group: int = 8,
     slots: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for (vec_id, v) rows against (vec_id, v) queries."""
     docs = _pack(rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id"), chunk)
     if slots is None:
         slots = max(16, min(1024, rows.count() // (4 * chunk)))
-    asked = _pack(queries.coalesce(4).sortWithinPartitions("vec_id"), query_block)
+    n = queries.count()
+    groups = max(1, -(-n // (group * query_block)))
+    asked = _pack(queries.repartitionByRange(max(1, -(-n // (4 * query_block))), "vec_id").sortWithinPartitions("vec_id"), query_block)
     asked = asked.select(
+        F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("group"),
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
         F.col("chunk").alias("q_chunk"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
     )
-    cells = docs.withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(slots)).cast("int")).join(asked.hint("shuffle_hash"), "slot")
+    placed = docs.withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(slots)).cast("int"))
+    placed = placed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cells = placed.join(asked.hint("shuffle_merge"), ["slot", "group"])  # sorted by cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, TopK] = {}
+        cell = None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for chunk_id, s in states.items():
+                number, score, doc = s.found.T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(number), chunk_id)), pa.array(number), pa.array(s.ids[number]), pa.array(doc), pa.array(score)],
+                    names=["q_chunk", "number", "query_id", "vec_id", "score"],
+                )
+            states.clear()
+
         for batch in batches:
             for x in batch.to_pylist():
+                if (x["slot"], x["group"]) != cell:
+                    yield from results()
+                    cell = x["slot"], x["group"]
                 if x["q_chunk"] not in states:
                     ids = np.frombuffer(x["q_ids"], dtype=np.int64)
                     states[x["q_chunk"]] = TopK(ids, _matrix(x["q_matrix"], x["q_dim"], len(ids)), k, block)
                 ids = np.frombuffer(x["ids"], dtype=np.int64)
                 states[x["q_chunk"]].add(ids, _matrix(x["matrix"], x["dim"], len(ids)))
-        for chunk_id, s in states.items():
-            number, score, doc = s.found.T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(number), chunk_id)), pa.array(number), pa.array(s.ids[number]), pa.array(doc), pa.array(score)],
-                names=["q_chunk", "number", "query_id", "vec_id", "score"],
-            )
+        yield from results()
 
     found = cells.mapInArrow(run, "q_chunk long, number long, query_id long, vec_id long, score long")
     ranked = Window.partitionBy("q_chunk", "number").orderBy(F.desc("score"), "vec_id")
