@@ -12,10 +12,14 @@ Two machines run over whole texts:
   States are determinised when first reached and kept in a table; when that is full, it
   is emptied and filled anew.
 
-Texts are cut into chunks that advance in lockstep. A chunk's state map is constant from
-its first pre-token on, so maps compose in a scan: the exit state of a chunk with a
-pre-token start is known after the first pass, it is carried over chunks without one,
-and the heads before first starts are replayed from the entry states so found.
+Texts are cut into chunks that advance in lockstep. A chunk's state map takes the state at
+its entry to the state at its exit and the tokens between. Behind a chunk's first pre-token
+start the map is constant, which the first pass gives. Of a chunk without a start, which
+only a pre-token of more than a chunk has, the map is tabulated for the states that end in
+the byte before it; paths that meet are walked as one from there on. Maps then compose in
+a parallel prefix scan: in each round a map is joined to the one that ends where it begins,
+so runs of any length take a logarithmic number of rounds. At last the heads before first
+starts are replayed from the entry states so found.
 
 Null and empty texts have no tokens. Special tokens' strings in a text count as the
 library counts them by default: one token each, and the text around is split there.
@@ -65,6 +69,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class StateMap:
+    """Exit state and token growth of some bytes for each of the sorted entry states."""
+
+    def __init__(self, entries: np.ndarray, exits: np.ndarray, grown: np.ndarray):
+        self.entries, self.exits, self.grown = entries, exits, grown
+
+
 class BpeTransducer:
     """Lazily determinised; state 0 is the start of a pre-token."""
 
@@ -91,6 +102,7 @@ class BpeTransducer:
     def reset(self) -> None:
         start = ((0, None, 0),)
         self.states, self.number = [start], {start: 0}
+        self.ends: dict[int, list[int]] = {}  # states by the byte read last
         self.table = np.full((1024, 32), -1, dtype=np.int32)
 
     def columns(self, data: np.ndarray) -> np.ndarray:
@@ -138,11 +150,14 @@ class BpeTransducer:
             if self.inner[nxt]:
                 live.append((nxt, last, rel))
         word, growth = chosen
+        if not -BIAS <= growth < BIAS:
+            raise ValueError("a token count changes by more than an entry holds")
         key = (*((n, last, rel - growth) for n, last, rel in live), (0, word, 0))
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
+            self.ends.setdefault(byte, []).append(number)
             if number >= len(self.table):
                 more = np.full_like(self.table, -1)
                 self.table = np.concatenate([self.table, more])
@@ -157,6 +172,67 @@ class BpeTransducer:
             got[miss] = np.array([self.compile(k >> 8, k & 255) for k in keys.tolist()], dtype=np.int32)[where]
         return got
 
+    def maps_of(self, syms: np.ndarray, entries: list[np.ndarray]) -> list[StateMap]:
+        """The state map of each column of bytes, for its sorted entry states; all columns in lockstep."""
+        owner = np.repeat(np.arange(len(entries)), [len(x) for x in entries])
+        states, lane, of = np.concatenate(entries).astype(np.int64), owner, np.arange(len(owner))
+        grown, alone = np.zeros(len(owner), dtype=np.int64), np.zeros(len(entries), dtype=np.int64)
+        for row in syms:
+            got = self.step(states, row[lane]).astype(np.int64)
+            growth, states = (got & 63) - BIAS, got >> 6
+            if len(states) == len(entries):
+                alone += growth
+                continue
+            grown += growth[of]
+            key, back = np.unique(lane << 32 | states, return_inverse=True)
+            lane, states, of = key >> 32, key & 0xFFFFFFFF, back[of]
+        exits, grown = states[of], grown + alone[owner]
+        ends = np.cumsum([len(x) for x in entries])
+        return [StateMap(x, exits[z - len(x) : z], grown[z - len(x) : z]) for x, z in zip(entries, ends.tolist(), strict=True)]
+
+    def scan(self, free: np.ndarray, syms_t: np.ndarray, state: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Tokens in the chunks ``free`` of starts; their exits and the entries behind them are set."""
+        known = set(free.tolist())
+        entries = []
+        for k in free.tolist():
+            if k and k - 1 in known:
+                byte = self.bytes[int(syms_t[-1, k - 1])]
+                entries.append(np.array(sorted(self.ends.get(byte, [0])), dtype=np.int64))
+            else:  # behind a chunk whose exit is known
+                entries.append(np.array([state[k - 1] if k else 0], dtype=np.int64))
+        maps = dict(zip(free.tolist(), self.maps_of(syms_t[:, free], entries), strict=True))
+        # Prefix maps of each run: after round r they reach back over 2^r chunks.
+        prefix, reach = dict(maps), {k: k for k in maps}
+        while any(first - 1 in known for first in reach.values()):
+            before, was = dict(prefix), dict(reach)
+            for k, first in was.items():
+                if first - 1 in known:
+                    prefix[k], reach[k] = self.joined(before[first - 1], before[k], range(first, k + 1), syms_t), was[first - 1]
+        grown = np.zeros(len(free), dtype=np.int64)
+        for k in free.tolist():
+            state[k] = prefix[k].exits[0]  # a run's first chunk has one entry state
+        entry[1:] = state[:-1]
+        for i, k in enumerate(free.tolist()):
+            m = maps[k]
+            at = np.searchsorted(m.entries, entry[k])
+            if at == len(m.entries) or m.entries[at] != entry[k]:
+                m = self.maps_of(syms_t[:, k : k + 1], [np.array([entry[k]], dtype=np.int64)])[0]
+                at = 0
+            grown[i] = m.grown[at]
+        return grown
+
+    def joined(self, left: StateMap, right: StateMap, chunks: range, syms_t: np.ndarray) -> StateMap:
+        """The map of ``left``, then of ``right``, which covers ``chunks``; states new to ``right`` are walked."""
+        at = np.minimum(np.searchsorted(right.entries, left.exits), len(right.entries) - 1)
+        missing = np.unique(left.exits[right.entries[at] != left.exits])
+        if len(missing):
+            more = self.maps_of(np.concatenate([syms_t[:, k] for k in chunks])[:, None], [missing.astype(np.int64)])[0]
+            entries = np.concatenate([right.entries, more.entries])
+            order = np.argsort(entries)
+            right = StateMap(entries[order], np.concatenate([right.exits, more.exits])[order], np.concatenate([right.grown, more.grown])[order])
+            at = np.searchsorted(right.entries, left.exits)
+        return StateMap(left.entries, right.exits[at], left.grown + right.grown[at])
+
     def growths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The growth at each byte; ``starts`` marks the bytes that begin a pre-token."""
         n = len(data)
@@ -171,26 +247,19 @@ class BpeTransducer:
         head = np.where(grid.any(axis=1), grid.argmax(axis=1), CHUNK)
         syms_t = np.ascontiguousarray(syms.reshape(lanes, CHUNK).T)
         inside = np.ascontiguousarray(~grid.T).astype(np.int32)
-        out = np.zeros((CHUNK, lanes), dtype=np.int8)
+        out = np.zeros((CHUNK, lanes), dtype=np.int16)
         state = np.zeros(lanes, dtype=np.int32)
         for t in range(CHUNK):
             got = self.step(state * inside[t], syms_t[t])
             state = got >> 6
             out[t] = (got & 63) - BIAS
-        # Compose: replay each head from the exit state of the chunk before it.
         entry = np.zeros(lanes, dtype=np.int32)
         entry[1:] = state[:-1]
-        for k in np.flatnonzero(head == CHUNK).tolist():  # no start inside: carry on from the chunk before
-            at = int(state[k - 1]) if k else 0
-            entry[k] = at
-            for t in range(CHUNK):
-                byte = int(syms_t[t, k])
-                got = int(self.table[at, byte])
-                got = self.compile(at, byte) if got < 0 else got
-                at, out[t, k] = got >> 6, (got & 63) - BIAS
-            state[k] = at
-            if k + 1 < lanes:
-                entry[k + 1] = at
+        free = np.flatnonzero(head == CHUNK)
+        if len(free):
+            grown = self.scan(free, syms_t, state, entry)
+            out[:, free] = 0
+            out[0, free] = grown  # no text ends inside, so the sum may stand at the first byte
         head[head == CHUNK] = 0
         active = np.flatnonzero(head)
         at = entry[active]
@@ -203,10 +272,17 @@ class BpeTransducer:
         return np.ascontiguousarray(out.T).reshape(size)[:n]
 
 
+def _is_byte_level(spec: dict | None) -> bool:
+    """A pre-tokenizer that splits by the byte-level pattern and adds no leading space."""
+    return bool(spec) and spec["type"] == "ByteLevel" and spec.get("use_regex", True) and not spec.get("add_prefix_space", False)
+
+
 class TokenCounter:
     def __init__(self, path: str | None = None):
         with open(path or default_vocabulary(), encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["model"]["type"] != "BPE" or not _is_byte_level(spec.get("pre_tokenizer")) or spec.get("normalizer"):
+            raise ValueError("the machines are those of a byte-level BPE vocabulary without a normalizer")
         to_byte = byte_alphabet()
         raw = lambda s: bytes(to_byte[c] for c in s)
         special = {t["content"] for t in spec["added_tokens"]}
