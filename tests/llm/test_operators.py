@@ -57,6 +57,25 @@ def test_transducer_on_random_strings():
     assert counter([t.encode() for t in texts]).tolist() == [len(x) for x in ids_of(texts)]
 
 
+@pytest.mark.parametrize("chunk", [4, 16, 512])
+def test_maps_of_chunks_without_a_start_compose(monkeypatch, chunk):
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    rng = random.Random(13)
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [run(3000, "abcdefghij"), "x" * 2500 + " y", run(900, "ab") + "  " + run(700, "e"), "0123456789" * 300, run(2000, "éßñ"), "a b " + run(1500, "ing")]
+    got = token_counts.TokenCounter()([t.encode() for t in texts])
+    assert got.tolist() == [len(x) for x in ids_of(texts)]
+
+
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        token_counts.TokenCounter(str(tmp_path / "v.json"))
+
+
 def test_transducer_survives_small_tables(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     monkeypatch.setattr(token_counts, "BLOCK", 1000)
@@ -431,6 +450,8 @@ def test_exact_topk(spark):
     q = topk.quantized(df)
     got = topk.top_k(q, q.where("vec_id % 100 = 0"), chunk=64, block=16, query_block=3, slots=3)
     assert sorted(map(tuple, got.collect())) == sorted(brute_topk(rows))
+    many = topk.top_k(q, q.where("vec_id % 100 = 0"), chunk=50, block=16, query_block=1, group=1, slots=2)
+    assert sorted(map(tuple, many.collect())) == sorted(brute_topk(rows))
     few = topk.quantized(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1, 2048 * 1024)]
     none = few.where("vec_id < 0")
