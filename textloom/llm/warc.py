@@ -1,4 +1,7 @@
-"""Not-modified revisit resolution for web captures.
+"""Not-modified revisit resolution for web captures, from WARC records on.
+
+``parse_records`` reads a record's WARC fields and its HTTP status line and fields; a record
+that is none, of another type, or a response whose status is not 200, gives no row.
 
 A revisit record holds no body; it stands for the latest earlier full response of the
 same canonical URL. That as-of join runs as windows over (URL, time slice): within a
@@ -15,7 +18,8 @@ headers of the revisit alone.
 
 Records of equal time are ordered by id. A null URL matches nothing. Repeated records are
 resolved each on its own. Null header maps count as empty; header names are lower-cased,
-and of names equal but for case the first stays.
+and of names equal but for case the first stays. An empty table gives no rows; a very long URL,
+field or body is read whole.
 """
 
 from __future__ import annotations
@@ -39,18 +43,56 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.rlike(SCHEME), whole).otherwise(url)
 
 
+def _first_of(entries: Column) -> Column:
+    """A map of (key, value) structs in which the first of equal keys stays."""
+    return F.map_from_entries(
+        F.aggregate(
+            entries,
+            F.array().cast("array<struct<key:string,value:string>>"),
+            lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.array_append(acc, e)),
+        )
+    )
+
+
 def _clean(headers: Column) -> Column:
     """Header names lower-cased; null maps empty; the first of equal names stays."""
-    entries = F.transform(
-        F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))),
-        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    return _first_of(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def _fields(block: Column) -> Column:
+    """The ``Name: value`` lines of a header block, below its first line, as a map by lower-cased name."""
+    lines = F.filter(F.slice(F.split(block, "\r\n"), 2, 10_000), lambda x: F.contains(x, F.lit(":")))
+    return _first_of(
+        F.transform(
+            lines,
+            lambda x: F.struct(
+                F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")
+            ),
+        )
     )
-    first = F.aggregate(
-        entries,
-        F.array().cast("array<struct<key:string,value:string>>"),
-        lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.array_append(acc, e)),
+
+
+def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
+    """The columns that ``resolve_revisits`` reads, of WARC records given as strings. Row-local."""
+    gap = "\r\n\r\n"
+    whole = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    head = F.substring_index(whole, gap, 1)
+    rows = records.where(whole.startswith("WARC/1.")).select(
+        _fields(head).alias("warc"), F.substring_index(F.substr(whole, F.char_length(head) + len(gap) + 1), gap, 1).alias("http")
+    )
+    rows = rows.select("warc", _fields(F.col("http")).alias("headers"), F.regexp_extract("http", r"^HTTP/\S+ (\d{3})", 1).alias("status"))
+    field, kind = F.col("warc"), F.col("warc")["warc-type"]
+    return rows.where((kind == "revisit") | ((kind == "response") & (F.col("status") == "200"))).select(
+        F.regexp_extract(field["warc-record-id"], r"(\d+)>?$", 1).try_cast("long").alias("record_id"),
+        field["warc-target-uri"].alias("url"),
+        F.unix_timestamp(F.try_to_timestamp(field["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"),
+        kind.alias("kind"),
+        F.col("headers")["etag"].alias("etag"),
+        F.col("headers")["last-modified"].alias("last_modified"),
+        field["warc-payload-digest"].alias("digest"),
+        "headers",
     )
-    return F.map_from_entries(first)
 
 
 def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
@@ -111,62 +153,92 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Capture records made of ``pages``, which hold no crawl log of their own.
+    """WARC records made of ``pages``, which hold no crawl log of their own: (record).
 
-    Page p is fetched at time 2p. It is a full response unless p mod 4 is 3; every odd page
-    is revisited at 2p + 1, with the tag of its body, or a stale one where p mod 8 is 5.
+    Of page p, the record numbered 10p + k is of that second. k = 0 (but where p mod 7 is 6)
+    and, with a changed body, k = 4 (but where p mod 3 is 0) are full responses; k = 2, 6 and
+    (where p mod 5 is 0) 8 are revisits. Later ones reach the page by other forms of its URL.
+    By p mod 4 the validator is an entity tag (weak in the first response), a modification date,
+    a digest alone, or the tag of the first response, which the second one makes stale.
     """
-    p = F.col("page_id").cast("long")
-    html = F.coalesce(F.col("html"), F.lit(""))
-    tag = F.md5(html)
-    full = pages.where(p % 4 != 3).select(
-        (2 * p).alias("record_id"), "url", (2 * p).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), tag.alias("digest"),
-        F.create_map(
-            F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(html).cast("string"),
-            F.lit("Date"), (2 * p).cast("string"), F.lit("ETag"), tag,
-        ).alias("headers"),
+    p, k = F.col("p"), F.col("k")
+    asked = F.array(
+        *(F.when(rule, F.lit(i)) for i, rule in ((0, p % 7 != 6), (4, p % 3 != 0), (2, F.lit(True)), (6, F.lit(True)), (8, p % 5 == 0)))
+    )
+    rows = pages.select(F.col("page_id").cast("long").alias("p"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.where("p IS NOT NULL").withColumn("k", F.explode(F.array_compact(asked)))
+    full = k.isin(0, 4)
+    of = F.when(full, k).when((k > 4) & (p % 3 != 0), 4).otherwise(0)  # the response that a record is, or stands for
+    tag = lambda n: F.concat(F.lit('"'), F.md5(F.concat("html", F.when(n == 4, "!").otherwise(""))), F.lit('"'))
+    date = lambda n: F.date_format(
+        F.to_utc_timestamp(F.timestamp_seconds(10 * p + n), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    )
+    etag = F.when(p % 4 == 0, F.concat(F.when(k == 0, "W/").otherwise(""), tag(of))).when(p % 4 == 3, F.when(full, tag(of)).otherwise(tag(F.lit(0))))
+    changed = F.when(p % 4 == 1, date(of))
+    digest = F.when(full | (p % 4 == 2), F.concat(F.lit("md5:"), tag(of)))
+    body = F.when(full, F.concat("html", F.when(of == 4, "!").otherwise(""))).otherwise("")
+    url = F.when(k.isin(4, 6), F.concat("url", F.lit("#part"))).when(k == 8, F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_source=x")))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    blank = F.lit("\r\n")
+    http = F.concat_ws(
+        "", F.when(full, "HTTP/1.1 200 OK\r\n").otherwise("HTTP/1.1 304 Not Modified\r\n"), F.when(full, "Content-Type: text/html\r\n"),
+        line("Content-Length", F.octet_length(body).cast("string")), line("Date", date(k)), line("ETag", etag), line("Last-Modified", changed),
+        F.when(~full, "Cache-Control: max-age=60\r\n"), blank, body,
+    )
+    rows = rows.select(
+        http.alias("http"), F.when(full, "response").otherwise("revisit").alias("kind"), (10 * p + k).cast("string").alias("id"),
+        F.coalesce(url, F.col("url")).alias("url"), date(k).alias("date"), digest.alias("digest"),
     )
-    said = F.when(p % 8 == 5, F.lit("stale")).otherwise(tag)
-    again = pages.where(p % 2 == 1).select(
-        (2 * p + 1).alias("record_id"), "url", (2 * p + 1).alias("ts"), F.lit("revisit").alias("kind"), said.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(
-            F.lit("Date"), (2 * p + 1).cast("string"), F.lit("ETag"), said, F.lit("Cache-Control"), F.lit("max-age=60"),
-            F.lit("Content-Length"), F.lit("0"),
-        ).alias("headers"),
+    return rows.select(
+        F.concat_ws(
+            "", F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", F.concat(F.lit("<urn:capture:"), "id", F.lit(">"))),
+            line("WARC-Target-URI", F.col("url")), line("WARC-Date", F.col("date")), line("WARC-Payload-Digest", F.col("digest")),
+            line("Content-Length", F.octet_length("http").cast("string")), blank, F.col("http"),
+        ).alias("record")
     )
-    return full.unionByName(again)
 
 
 def op7_revisits(spark, sf_dir: str) -> DataFrame:
-    """Query: the revisits among the captures made of all ``pages``."""
-    out = resolve_revisits(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """Query: the revisits among the WARC records made of all ``pages``."""
+    out = resolve_revisits(parse_records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
     joined = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.withColumn("headers", joined)
 
 
 OP7_SQL = r"""
 WITH p AS (
-  SELECT page_id AS p, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS n,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
-    || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS front,
-    regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS q,
-    url
-  FROM pages
+  SELECT page_id AS p, url, md5(coalesce(html, '')) AS tag0, md5(coalesce(html, '') || '!') AS tag4, strlen(coalesce(html, '')) AS n
+  FROM pages WHERE page_id IS NOT NULL
+), r AS (
+  SELECT p.*, k.k, 10 * p + k.k AS id, CASE WHEN k.k > 4 AND p % 3 <> 0 THEN 4 WHEN k.k = 4 THEN 4 ELSE 0 END AS o,
+    CASE WHEN k.k IN (4, 6) THEN url || '#part' WHEN k.k = 8 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=x' ELSE url END AS u
+  FROM p, (VALUES (0), (2), (4), (6), (8)) k(k)
+  WHERE NOT (k.k = 0 AND p % 7 = 6) AND NOT (k.k = 4 AND p % 3 = 0) AND NOT (k.k = 8 AND p % 5 <> 0)
 ), c AS (
-  SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
-    THEN front || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE url END AS canon FROM p
-), full_r AS (SELECT 2 * p AS ts, canon, tag, n FROM c WHERE p % 4 <> 3
-), rev AS (
-  SELECT 2 * p + 1 AS ts, canon, CASE WHEN p % 8 = 5 THEN 'stale' ELSE tag END AS tag FROM c WHERE p % 2 = 1
+  SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+      regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+      || regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
+      || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE u END AS canon
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS q FROM r)
+), d AS (
+  SELECT id, k, canon, CASE WHEN o = 4 THEN tag4 ELSE tag0 END AS body_tag,
+    CASE p % 4 WHEN 0 THEN CASE WHEN k = 0 THEN 'W/' ELSE '' END || '"' || CASE WHEN o = 4 THEN tag4 ELSE tag0 END || '"'
+               WHEN 3 THEN '"' || CASE WHEN k = 4 THEN tag4 ELSE tag0 END || '"' END AS etag,
+    CASE WHEN p % 4 = 1 THEN strftime(make_timestamp((10 * p + o) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS changed,
+    strftime(make_timestamp(id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS said, p % 4 = 2 AS by_digest, n + CASE WHEN o = 4 THEN 1 ELSE 0 END AS size
+  FROM c
 ), j AS (
-  SELECT v.ts, v.canon, v.tag, f.ts AS f_ts, f.tag AS f_tag, f.n
-  FROM rev v ASOF LEFT JOIN full_r f ON v.canon = f.canon AND v.ts > f.ts
+  SELECT v.*, f.id AS f_id, f.etag AS f_etag, f.changed AS f_changed, f.size AS f_size,
+    CASE WHEN f.id IS NULL THEN 'unresolved'
+         WHEN CASE WHEN v.etag IS NOT NULL AND f.etag IS NOT NULL THEN ltrim(v.etag, 'W/') = ltrim(f.etag, 'W/')
+                   WHEN v.changed IS NOT NULL AND f.changed IS NOT NULL THEN v.changed = f.changed
+                   ELSE v.by_digest AND v.body_tag = f.body_tag END THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM (SELECT * FROM d WHERE k NOT IN (0, 4)) v ASOF LEFT JOIN (SELECT * FROM d WHERE k IN (0, 4)) f ON v.canon = f.canon AND v.id > f.id
 )
-SELECT ts AS record_id, canon AS canonical_url, f_ts AS refers_to,
-  CASE WHEN f_ts IS NULL THEN 'unresolved' WHEN tag = f_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  'cache-control=max-age=60;' || CASE WHEN tag = f_tag THEN 'content-length=' || n || ';content-type=text/html;' ELSE '' END
-  || 'date=' || ts || ';etag=' || tag AS headers
+SELECT id AS record_id, canon AS canonical_url, f_id AS refers_to, outcome,
+  concat_ws(';', 'cache-control=max-age=60', CASE WHEN outcome = 'resolved' THEN 'content-length=' || f_size END,
+    CASE WHEN outcome = 'resolved' THEN 'content-type=text/html' END, 'date=' || said,
+    'etag=' || CASE WHEN outcome = 'resolved' THEN coalesce(etag, f_etag) ELSE etag END,
+    CASE WHEN outcome = 'resolved' THEN 'last-modified=' || f_changed END) AS headers
 FROM j
 """
