@@ -639,6 +639,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_warc_records_are_parsed(spark):
+    def record(kind, number, url, date, http, extra=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:capture:{number}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n{extra}Content-Length: {len(http)}\r\n\r\n{http}"
+
+    ok = "HTTP/1.1 200 OK\r\nETag: \"a:b\"\r\netag: second\r\nBroken line\r\n\r\n<p>body\r\n\r\nETag: no</p>"
+    long = "http://long.org/" + "x" * 50_000
+    rows = [
+        record("response", 1, "http://a.org/", "2026-01-01T00:00:00Z", ok, "warc-payload-digest: md5:1\r\n"),
+        record("response", 2, "http://a.org/", "2026-01-01T00:00:01Z", "HTTP/1.1 404 Not Found\r\n\r\n"),
+        record("revisit", 3, "http://www.a.org", "2026-01-01T00:00:05+00:00", 'HTTP/1.1 304 Not Modified\r\nETag: W/"a:b"\r\nVary: x\r\n\r\n'),
+        record("revisit", 3, "http://www.a.org", "2026-01-01T00:00:05Z", 'HTTP/1.1 304 Not Modified\r\nETag: W/"a:b"\r\nVary: x\r\n\r\n'),
+        record("metadata", 4, "http://a.org/", "2026-01-01T00:00:06Z", ""), record("revisit", 5, long, "no date", ""), None, "", "not a record", "WARC/1.0",
+    ]
+    df = spark.createDataFrame([(r, "x", 1) for r in rows], "record string, kind string, ts int")
+    got = {r.record_id: r for r in warc.parse_records(df).collect()}
+    assert set(got) == {1, 3, 5} and got[1].etag == '"a:b"' and got[1].digest == "md5:1" and got[1].headers == {"etag": '"a:b"'}
+    assert got[3].ts - got[1].ts == 5 and got[5].ts is None and got[5].url == long and got[5].headers == {}
+    out = sorted((r.record_id, r.refers_to, r.outcome, tuple(sorted(r.headers.items()))) for r in warc.resolve_revisits(warc.parse_records(df)).collect())
+    assert out == [(3, 1, "resolved", (("etag", 'W/"a:b"'), ("vary", "x")))] * 2 + [(5, None, "unresolved", ())]
+    assert warc.parse_records(df.limit(0)).count() == 0
+
+
 def test_revisits_at_random_by_brute_force(spark):
     rng = random.Random(12)
     rows = [(i, f"http://h/{rng.randrange(4)}", rng.randrange(60), rng.choice(["response", "revisit"]), rng.choice("ab"), None, None, None) for i in range(300)]
