@@ -86,7 +86,7 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     return rows.where((kind == "revisit") | ((kind == "response") & (F.col("status") == "200"))).select(
         F.regexp_extract(field["warc-record-id"], r"(\d+)>?$", 1).try_cast("long").alias("record_id"),
         field["warc-target-uri"].alias("url"),
-        F.unix_timestamp(F.try_to_timestamp(field["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"),
+        F.unix_timestamp(field["warc-date"].try_cast("timestamp")).alias("ts"),
         kind.alias("kind"),
         F.col("headers")["etag"].alias("etag"),
         F.col("headers")["last-modified"].alias("last_modified"),
