@@ -28,7 +28,7 @@ def test_parts(spark):
     assert values(spark, "wsl:${fp}\r\n café++") == ["wsl", ":", "$", "{", "fp", "}", "\r\n", " ", "café", "+", "+"]
     text = "a😀b \t\x0b\r\r\n\n_9é{}"
     assert "".join(values(spark, text)) == text
-    got = P.with_offsets(P.explode_parts(docs(spark, "a😀b x"))).orderBy("i").collect()
+    got = P.part_table(docs(spark, "a😀b x")).orderBy("i").collect()
     assert [(r.start, r.stop) for r in got] == [(0, 4), (4, 5), (5, 6)]
     assert P.explode_parts(docs(spark, None, "")).count() == 0
 
@@ -55,14 +55,14 @@ def test_features(spark):
 
 
 def test_neighbours_and_depth(spark):
-    got = P.nearest_solid(P.explode_parts(docs(spark, "a  b\n c"))).orderBy("i").collect()
+    got = P.part_table(docs(spark, "a  b\n c"), columns={"i": "int"} | P.NEAR).orderBy("i").collect()
     assert [(r.prev_solid, r.next_solid) for r in got] == [(None, 2), (0, 2), (0, 5), (2, 5), (2, 5), (2, None)]
-    depth = P.nesting_depth(P.explode_parts(docs(spark, "}{{x}}"))).orderBy("i").collect()
+    depth = P.part_table(docs(spark, "}{{x}}"), columns=P.PLAIN | P.NESTED).orderBy("i").collect()
     assert [r.curly for r in depth] == [0, 0, 1, 2, 2, 1]
 
 
 def labelled(spark, text, rows):
-    p = P.with_offsets(P.explode_parts(docs(spark, text)))
+    p = P.part_table(docs(spark, text))
     table = spark.createDataFrame([(i, c, lv) for i, (c, lv) in enumerate(rows)], "i int, class string, level int")
     return p.join(table, "i")
 

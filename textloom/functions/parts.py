@@ -1,17 +1,20 @@
 """Parts: words, horizontal spaces, newlines and single symbols that tile a text.
 
 Offsets count UTF-16 code units, so a character outside the basic plane counts two.
-Tokenizing is row-local; offsets are a running sum over a document's parts, so one
-shuffle by document serves this and every later window over parts.
+Everything that depends on a document's parts alone (offsets, features, neighbours, nesting)
+is computed where the document lies: the JVM splits the text, Arrow carries the lists, and
+``part_table`` works on all parts of a batch at once. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD, SPACE, NEWLINE, SYMBOL = range(4)
 KIND_NAMES = ("word", "space", "newline", "symbol")
@@ -22,7 +25,6 @@ PATTERN = (
 )
 #: Neighbouring characters with a code of their own, codes 1-14 in order.
 PAIRS = ("//", "/*", "*/", "--", "=>", "::", "</", "{{", "${", "}}", "->", "??", "?.", "<>")
-HASHES = T.StructType([T.StructField("hash8", T.IntegerType()), T.StructField("hash7", T.IntegerType())])
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
@@ -58,109 +60,168 @@ def with_offsets(parts: DataFrame) -> DataFrame:
     return parts.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("units"))
 
 
-def char_bucket(code: Column) -> Column:
-    return F.when(code > 127, 95).otherwise(code)
+#: Columns of ``part_table`` and their types.
+PLAIN = {"i": "int", "value": "string", "kind": "int", "units": "int"}
+PLACED = {"start": "long", "stop": "long"}
+NEAR = {"prev_solid": "int", "next_solid": "int"}
+NESTED = {"curly": "int", "round": "int", "square": "int"}
+FEATURES = {
+    n: "int"
+    for n in (
+        "len_bucket", "first_char", "last_char", "hash8", "hash7", "flags", "prev_pair", "next_pair", "prev_symbol_pair", "next_symbol_pair",
+    )
+}
+#: Kinds and units among the parts within 32 of each.
+LOCAL = {f"near_{k}": "int" for k in range(4)} | {"near_units": "int"}
+RADIUS = 32
+DOCS_AT_ONCE = 256
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, SYMBOL, dtype=np.int32)
+    out[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = WORD
+    out[[9, 11, 12, 32]] = SPACE
+    out[[10, 13]] = NEWLINE
+    return out
+
+
+def _flag_bits() -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[97:123], out[65:91], out[48:58] = 1, 2, 4
+    out[95], out[9] = 8, 32
+    return out
 
 
-def length_bucket(units: Column) -> Column:
-    return F.when(units > 127, 7).otherwise(F.floor(F.log2(units)).cast("int"))
+KIND, FLAG_BITS = _kinds(), _flag_bits()
+PAIR_CODES = np.zeros(1 << 16, dtype=np.int32)
+for _k, (_a, _b) in enumerate(PAIRS, 1):
+    PAIR_CODES[ord(_a) << 8 | ord(_b)] = _k
 
 
-def _fold(words: pd.Series, start: int, factor: int, mask: int) -> np.ndarray:
-    """h = ((h ^ c) * factor) & mask over the normalised units of each word, all words at once."""
-    data = words.str.replace(r"[\U00010000-\U0010FFFF]", "__", regex=True).str.replace(r"[^\x00-\x7f]", "_", regex=True)
-    sizes = data.str.len().to_numpy(dtype=np.int64)
+def normalised(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of strings in which every unit over 127 is an underscore."""
+    if pc.any(pc.invert(pc.string_is_ascii(words))).as_py():
+        words = pc.replace_substring_regex(words, r"[\x{10000}-\x{10FFFF}]", "__")
+        words = pc.replace_substring_regex(words, r"[^\x00-\x7F]", "_")
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return data, offsets
+
+
+def fold_words(data: np.ndarray, offsets: np.ndarray, start: int, factor: int, mask: int) -> np.ndarray:
+    """h = ((h ^ c) * factor) & mask over the bytes of each word, all words at once."""
+    sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
-    codes = np.frombuffer("".join(data).encode("ascii"), dtype=np.uint8).astype(np.int64)
-    at = (np.cumsum(sizes) - sizes)[order]
-    sorted_sizes = sizes[order]
-    h = np.full(len(words), start, dtype=np.int64)
+    at, ordered = offsets[:-1][order], -sizes[order]
+    h = np.full(len(sizes), start, dtype=np.uint64)
     for t in range(int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sorted_sizes, -t, "left"))
-        h[:n] = ((h[:n] ^ codes[at[:n] + t]) * factor) & mask
+        n = int(np.searchsorted(ordered, -t, "left"))
+        h[:n] = ((h[:n] ^ data[at[:n] + t]) * np.uint64(factor)) & np.uint64(mask)
     out = np.empty_like(h)
     out[order] = h
     return out
 
 
-@F.pandas_udf(HASHES)
-def word_hashes(words: pd.Series) -> pd.DataFrame:
-    """The low bits that a part's two rolling hashes keep."""
-    return pd.DataFrame(
-        {"hash8": _fold(words, 197, 147, 255).astype("int32"), "hash7": _fold(words, 57, 119, 127).astype("int32")}
-    )
-
-
-def part_features(docs: DataFrame) -> DataFrame:
-    """One row per part with the unpacked feature record."""
-    v = F.col("value")
-    p = explode_parts(docs)
-    first, last = char_bucket(F.ascii(v)), char_bucket(F.ascii(F.right(v, F.lit(1))))
-    bit = lambda cond, n: F.when(cond, n).otherwise(0)
-    word, symbol = F.col("kind") == WORD, F.col("kind") == SYMBOL
-    p = p.select(
-        "*",
-        length_bucket(F.col("units")).alias("len_bucket"),
-        first.alias("first_char"),
-        last.alias("last_char"),
-        (
-            bit(word & v.rlike("[a-z]"), 1) + bit(word & v.rlike("[A-Z]"), 2) + bit(word & v.rlike("[0-9]"), 4)
-            + bit(word & v.rlike(r"[_\x{80}-\x{10FFFF}]"), 8)
-            + bit((F.col("kind") == SPACE) & v.contains("\t"), 32) + bit(symbol & (v == "\\"), 64)
-        ).alias("own_flags"),
-        F.when(word, word_hashes(v)).alias("h"),
-    )
-    w = in_order()
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_solid = F.last(F.when(F.col("kind") != SPACE, F.col("kind")), ignorenulls=True).over(before)
-    p = p.select(
-        "*",
-        bit(F.coalesce(last_solid, F.lit(NEWLINE)) == NEWLINE, 16).alias("line_flag"),
-        F.lag("last_char").over(w).alias("pl"), F.lead("first_char").over(w).alias("nf"),
-        F.lag("kind").over(w).alias("pk"), F.lead("kind").over(w).alias("nk"),
-    )
-    return p.select(
-        "doc_id", "i", "kind", "len_bucket", "first_char", "last_char",
-        F.coalesce(F.col("h.hash8"), F.lit(0)).alias("hash8"), F.coalesce(F.col("h.hash7"), F.lit(0)).alias("hash7"),
-        (F.col("own_flags") + F.col("line_flag")).alias("flags"),
-        pair_code(F.col("pl"), F.col("first_char")).alias("prev_pair"),
-        pair_code(F.col("last_char"), F.col("nf")).alias("next_pair"),
-        symbol_pair(F.col("pl"), F.col("first_char"), symbol | (F.col("pk") == SYMBOL)).alias("prev_symbol_pair"),
-        symbol_pair(F.col("last_char"), F.col("nf"), symbol | (F.col("nk") == SYMBOL)).alias("next_symbol_pair"),
-    )
-
-
-def pair_code(left: Column, right: Column) -> Column:
-    out = F.lit(0)
-    for k, (a, b) in enumerate(PAIRS, 1):
-        out = F.when((left == ord(a)) & (right == ord(b)), k).otherwise(out)
+def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each part: its document's number in the batch, and where that document's parts begin."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return doc, (np.cumsum(sizes) - sizes)[doc]
+
+
+def _last_before(marked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The last marked position before each one, -1 if there is none in its document."""
+    at = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+    at = np.concatenate([[-1], at[:-1]]) if len(at) else at
+    return np.where(at >= first, at, -1)
+
+
+def _depths(step: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The running sum of steps before each part, never below zero."""
+    sums = np.cumsum(step)
+    sums = sums - (sums[first] - step[first]) if len(sums) else sums
+    far = int(np.abs(sums).max(initial=0)) * 2 + 1
+    lowest = np.minimum.accumulate(sums - far * doc) + far * doc  # falls from document to document, so each starts anew
+    after = sums - np.minimum(0, lowest)
+    before = np.concatenate([[0], after[:-1]]) if len(after) else after
+    return np.where(np.arange(len(step)) == first, 0, before)
+
+
+def _part_columns(words: pa.Array, sizes: np.ndarray, wanted: set[str]) -> dict:
+    data, offsets = normalised(words)
+    doc, first = _segments(sizes)
+    units = np.diff(offsets)
+    index = np.arange(len(units))
+    head, tail = data[offsets[:-1]].astype(np.int64), data[offsets[1:] - 1].astype(np.int64)
+    kind = KIND[head]
+    out = {"i": index - first, "value": words, "kind": kind, "units": units}
+    if wanted & PLACED.keys():
+        stop = np.cumsum(units)
+        stop = stop - (stop[first] - units[first]) if len(stop) else stop
+        out |= {"stop": stop, "start": stop - units}
+    if wanted & NEAR.keys():
+        solid = (kind == WORD) | (kind == SYMBOL)
+        back = _last_before(solid, first)
+        last = (first + sizes[doc] - 1)[::-1]
+        ahead = len(solid) - 1 - _last_before(solid[::-1], len(solid) - 1 - last)[::-1]
+        none = ahead == len(solid)
+        out |= {"prev_solid": pa.array(back - first, mask=back < 0), "next_solid": pa.array(ahead - first, mask=none)}
+    if wanted & NESTED.keys():
+        for name, (opening, closing) in {"curly": "{}", "round": "()", "square": "[]"}.items():
+            out[name] = _depths((head == ord(opening)).astype(np.int64) - (head == ord(closing)), doc, first)
+    if wanted & LOCAL.keys():
+        low, high = np.maximum(first, index - RADIUS), np.minimum(first + sizes[doc], index + RADIUS + 1)
+        for name, x in [*((f"near_{k}", kind == k) for k in range(4)), ("near_units", units)]:
+            sums = np.concatenate([[0], np.cumsum(x)])
+            out[name] = sums[high] - sums[low]
+    if wanted & FEATURES.keys():
+        word, symbol = kind == WORD, kind == SYMBOL
+        bits = np.bitwise_or.reduceat(FLAG_BITS[data[: offsets[-1]]], offsets[:-1]) if len(units) else np.zeros(0, np.uint8)
+        solid = _last_before(kind != SPACE, first)
+        at_start = (solid < 0) | (kind[solid] == NEWLINE)
+        flags = np.where(word, bits & 15, np.where(kind == SPACE, bits & 32, np.where(head == ord("\\"), 64, 0))).astype(np.int64) + 16 * at_start
+        out |= {"len_bucket": np.where(units > 127, 7, np.log2(np.maximum(units, 1)).astype(np.int64)), "first_char": head, "last_char": tail, "flags": flags}
+        at = np.flatnonzero(word)
+        taken = offsets[:-1][at]
+        compact = np.concatenate([[0], np.cumsum(units[at])])
+        spread = np.repeat(taken - compact[:-1], units[at]) + np.arange(compact[-1])
+        for name, start, factor, mask in (("hash8", 197, 147, 255), ("hash7", 57, 119, 127)):
+            out[name] = np.zeros(len(units), dtype=np.int64)
+            out[name][at] = fold_words(data[spread], compact, start, factor, mask)
+        none_before, none_after = index == first, index == first + sizes[doc] - 1
+        for name, left, right, other, none in (
+            ("prev", np.roll(tail, 1), head, np.roll(symbol, 1), none_before), ("next", tail, np.roll(head, -1), np.roll(symbol, -1), none_after),
+        ):
+            out[f"{name}_pair"] = np.where(none, 0, PAIR_CODES[left << 8 | right])
+            out[f"{name}_symbol_pair"] = np.where(none | ~(symbol | other), 0, ((left + 1) * 131 ^ right) % 31 + 1)
     return out
 
 
-def symbol_pair(left: Column, right: Column, beside_symbol: Column) -> Column:
-    mixed = ((left + 1) * 131).bitwiseXOR(right) % 31 + 1
-    return F.when(left.isNotNull() & right.isNotNull() & beside_symbol, mixed).otherwise(0)
+def part_table(docs: DataFrame, *keep: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, *keep, then ``columns``) of every part of (doc_id, text, ...). Row-local.
 
+    ``columns`` are any of PLAIN, PLACED, NEAR, NESTED, LOCAL and FEATURES. A null text has no parts.
+    """
+    columns = columns or PLAIN | PLACED
+    rows = docs.select("doc_id", *keep, part_values(F.coalesce("text", F.lit(""))).alias("_values"))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
-def nearest_solid(parts: DataFrame) -> DataFrame:
-    """Adds ``prev_solid`` and ``next_solid``: indexes of the nearest parts that are no white space."""
-    w = in_order()
-    solid = F.when(F.col("kind").isin(WORD, SYMBOL), F.col("i"))
-    return parts.select(
-        "*",
-        F.last(solid, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_solid"),
-        F.first(solid, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next_solid"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                b = batch.slice(at, DOCS_AT_ONCE)
+                lists = b.column("_values")
+                sizes = np.diff(lists.offsets.to_numpy())
+                got = _part_columns(lists.flatten(), sizes, set(columns))
+                doc = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+                out = [b.column(n).take(doc) for n in ("doc_id", *keep)]
+                out += [pa.array(got[n]).cast(kinds[t]) if not isinstance(got[n], pa.Array) else got[n].cast(kinds[t]) for n, t in columns.items()]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", *keep, *columns])
+
+    schema = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in ("doc_id", *keep)), *(f"{n} {t}" for n, t in columns.items())])
+    return rows.mapInArrow(run, schema)
 
 
-def nesting_depth(parts: DataFrame) -> DataFrame:
-    """Adds ``curly``, ``round`` and ``square``: depth before the part, never below zero."""
-    w = in_order()
-    out = parts
-    for name, (opening, closing) in {"curly": "{}", "round": "()", "square": "[]"}.items():
-        step = F.when(F.col("value") == opening, 1).when(F.col("value") == closing, -1).otherwise(0)
-        out = out.withColumn(f"_{name}", F.sum(step).over(w))
-    for name in ("curly", "round", "square"):
-        depth = F.col(f"_{name}") - F.least(F.lit(0), F.min(f"_{name}").over(w))
-        out = out.withColumn(f"_d{name}", depth)
-    return out.select(*parts.columns, *(F.coalesce(F.lag(f"_d{n}").over(w), F.lit(0)).alias(n) for n in ("curly", "round", "square")))
+def part_features(docs: DataFrame) -> DataFrame:
+    """One row per part with the unpacked feature record."""
+    return part_table(docs, columns={"i": "int", "kind": "int"} | FEATURES)

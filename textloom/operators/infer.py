@@ -185,10 +185,11 @@ def parse(texts: DataFrame, weights: dict) -> DataFrame:
     """(doc_id, text) to classified spans."""
     from pyspark.sql import functions as F
 
-    from ..functions.parts import explode_parts, part_features, with_offsets
+    from ..functions.parts import PLACED, part_features, part_table
+    from ..functions.rules import CLASSES
     from .spans import merge_spans
 
-    placed = with_offsets(explode_parts(texts)).select("doc_id", "i", "start", "stop")
+    placed = part_table(texts, columns={"i": "int"} | PLACED)
     return merge_spans(classify_parts(part_features(texts), weights).join(placed, ["doc_id", "i"])).withColumn(
-        "class", F.element_at(F.lit(["plain", "comment", "string", "number", "keyword", "type", "function", "constant", "operator"]), F.col("class") + 1)
+        "class", F.coalesce(F.get(F.lit(list(CLASSES)), F.col("class")), F.lit("plain"))
     )

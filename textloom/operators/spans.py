@@ -58,10 +58,3 @@ def run_lengths(labelled: DataFrame, block: int = 1024) -> DataFrame:
 def expand_runs(runs: DataFrame) -> DataFrame:
     """The inverse of run_lengths: one row per element, ``offset`` within its run."""
     return runs.select("doc_id", "block", "run", "class", F.explode(F.sequence(F.lit(0), (F.col("length") - 1).cast("int"))).alias("offset"))
-
-
-def local_profile(parts: DataFrame, radius: int = 32) -> DataFrame:
-    """Counts of kinds and units among the parts within ``radius`` of each part."""
-    w = in_order().rowsBetween(-radius, radius)
-    kinds = [F.sum((F.col("kind") == k).cast("int")).over(w).alias(f"near_{k}") for k in range(4)]
-    return parts.select("doc_id", "i", *kinds, F.sum("units").over(w).alias("near_units"))

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.parts import (
+    FEATURES,
+    LOCAL,
+    NEAR,
+    NESTED,
     NEWLINE,
+    PLACED,
+    PLAIN,
     SPACE,
     SYMBOL,
     WORD,
     explode_parts,
-    nearest_solid,
-    nesting_depth,
     part_features,
-    with_offsets,
+    part_table,
 )
 from ..functions.raw_input import document_profiles, lite_hashes, segments
 from ..operators import align, corpus, html_labels, metrics, quantize, spans, training
@@ -51,9 +55,6 @@ def part_kind_counts(spark, sf):
     return parts.groupBy("lang", "kind").agg(F.count("*").alias("n_parts"), F.sum("units").cast("long").alias("n_units"))
 
 
-FEATURES = ("len_bucket", "first_char", "last_char", "hash8", "hash7", "flags", "prev_pair", "next_pair", "prev_symbol_pair", "next_symbol_pair")
-
-
 def part_features_by_document(spark, sf):
     p = part_features(_table(spark, sf, "documents"))
     turn = F.col("i") % 7 + 1
@@ -61,7 +62,7 @@ def part_features_by_document(spark, sf):
 
 
 def nearest_nonspace(spark, sf):
-    p = nearest_solid(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns={"i": "int"} | NEAR)
     return p.groupBy("doc_id").agg(
         F.count("*").alias("n_parts"), F.sum(F.col("i") - F.col("prev_solid")).cast("long").alias("back"),
         F.sum(F.col("next_solid") - F.col("i")).cast("long").alias("ahead"), F.max(F.col("next_solid") - F.col("i")).alias("widest"),
@@ -69,7 +70,7 @@ def nearest_nonspace(spark, sf):
 
 
 def nesting_depths(spark, sf):
-    p = nesting_depth(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns=NESTED)
     return p.groupBy("doc_id").agg(
         *(F.max(n).cast("long").alias(f"max_{n}") for n in ("curly", "round", "square")),
         F.count_if((F.col("curly") > 0) | (F.col("round") > 0) | (F.col("square") > 0)).alias("inside"),
@@ -77,7 +78,7 @@ def nesting_depths(spark, sf):
 
 
 def _classified(spark, sf):
-    p = with_offsets(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
     blank = F.col("kind").isin(SPACE, NEWLINE)
     cls = (
         F.when(blank, "plain").when(F.col("kind") == SYMBOL, "operator").when(F.col("value").rlike("[0-9]"), "number")
@@ -101,18 +102,18 @@ def kind_spans_lite(spark, sf):
 
 
 def kind_rle(spark, sf):
-    r = spans.run_lengths(explode_parts(_table(spark, sf, "documents")).withColumn("class", F.col("kind")))
+    r = spans.run_lengths(part_table(_table(spark, sf, "documents"), columns={"i": "int", "kind": "int"}).withColumnRenamed("kind", "class"))
     return r.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), F.countDistinct("block").alias("n_blocks"))
 
 
 def local_profile(spark, sf):
-    p = spans.local_profile(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns=LOCAL)
     return p.groupBy("doc_id").agg(*(F.sum(f"near_{k}").cast("long").alias(f"near_{k}") for k in range(4)), F.max("near_units").cast("long").alias("most_units"))
 
 
 def align_window_labels(spark, sf):
     """Labels [7k, 7k + 5) of class k mod 9 against all parts."""
-    p = with_offsets(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
     ends = p.groupBy("doc_id").agg(F.max("stop").alias("end"))
     k = F.col("k")
     labels = ends.select("doc_id", "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 1) / 7))).alias("k")).select(
@@ -301,7 +302,7 @@ def lite_word_hashes(spark, sf):
 
 def span_agreement(spark, sf):
     """Per document: share of solid parts on which labels of windows of 7 and of 11 units agree."""
-    p = with_offsets(explode_parts(_table(spark, sf, "documents")))
+    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
     solid = p.where(F.col("kind").isin(WORD, SYMBOL))
     ends = p.groupBy("doc_id").agg(F.max("stop").alias("end"))
 
