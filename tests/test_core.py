@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+from collections import Counter
 
 import numpy as np
 
@@ -199,14 +201,29 @@ def test_deduplication(spark):
     assert {r.doc_id: r.copies for r in corpus.exact_duplicates(df, "lang", "doc_id").collect()}[0] == 2
 
 
-def test_html_labels():
+def html_classes(spark, html, engine, family=None):
+    df = spark.createDataFrame([(1, html, family)], "k long, html string, family string")
+    return [(r.start, r.stop, r["class"]) for r in html_labels.label_html(df, "k", "html", engine, F.col("family")).orderBy("start").collect()]
+
+
+def test_html_labels(spark):
     html = '<span class="token keyword">const</span> x <span class="token operator">=</span> <span class="token string">"hi"</span> <span class="token operator">&lt;</span> <span class="token number">2</span>'
-    assert [c for _, _, c in html_labels.spans_of_html(html, "prism", 'const x = "hi" < 2')] == ["keyword", "plain", "operator", "plain", "string", "plain", "operator", "plain", "number"]
+    assert [c for _, _, c in html_classes(spark, html, "prism")] == ["keyword", "plain", "operator", "plain", "string", "plain", "operator", "plain", "number"]
     nested = '<span class="token template-string">`value <span class="token interpolation"><span class="token interpolation-punctuation punctuation">${</span>name<span class="token interpolation-punctuation punctuation">}</span></span>`</span>'
-    assert [c for _, _, c in html_labels.spans_of_html(nested, "prism")] == ["string", "operator", "plain", "operator", "string"]
-    with pytest.raises(ValueError):
-        html_labels.spans_of_html("<span>x</span>", "prism", "y")
-    assert html_labels.decode_entities("&#65;&#x42;&amp;&apos;") == "AB&'"
+    assert [c for _, _, c in html_classes(spark, nested, "prism")] == ["string", "operator", "plain", "operator", "string"]
+    stray = "</span>a<span class='hljs-title function_'>b<br/>😀</span></span></span><SPAN CLASS=\"hljs-type\">c"
+    assert html_classes(spark, stray, "highlight.js") == [(0, 1, "plain"), (1, 5, "function"), (5, 6, "type")]
+    prop = '<span class="hljs-attribute">color</span>'
+    assert [html_classes(spark, prop, "highlight.js", f)[0][2] for f in ("css", "html")] == ["type", "plain"]
+    assert [html_classes(spark, '<span class="token selector">h1</span>', "prism", f)[0][2] for f in ("css", None)] == ["type", "plain"]
+    sugar = "".join(f'<span class="sh__token--{k}" style="x">{v}</span>' for k, v in (("class", "12"), ("class", "True"), ("class", "Foo"), ("sign", "="), ("jsxliterals", "y")))
+    assert [c for _, _, c in html_classes(spark, sugar, "sugar-high")] == ["number", "constant", "type", "operator", "plain"]
+    starry = '<span class="pl-k">if</span><span class="pl-k">=&gt;</span><span class="pl-c1">-1</span><span class="pl-c1">nil</span><span class="pl-s"><span class="pl-x">y</span></span>'
+    assert [c for _, _, c in html_classes(spark, starry, "starry-night")] == ["keyword", "operator", "number", "constant", "plain"]
+    df = spark.createDataFrame([(1, "y", "<span>x</span>"), (2, "a\n<", "a<br>&#60;"), (3, None, None)], "k long, source string, html string")
+    assert [r.k for r in html_labels.unfaithful(df, "source", "html").collect()] == [1]
+    text = spark.createDataFrame([("&#65;&#x42;&amp;&apos;&QUOT;&#039; &nbsp;& &#x1F600;&#99999999999;",)], "t string")
+    assert text.select(html_labels.decode_entities(F.col("t"))).first()[0] == "AB&'\"' &nbsp;& 😀\ufffd"
 
 
 def test_quantize(spark):
@@ -365,8 +382,27 @@ def test_raw_tokens_and_segments(spark):
     assert [a + n for a, n in mine][:-1] == [a for a, _ in mine][1:] and sum(n for _, n in mine) == 900
     assert all(n <= 200 for _, n in mine) and all(a % 9 == 0 for a, _ in mine)
     assert [(r["first"], r["count"]) for r in rows if r.doc_id > 0] == [(0, 0), (0, 0)]
-    open_quote = "'" + " word" * 500
-    assert [n for _, n in raw_input.segment_cuts(open_quote.replace("'", "' ").split(), [" "] * 501, 100, 200)] == [200, 200, 101]
+    assert [n for _, n in raw_input.segment_cuts("'" + " word" * 500, 100, 200)] == [200, 200, 101]
+    assert raw_input.segment_cuts("") == [(0, 0)] and raw_input.segment_cuts("a b", 1, 2) == [(0, 2)]
+    code = ("x = 1\n" * 30 + "/* a\nb */ f(\n" + "y, \n" * 30 + ")\n\n") * 4
+    for least, most in ((20, 40), (64, 100), (100, 130)):
+        n, line, free, blank = raw_input.line_starts(code)
+        begin, cuts = 0, raw_input.segment_cuts(code, least, most)
+        assert cuts[0][0] == 0 and sum(c for _, c in cuts) == n
+        for first, count in cuts[:-1]:
+            second_half = range(first + least // 2, first + least)
+            choice = [k for k in second_half if k in blank] or [k for k in second_half if k in free]
+            choice = choice[-1:] or [k for k in range(first + least, first + most) if k in free][:1]
+            choice = choice or [k for k in range(first + 1, first + most) if k in line][-1:] or [first + most]
+            assert first == begin and [first + count] == choice
+            begin = first + count
+
+
+def test_line_starts():
+    n, line, free, blank = raw_input.line_starts("a /* b\nc */ d\n(e\nf)\ng 'h\ni' j // ' (\nk\n \nl")
+    tokens = [m[0] for m in raw_input.SPLIT.finditer("a /* b\nc */ d\n(e\nf)\ng 'h\ni' j // ' (\nk\n \nl")]
+    assert n == len(tokens) and [tokens[k] for k in line] == ["c", "(", "f", "g", "i", "k", "l"]
+    assert [tokens[k] for k in free] == ["(", "g", "k", "l"] and [tokens[k] for k in blank] == ["l"]
 
 
 def test_profile_and_lite_hashes(spark):
@@ -419,7 +455,38 @@ def test_token_labels_and_engines(spark):
     assert [r[0] for r in bands] == ["95+", "90+", "below"]
 
 
-def test_replay_mix_and_partition():
-    mixed = training.mix_replay([("b", 50), ("c", 50)], [("h", 30), ("i", 30)], 0.25)
-    assert sum(n for k, n in mixed if k in "hi") == 33 and [k for k, _ in mixed if k in "bc"] == ["b", "c"]
-    assert training.balanced_partition([("a", 5), ("b", 4), ("c", 3)], 2) == [["a"], ["b", "c"]]
+def test_replay_mix(spark):
+    rng = random.Random(8)
+    for case in range(4):
+        base = [(k, rng.randint(1, 60)) for k in range(rng.choice((5, 40)))]
+        hard = [(100 + k, rng.randint(1, 30)) for k in range(rng.choice((0, 1, 6)))]
+        fraction, repeats = rng.choice((0.1, 0.25, 0.6)), rng.choice((1, 3))
+        tables = [spark.createDataFrame(x, "k long, n long") for x in (base, hard)]
+        plan = training.mix_replay(*tables, "k", "n", fraction, repeats).orderBy("order1", "order2", "order3").collect()
+        target = math.floor(sum(n for _, n in base) * fraction / (1 - fraction) + 0.5)
+        want = min(target, repeats * sum(n for _, n in hard))
+        held = {"base": 0, "hard": 0}
+        for r in plan:
+            share = held["hard"] / max(1, sum(held.values()))
+            if r.side == "hard":
+                assert share < fraction or held["base"] == sum(n for _, n in base)
+            else:
+                assert share >= fraction - 1e-12 or held["hard"] == want
+            held[r.side] += r["take"]
+        assert held == {"base": sum(n for _, n in base), "hard": want}
+        assert [r.k for r in plan if r.side == "base"] == [k for k, _ in base]
+        again = [k for _ in range(repeats) for k, _ in hard]
+        assert [r.k for r in plan if r.side == "hard"] == again[: sum(r.side == "hard" for r in plan)]
+
+
+def test_partition_and_batches(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice((1, 5, 5, 9, 40))) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = training.balanced_partition(df, "k", "n", 7).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.bin] += r.n
+    assert len(got) == 200 and set(loads) == set(range(7)) and max(loads.values()) - min(loads.values()) <= 40
+    sums = {(r.bucket, r.batch): r.s for r in training.length_batches(df, "k", "n", 50).groupBy("bucket", "batch").agg(F.sum("n").alias("s")).collect()}
+    assert sum(sums.values()) == sum(n for _, n in rows) and max(sums.values()) < 50 + 40

@@ -7,6 +7,7 @@ is a majority vote over the hashes of word tokens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,70 +68,70 @@ def document_profiles(docs: DataFrame) -> DataFrame:
     return counts.join(votes, "doc_id", "left").select("doc_id", *(density_bucket(F.col(n), F.col("width"), n == "identifiers").alias(n) for n in DENSITIES), sketch.alias("sketch"))
 
 
-def segment_cuts(tokens: list[str], gaps: list[str], least: int = 384, most: int = 768) -> list[tuple[int, int]]:
-    """(first, count) segments of a document's tokens; ``gaps[k]`` is the white space before token k.
-
-    From ``least`` tokens on a segment ends at the last blank line, else line start, that
-    lies outside quotes, comments and brackets in its second half; at ``most`` it ends at
-    any line start, else where it is.
+#: What hides line starts and brackets: comments and quoted text, closed or not.
+HIDDEN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\r\n]*|(['\"`])(?:\\.|(?!\1).)*(?:\1|\Z)", re.S)
+SPLIT = re.compile(TOKENS.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"))
+
+
+def line_starts(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of tokens, tokens that start a line, those outside quotes, comments and brackets, those after a blank line)."""
+    spans = np.array([m.span() for m in SPLIT.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    start, stop = spans[:, 0], spans[:, 1]
+    gap = np.concatenate([[0], stop[:-1]]) if len(start) else start
+    ends = np.array([m.start() for m in re.finditer(r"[\r\n]", text)], dtype=np.int64)
+    feeds = np.array([m.start() for m in re.finditer(r"\n", text)], dtype=np.int64)
+    between = lambda at: np.searchsorted(at, start) - np.searchsorted(at, gap)
+    line, blank = between(ends) > 0, between(feeds) > 1
+    hidden = np.array([m.span() for m in HIDDEN.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    last = np.searchsorted(hidden[:, 0], start, "left") - 1
+    inside = (last >= 0) & (start < np.concatenate([hidden[:, 1], [0]])[last])
+    quoted = inside | np.isin(start, hidden[:, 0])
+    sign = [0 if q else (text[k] in "([{") - (text[k] in ")]}") for k, q in zip(start.tolist(), quoted.tolist(), strict=True)]
+    sums = np.cumsum(np.array(sign, dtype=np.int64))
+    depth = sums - np.minimum(0, np.minimum.accumulate(sums)) if len(sums) else sums
+    free = line & ~inside & (np.concatenate([[0], depth[:-1]]) == 0) if len(depth) else line
+    return len(start), np.flatnonzero(line), np.flatnonzero(free), np.flatnonzero(free & blank)
+
+
+def segment_cuts(text: str, least: int = 384, most: int = 768) -> list[tuple[int, int]]:
+    """(first, count) segments of a text's tokens.
+
+    A segment has ``least`` tokens if a free line starts in the second half of these: it ends
+    at the last one after a blank line, else at the last one. If none does, it ends at the next
+    free line, within ``most`` tokens; then at the last line of any kind, or where it is full.
+    Line starts are free outside quotes, comments and brackets.
     """
-    out, begin, depth, quote, block, line = [], 0, 0, "", False, False
-    blank_at = line_at = any_line = 0
-    for k, (token, gap) in enumerate(zip(tokens, gaps, strict=True)):
-        if "\n" in gap or "\r" in gap:
-            line, any_line = False, k
-            if not quote and not block and not depth:
-                line_at = k
-                inner = gap.split("\n")[1:-1]
-                if any(not x.strip(" \t\r") for x in inner):
-                    blank_at = k
-        if not line:
-            if block:
-                block = token != "*/"
-            elif quote:
-                before = tokens[k - 1] if k else ""
-                if token == quote and (len(before) - len(before.rstrip("\\"))) % 2 == 0:
-                    quote = ""
-            elif token == "/*":
-                block = True
-            elif token == "//":
-                line = True
-            elif token in ("'", '"', "`"):
-                quote = token
-            elif token in ("(", "[", "{"):
-                depth += 1
-            elif token in (")", "]", "}"):
-                depth = max(0, depth - 1)
-        n = k + 1 - begin
-        cut = 0
-        if n >= least:
-            cut = blank_at if blank_at >= begin + least // 2 else line_at if line_at >= begin + least // 2 else 0
-        if not cut > begin and n >= most:
-            cut = any_line if any_line > begin else k + 1
-        if cut > begin:
-            out.append((begin, cut - begin))
-            begin, blank_at, line_at, any_line = cut, 0, 0, 0
-    if len(tokens) > begin or not out:
-        out.append((begin, len(tokens) - begin))
+    n, *kinds = line_starts(text)
+    line, free, blank = kinds
+
+    def last(of: np.ndarray, low: int, high: int) -> int:
+        k = int(np.searchsorted(of, high, "right")) - 1
+        return int(of[k]) if k >= 0 and of[k] >= low else 0
+
+    out, begin = [], 0
+    while n - begin >= least:
+        half, full = begin + least // 2, begin + least - 1
+        cut = last(blank, half, full) or last(free, half, full)
+        if not cut:
+            k = int(np.searchsorted(free, full, "right"))
+            cut = int(free[k]) if k < len(free) and free[k] < begin + most else 0
+        if not cut:
+            if n - begin < most:
+                break
+            cut = last(line, begin + 1, begin + most - 1) or begin + most
+        out.append((begin, cut - begin))
+        begin = cut
+    if n > begin or not out:
+        out.append((begin, n - begin))
     return out
 
 
 def segments(docs: DataFrame, least: int = 384, most: int = 768) -> DataFrame:
-    """(doc_id, first, count) segments of every document; a fold within each row."""
-    import re
-
-    pattern = re.compile(TOKENS.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"))
+    """(doc_id, first, count) segments of every document. Row-local."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                text, tokens, gaps, at = text.as_py(), [], [], 0
-                for m in pattern.finditer(text):
-                    tokens.append(m[0])
-                    gaps.append(text[at : m.start()])
-                    at = m.end()
-                rows += [(doc, *s) for s in segment_cuts(tokens, gaps, least, most)]
+            rows = [(doc, *s) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for s in segment_cuts(text.as_py(), least, most)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "first", "count"])
 

@@ -1,134 +1,192 @@
-"""Classified spans out of highlighted HTML: tags open and close frames, text takes the innermost rule.
+"""Classified spans out of highlighted HTML, as joins over a table of tag events.
 
-The fold over a document's tags is sequential, so it runs in Python, document by document,
-on Arrow batches. Rule tables are data: per engine, ordered (class names, outcome) pairs.
+A page becomes one row per tag or text. A running sum of openings less closings gives the
+nesting depth; at each depth, the frame that holds a text is the last one opened there
+before it, an as-of window over (page, depth). Rules give each frame a class or none; a
+text takes the class of its deepest frame that has one. Rule tables are data.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = re.compile(r"<[^>]*>|[^<]+")
-SPAN_CLASS = re.compile(r"""\bclass=(?:"([^"]*)"|'([^']*)')""", re.I)
-ENTITY = re.compile(r"&(?:#(\d+)|#x([\da-f]+)|(amp|lt|gt|quot|apos));", re.I)
+from ..functions.parts import units_of
+
+#: What a page's pieces, span tags, class attributes and entities look like.
+PIECES = r"<[^>]*>|[^<]+"
+OPENING, CLOSING, BREAK = r"(?i)^<span\b", r"(?i)^</span\b", r"(?i)^<br\s*/?\s*>$"
+CLASS_ATTRIBUTE = r"""(?i)\bclass=(?:"([^"]*)"|'([^']*)')"""
+ENTITY_OR_TEXT = r"(?i)&(?:#\d+|#x[\da-f]+|amp|lt|gt|quot|apos);|[^&]+|&"
 #: Named entities.
-NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-
-#: Ordered rules of class names per engine; the first with a name in the frame decides.
-RULES: dict[str, tuple[tuple[frozenset[str], str], ...]] = {
-    "prism": tuple(
-        (frozenset(names.split()), to)
-        for names, to in (
-            ("comment", "comment"),
-            ("string string-property char regex attr-value template-string cdata symbol url", "string"),
-            ("number", "number"),
-            ("class-name builtin doctype-tag", "type"),
-            ("function function-variable", "function"),
-            ("boolean constant", "constant"),
-            ("operator interpolation-punctuation", "operator"),
-            ("keyword control-flow directive macro important atrule rule", "keyword"),
-            ("tag", "type"),
-            ("punctuation", "operator"),
-            ("interpolation attr-name parameter property variable namespace plain-text prolog name blockquote entity", "plain"),
-        )
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+#: What a text is that rules ask for.
+SYMBOLS = r"^[^\p{L}\p{N}_\s]+$"
+SIGNED_NUMBER = r"^[-+]?(?:\d|\.\d)"
+SELECTOR_NAME = r"(?i)^[-a-z][\w-]*$"
+LITERAL_NAME = r"(?i)^(?:false|infinity|nan|null|true|undefined)$"
+
+#: Per engine, rules in order: class names (all of an inner tuple together), class, further condition.
+RULES: dict[str, tuple[tuple, ...]] = {
+    "prism": (
+        (("comment",), "comment"),
+        (("string", "string-property", "char", "regex", "attr-value", "template-string", "cdata", "symbol", "url"), "string"),
+        (("number",), "number"),
+        (("class-name", "builtin", "doctype-tag"), "type"),
+        (("property",), "type", {"family": "css"}),
+        (("selector",), "type", {"family": "css", "text": SELECTOR_NAME}),
+        (("function", "function-variable"), "function"),
+        (("boolean", "constant"), "constant"),
+        (("operator", "interpolation-punctuation"), "operator"),
+        (("keyword", "control-flow", "directive", "macro", "important", "atrule", "rule"), "keyword"),
+        (("tag",), "type"),
+        (("punctuation",), "operator"),
+        (("interpolation", "attr-name", "parameter", "property", "variable", "namespace", "plain-text", "prolog", "name", "blockquote", "entity"), "plain"),
     ),
-    "highlight.js": tuple(
-        (frozenset(names.split()), to)
-        for names, to in (
-            ("comment", "comment"),
-            ("string regexp char link code meta-string", "string"),
-            ("number", "number"),
-            ("type name selector-tag", "type"),
-            ("title function built_in", "function"),
-            ("symbol", "string"),
-            ("literal", "constant"),
-            ("operator", "operator"),
-            ("keyword meta-keyword section", "keyword"),
-            ("punctuation", "operator"),
-            ("subst template-variable params attr attribute variable property tag quote", "plain"),
-        )
+    "highlight.js": (
+        (("comment",), "comment"),
+        (("string", "regexp", "char", "link", "code", "meta-string"), "string"),
+        (("number",), "number"),
+        ((("title", "class_"),), "type"),
+        ((("title", "function_"),), "function"),
+        (("type", "name", "selector-tag"), "type"),
+        (("attribute", "property"), "type", {"family": "css"}),
+        (("title", "function", "built_in"), "function"),
+        (("symbol",), "plain", {"family": "html"}),
+        (("symbol",), "string"),
+        (("literal",), "constant"),
+        (("operator",), "operator"),
+        (("keyword", "meta-keyword", "section"), "keyword"),
+        (("punctuation",), "operator"),
+        (("subst", "template-variable", "params", "attr", "attribute", "variable", "property", "tag", "quote"), "plain"),
+    ),
+    "sugar-high": (
+        (("sh__token--comment",), "comment"),
+        (("sh__token--string",), "string"),
+        (("sh__token--keyword",), "keyword"),
+        (("sh__token--class",), "number", {"text": r"^\d"}),
+        (("sh__token--class",), "constant", {"text": LITERAL_NAME}),
+        (("sh__token--class", "sh__token--entity"), "type"),
+        (("sh__token--property",), "type", {"family": "css"}),
+        (("sh__token--sign",), "operator"),
+        ((), "plain", {"prefix": "sh__token--"}),
+    ),
+    "starry-night": (
+        (("pl-c",), "comment"),
+        (("pl-s", "pl-pds", "pl-sr", "pl-cce", "pl-sre", "pl-sra", "pl-corl"), "string"),
+        (("pl-c1",), "number", {"text": SIGNED_NUMBER}),
+        (("pl-c1",), "constant"),
+        (("pl-kos", "pl-k"), "operator", {"text": SYMBOLS}),
+        (("pl-kos", "pl-k"), "keyword"),
+        (("pl-mh", "pl-ms"), "keyword"),
+        (("pl-ent",), "type"),
+        (("pl-e", "pl-en"), "function"),
+        (("pl-pse",), "operator"),
+        ((), "plain", {}),
     ),
 }
-
-
-def decode_entities(text: str) -> str:
-    def one(m: re.Match) -> str:
-        if m[3]:
-            return NAMED[m[3].lower()]
-        point = int(m[1]) if m[1] else int(m[2], 16)
-        return chr(point) if point < 0x110000 else "�"
-
-    return ENTITY.sub(one, text)
-
-
-def _class_of(stack: list[list[str]], engine: str) -> str:
-    if engine == "prism":
-        names = {n for frame in stack for n in frame}
-        if "interpolation-punctuation" in names:
-            return "operator"
-        if "code-snippet" in names:
-            return "string"
-        if {"title", "important"} <= names:
-            return "keyword"
-    for frame in reversed(stack):
-        names = {n.removeprefix("hljs-") for n in frame} if engine == "highlight.js" else set(frame)
-        if engine == "highlight.js" and "title" in names and names & {"class_", "function_"}:
-            return "type" if "class_" in names else "function"
-        for wanted, to in RULES[engine]:
-            if names & wanted:
-                return to
-    return "plain"
-
-
-def spans_of_html(html: str, engine: str = "prism", source: str | None = None) -> list[tuple[int, int, str]]:
-    """(from, to, class) runs of the text; ValueError if it is not ``source``."""
-    stack: list[list[str]] = []
-    out: list[list] = []
-    text: list[str] = []
-    at = 0
-    for m in PIECE.finditer(html):
-        piece = m[0]
-        if piece[0] == "<":
-            low = piece.lower()
-            if re.match(r"</span\b", low):
-                stack[-1:] = []
-                continue
-            if re.match(r"<span\b", low):
-                found = SPAN_CLASS.search(piece)
-                stack.append(((found[1] or found[2] or "") if found else "").split())
-                continue
-            if not re.fullmatch(r"<br\s*/?\s*>", low):
-                continue
-            piece = "\n"
-        else:
-            piece = decode_entities(piece)
-        name, n = _class_of(stack, engine), len(piece.encode("utf-16-le", "surrogatepass")) // 2
-        text.append(piece)
-        if out and out[-1][2] == name:
-            out[-1][1] += n
-        else:
-            out.append([at, at + n, name])
-        at += n
-    if source is not None and "".join(text) != source:
-        raise ValueError("the markup's text is not the source")
-    return [tuple(x) for x in out]
-
-
-def label_html(pages: DataFrame, id_col: str, html_col: str, engine: str = "prism") -> DataFrame:
-    """(id, start, stop, class) spans of every page."""
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(html_col, F.lit("")).alias("html"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(k, *s) for k, h in zip(b.column("id").to_pylist(), b.column("html"), strict=True) for s in spans_of_html(h.as_py(), engine)]
-            cols = list(zip(*found, strict=True)) if found else [()] * 4
-            kinds = [b.schema.field("id").type, pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "start", "stop", "class"])
-
-    return rows.mapInArrow(run, f"id {kind}, start long, stop long, class string").withColumnRenamed("id", id_col)
+#: Class names anywhere around a text that decide before any frame does.
+ANYWHERE = {"prism": ((("interpolation-punctuation",), "operator"), (("code-snippet",), "string"), (("title", "important"), "keyword"))}
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric and named character references replaced by what they stand for."""
+    def one(piece: Column) -> Column:
+        name = F.lower(piece)
+        out = piece
+        for entity, sign in NAMED.items():
+            out = F.when(name == entity, sign).otherwise(out)
+        digits = F.when(name.startswith("&#x"), F.conv(F.regexp_extract(name, "^&#x([0-9a-f]+);$", 1), 16, 10)).otherwise(
+            F.regexp_extract(name, r"^&#(\d+);$", 1)
+        )
+        point = digits.try_cast("int")
+        known = point.between(0, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(known, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(name.rlike(r"^&#.*;$"), sign).otherwise(out)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ENTITY_OR_TEXT), F.lit(0)), one), "")).otherwise(text)
+
+
+def frame_class(engine: str, names: Column, text: Column, family: Column) -> Column:
+    """The class that a frame of these class names gives a text; null if its rules say nothing."""
+    out = F.lit(None).cast("string")
+    for wanted, to, *rest in reversed(RULES[engine]):
+        when = rest[0] if rest else {}
+        fits = F.lit(not wanted)
+        for name in wanted:
+            together = (name,) if isinstance(name, str) else name
+            hit = F.lit(True)
+            for n in together:
+                hit = hit & F.array_contains(names, n)
+            fits = fits | hit
+        if "family" in when:
+            fits = fits & family.eqNullSafe(F.lit(when["family"]))
+        if "text" in when:
+            fits = fits & text.rlike(when["text"])
+        if "prefix" in when:
+            fits = fits & F.exists(names, lambda n: n.startswith(when["prefix"]))  # noqa: B023
+        out = F.when(fits, to).otherwise(out)
+    return out
+
+
+def label_html(pages: DataFrame, id_col: str, html_col: str, engine: str = "prism", family: Column | None = None) -> DataFrame:
+    """(id, start, stop, class) spans of every page; neighbours of one class are one span.
+
+    A null or empty page has none. ``family`` is the language family that some rules ask for.
+    """
+    rows = pages.select(
+        F.col(id_col).alias("_id"), (family if family is not None else F.lit(None)).cast("string").alias("_family"),
+        F.posexplode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(PIECES), F.lit(0))).alias("_at", "_piece"),
+    )
+    piece = F.col("_piece")
+    opens, closes = piece.rlike(OPENING), piece.rlike(CLOSING)
+    given = F.concat(F.regexp_extract(piece, CLASS_ATTRIBUTE, 1), F.regexp_extract(piece, CLASS_ATTRIBUTE, 2))
+    names = F.filter(F.split(given, r"\s+"), lambda n: n != "")
+    if engine == "highlight.js":
+        names = F.transform(names, lambda n: F.regexp_replace(n, "^hljs-", ""))
+    text = F.when(piece.rlike(BREAK), "\n").when(~piece.startswith("<"), decode_entities(piece))
+    page = Window.partitionBy("_id").orderBy("_at")
+    events = rows.select(
+        "_id", "_family", "_at", text.alias("_text"), F.when(opens, names).alias("_names"),
+        F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(page).alias("_sum"),
+    ).where("_text IS NOT NULL OR _names IS NOT NULL OR _sum < 0")
+    # A closing tag with nothing open changes nothing.
+    depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(page))
+    events = events.withColumn("_depth", depth.cast("int"))
+    texts = events.where("_text IS NOT NULL").select("_id", "_family", "_at", "_text", "_depth")
+    levels = texts.where("_depth > 0").select("_id", "_family", "_at", "_text", F.explode(F.sequence(F.lit(1), "_depth")).alias("_level"))
+    frames = events.where("_names IS NOT NULL").select("_id", "_at", F.col("_depth").alias("_level"), "_names")
+    before = Window.partitionBy("_id", "_level").orderBy("_at")
+    held = levels.unionByName(frames, allowMissingColumns=True).withColumn("_names", F.last("_names", ignorenulls=True).over(before))
+    held = held.where("_text IS NOT NULL").withColumn("_class", frame_class(engine, F.col("_names"), F.col("_text"), F.col("_family")))
+    everywhere = ANYWHERE.get(engine, ())
+    decided = held.groupBy(F.col("_id").alias("_i"), F.col("_at").alias("_a")).agg(
+        F.max_by("_class", F.when(F.col("_class").isNotNull(), F.col("_level"))).alias("_class"),
+        *(F.bool_or(F.array_contains("_names", n)).alias(f"_has_{n}") for n in sorted({n for all_of, _ in everywhere for n in all_of})),
+    )
+    name = F.coalesce("_class", F.lit("plain"))
+    for all_of, to in reversed(everywhere):
+        hit = F.lit(True)
+        for n in all_of:
+            hit = hit & F.coalesce(F.col(f"_has_{n}"), F.lit(False))
+        name = F.when(hit, to).otherwise(name)
+    stop = F.sum(units_of(F.col("_text"))).over(page)
+    placed = texts.withColumn("_stop", stop).join(decided, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_at") == F.col("_a")), "left")
+    placed = placed.select("_id", "_at", "_text", name.alias("class"), "_stop", (F.col("_stop") - units_of(F.col("_text"))).alias("_start"))
+    fresh = 1 - F.lag("class").over(page).eqNullSafe(F.col("class")).cast("int")
+    runs = placed.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(page))
+    return runs.groupBy("_id", "_run").agg(
+        F.min("_start").cast("long").alias("start"), F.max("_stop").cast("long").alias("stop"), F.first("class").alias("class")
+    ).select(F.col("_id").alias(id_col), "start", "stop", "class")
+
+
+def text_of(html: Column) -> Column:
+    """What a page's markup spells: its texts and line breaks."""
+    pieces = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(PIECES), F.lit(0))
+    kept = F.transform(pieces, lambda p: F.when(p.rlike(BREAK), "\n").when(p.startswith("<"), "").otherwise(decode_entities(p)))
+    return F.array_join(kept, "")
+
+
+def unfaithful(pages: DataFrame, source_col: str, html_col: str) -> DataFrame:
+    """The rows whose markup does not spell their source: their labels would lie elsewhere."""
+    return pages.where(~text_of(F.col(html_col)).eqNullSafe(F.coalesce(F.col(source_col), F.lit(""))))
