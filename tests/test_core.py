@@ -187,6 +187,76 @@ def test_selection(spark):
     assert [r.k for r in corpus.round_robin_limit(turns, "repo", "g", "k", 4).orderBy("place").collect()] == [0, 3, 1, 7]
 
 
+def quota_records(spark, rows):
+    names = "seq long, stratum string, family string, language string, source string, minified boolean, n long"
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], names)
+
+
+def test_select_corpus(spark):
+    strata = {"author": 0.7, "compiled": 0.15, "tests": 0.1, "documentation": 0.05}
+    rows = [(s, "js", "javascript", f"repo{k % 2}", False, 100) for s in strata for k in range(4)]
+    got = corpus.select_corpus(quota_records(spark, rows), 200, strata, {"js": 1.0}, weighted=("author",))
+    assert {r.stratum: r.t for r in got.groupBy("stratum").agg(F.sum("take").alias("t")).collect()} == {"author": 140, "compiled": 30, "tests": 20, "documentation": 10}
+    two = quota_records(spark, [("author", "js", "javascript", f"repo{k // 2}", False, 100) for k in range(4)])
+    got = corpus.select_corpus(two, 200, {"author": 1.0}, {"js": 1.0}, weighted=("author",)).join(two, "seq")
+    assert {r.source: r.t for r in got.groupBy("source").agg(F.sum("take").alias("t")).collect()} == {"repo0": 100, "repo1": 100}
+    mixed = quota_records(spark, [("author", "ts", lang, f"r{k}", False, 100) for k, lang in enumerate(("typescript", "typescript", "typescript", "tsx", "tsx"))])
+    got = corpus.select_corpus(mixed, 300, {"author": 1.0}, {"ts": 1.0}, weighted=("author",), language_floors={"tsx": 150}).join(mixed, "seq")
+    per = {r.language: r.t for r in got.groupBy("language").agg(F.sum("take").alias("t")).collect()}
+    assert sum(per.values()) == 300 and per["tsx"] == 150
+    small = quota_records(spark, [("compiled", "js", "javascript", f"r{k}", k % 2 == 0, 100) for k in range(6)])
+    got = corpus.select_corpus(small, 200, {"compiled": 1.0}, {"js": 1.0}, minified_share=0.5).join(small, "seq")
+    assert {r.minified: r.t for r in got.groupBy("minified").agg(F.sum("take").alias("t")).collect()} == {True: 100, False: 100}
+    uneven = quota_records(spark, [("author", "js", "javascript", "r", False, 40), ("author", "py", "python", "r", False, 500), ("author", "go", "go", "r", False, 500)])
+    got = corpus.select_corpus(uneven, 600, {"author": 1.0}, {"js": 2.0, "py": 1.0}, weighted=("author",)).join(uneven, "seq")
+    per = {r.family: r.t for r in got.groupBy("family").agg(F.sum("take").alias("t")).collect()}
+    assert per["js"] == 40 and sum(per.values()) == 600
+    with pytest.raises(ValueError):
+        corpus.select_corpus(uneven, 2000, {"author": 1.0}, {"js": 1.0})
+    with pytest.raises(ValueError):
+        corpus.select_corpus(uneven, 600, {"author": 1.0}, {"js": 1.0}, language_floors={"rust": 10})
+
+
+def test_select_mining(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(("minified", "author")), rng.choice("abc"), "x", rng.choice("st"), False, rng.randint(1, 50)) for _ in range(60)]
+
+    def pool(items, total, floor):
+        used, out, left = set(), [], total
+        for family in dict.fromkeys(r[1] for _, r in items):
+            room = min(floor, left)
+            for k, r in items:
+                if r[1] == family and room > 0:
+                    n = min(room, r[5])
+                    out.append((k, n))
+                    used.add(k)
+                    room, left = room - n, left - n
+        queues = {}
+        for k, r in items:
+            if k not in used:
+                queues.setdefault((r[3], r[1]), []).append((k, r[5]))
+        while left > 0:
+            for queue in queues.values():
+                if queue and left > 0:
+                    k, n = queue.pop(0)
+                    out.append((k, min(n, left)))
+                    left -= min(n, left)
+        return out
+
+    numbered = list(enumerate(rows))
+    got = corpus.select_mining(quota_records(spark, rows), 500, 0.4, 60).orderBy("place", "side").collect()
+    want = [pool([x for x in numbered if (x[1][0] == "minified") == small], total, floor) for small, total, floor in ((True, 200, 0), (False, 300, 60))]
+    assert [[(r.seq, r["take"]) for r in got if r.side == side] for side in (0, 1)] == want
+    with pytest.raises(ValueError):
+        corpus.select_mining(quota_records(spark, rows[:3]), 5000)
+
+
+def test_missed_conditions(spark):
+    sums = spark.createDataFrame([("all", "", 200), ("stratum", "a", 141), ("stratum", "b", 59), ("family", "js", 200), ("language", "tsx", 20)], "dimension string, value string, n long")
+    bad = corpus.missed_conditions(sums, 200, {"a": 0.7, "b": 0.31}, families=("js", "py"), languages={"tsx": 30}, constructs={"heredoc": 1})
+    assert sorted((r.condition, r.name) for r in bad.collect()) == [("construct", "heredoc"), ("family", "py"), ("language", "tsx"), ("stratum", "b")]
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(k % 3, k, k * 2) for k in range(50)], "g int, k long, v long")
     got = {r.k: r.s for r in corpus.running_sums(df, ["g"], "k", {"s": F.col("v")}, width=7).collect()}
@@ -199,6 +269,10 @@ def test_deduplication(spark):
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert sorted(r.doc_id for r in corpus.deduplicate(df, "lang", "doc_id").collect()) == [0, 2, 3, 5]
     assert {r.doc_id: r.copies for r in corpus.exact_duplicates(df, "lang", "doc_id").collect()}[0] == 2
+    code = "int x = 1; // first\n/* why */ " + "call(a, b);\n" * 20
+    other = code.replace("first", "second thoughts").replace("why", "because")
+    twins = spark.createDataFrame([(0, "c", code), (1, "c", other), (2, "d", other), (3, "c", code.replace("x", "y"))], "doc_id long, lang string, text string")
+    assert sorted(r.doc_id for r in corpus.deduplicate(twins, "lang", "doc_id").collect()) == [0, 2, 3]
 
 
 def html_classes(spark, html, engine, family=None):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parts import kind_of, part_values
+from ..functions.parts import kind_of, part_values, units_of
 
 #: Fixed value: what trimming removes at both ends.
 BLANK = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
@@ -26,12 +26,19 @@ def exact_duplicates(docs: DataFrame, family: str, seq: str) -> DataFrame:
     return docs.select(key.alias("digest"), seq).groupBy("digest").agg(F.min(seq).alias(seq), F.count("*").alias("copies"))
 
 
-def structural_digest(text: Column, family: Column, least_units: int = 128, least_parts: int = 16) -> Column:
-    """Digest of the parts that are no white space; null for texts too short to tell."""
-    solid = F.filter(part_values(text), lambda v: ~kind_of(v).isin(1, 2))
+#: Comments of most languages: what is compared where no labels say which parts are comments.
+COMMENTS = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?m:^|\s)(?://|#)[^\n]*"
+
+
+def structural_digest(text: Column, family: Column, least_units: int = 128, least_parts: int = 16, comments: str = COMMENTS) -> Column:
+    """Digest of the parts that are neither white space nor in a comment; null for texts too short to tell.
+
+    Length is in UTF-16 units and counts the whole text; the parts that must be there may be comments.
+    """
+    solid = lambda t: F.filter(part_values(t), lambda v: ~kind_of(v).isin(1, 2))
     return F.when(
-        (F.char_length(text) >= least_units) & (F.size(solid) >= least_parts),
-        F.sha2(F.concat_ws("\x00", family, F.lit("source"), F.array_join(solid, "\x00")), 256),
+        (units_of(text) >= least_units) & (F.size(solid(text)) >= least_parts),
+        F.sha2(F.concat_ws("\x00", family, F.lit("source"), F.array_join(solid(F.regexp_replace(text, comments, " ")), "\x00")), 256),
     )
 
 
@@ -79,39 +86,229 @@ def round_robin_limit(rows: DataFrame, repo: str, group: str, order: str, most:
     return ranked.withColumn("place", F.row_number().over(outer)).where(F.col("place") <= most).drop("first_seen")
 
 
-def balanced_take(rows: DataFrame, source: str, seq: str, size: str, quota: int) -> DataFrame:
-    """(seq, source, take): up to an equal share from every source, in turns, then in turns without a cap.
+def with_first(pool: DataFrame, by: list[str], source: str, seq: str) -> DataFrame:
+    """Adds ``_first``, the first ``seq`` of the row's source in its group."""
+    firsts = pool.groupBy(*(F.col(c).alias(f"_f_{c}") for c in by), F.col(source).alias("_source")).agg(F.min(seq).alias("_first"))
+    same = F.col(source).eqNullSafe(F.col("_source"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    return pool.join(firsts, same).drop("_source", *(f"_f_{c}" for c in by))
+
 
-    The first pass gives each source at most ceil(quota / sources) units; a row cut by the
-    share or quota counts as used. A second pass fills the rest from unused rows.
+def take_in_turns(pool: DataFrame, by: list[str], source: str, seq: str, size: str, quota: Column, cap: Column | None = None) -> DataFrame:
+    """(seq, take): within each group of ``by``, records of its sources in turns until the group's quota is met.
+
+    ``quota`` and ``cap``, which limits what one source gives, are constant in a group. The
+    record that reaches the quota or cap is cut; records that give nothing are left out.
+    Sources come in the order of ``_first`` (see ``with_first``).
     """
-    n_sources = rows.select(source).distinct().count()
-    if not n_sources or quota <= 0:
-        return rows.select(seq, source, F.lit(0).cast("long").alias("take")).limit(0)
-    share = -(-quota // n_sources)
-    firsts = rows.groupBy(F.col(source).alias("_source")).agg(F.min(seq).alias("first_seen"))
-
-    def in_turns(pool: DataFrame, cap: int | None, left: int) -> DataFrame:
-        pool = running_sums(pool, [source], seq, {"turn": F.lit(1), "upto": F.col(size)})
-        want = F.col(size) if cap is None else F.greatest(F.lit(0), F.least(F.col(size), cap - (F.col("upto") - F.col(size))))
-        pool = pool.withColumn("want", want).where("want > 0")
-        pool = pool.join(firsts, F.col(source).eqNullSafe(F.col("_source")))
-        # Units of all earlier turns, then of earlier sources within the turn.
-        per_turn = pool.groupBy("turn").agg(F.sum("want").alias("all_want")).withColumn("_one", F.lit(1))
-        per_turn = running_sums(per_turn, ["_one"], "turn", {"turn_upto": F.col("all_want")})
-        per_turn = per_turn.select(F.col("turn").alias("_turn"), (F.col("turn_upto") - F.col("all_want")).alias("before_turn"))
-        within = Window.partitionBy("turn").orderBy("first_seen").rowsBetween(Window.unboundedPreceding, -1)
-        pool = pool.withColumn("in_turn", F.coalesce(F.sum("want").over(within), F.lit(0)))
-        pool = pool.join(per_turn, F.col("turn") == F.col("_turn"))
-        gone = F.col("before_turn") + F.col("in_turn")
-        return pool.select(seq, source, F.greatest(F.lit(0), F.least(F.col("want"), left - gone)).cast("long").alias("take")).where("take > 0")
-
-    first = in_turns(rows.select(seq, source, size), share, quota)
-    got = first.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
-    if got >= quota:
+    rows = running_sums(pool, [*by, source], seq, {"_turn": F.lit(1), "_upto": F.col(size)})
+    want = F.col(size) if cap is None else F.greatest(F.lit(0), F.least(F.col(size), cap - (F.col("_upto") - F.col(size))))
+    rows = rows.withColumn("_want", want).where("_want > 0")
+    # Units of all earlier turns, then of earlier sources within the turn.
+    per_turn = rows.groupBy(*by, "_turn").agg(F.sum("_want").alias("_all_want"))
+    per_turn = running_sums(per_turn, by, "_turn", {"_turn_upto": F.col("_all_want")})
+    per_turn = per_turn.select(*(F.col(c).alias(f"_t_{c}") for c in by), F.col("_turn").alias("_t"), (F.col("_turn_upto") - F.col("_all_want")).alias("_before"))
+    within = Window.partitionBy(*by, "_turn").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    match = F.col("_turn") == F.col("_t")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    rows = rows.withColumn("_in_turn", F.coalesce(F.sum("_want").over(within), F.lit(0))).join(per_turn, match)
+    take = F.greatest(F.lit(0), F.least(F.col("_want"), quota - F.col("_before") - F.col("_in_turn")))
+    return rows.select(seq, *by, take.cast("long").alias("take")).where("take > 0")
+
+
+def grouped_take(rows: DataFrame, group: str, source: str, seq: str, size: str, quotas: dict[str, int]) -> DataFrame:
+    """(seq, group, take): each group's quota, up to an equal share from every source in turns, then in turns without a cap.
+
+    The first pass gives each source of a group at most ceil(quota / sources) units; a record
+    that is cut counts as used. The second pass fills the rest from unused records. The
+    quotas, one per group, are a small table; records are metadata.
+    """
+    spark = rows.sparkSession
+    wanted = {k: v for k, v in quotas.items() if v > 0}
+    if not wanted:
+        return rows.select(seq, group, F.lit(0).cast("long").alias("take")).limit(0)
+    table = spark.createDataFrame(list(wanted.items()), "_group string, _quota long")
+    pool = rows.select(seq, F.col(group).cast("string").alias(group), source, size).join(F.broadcast(table), F.col(group) == F.col("_group"))  # one row per group
+    pool = with_first(pool.drop("_group"), [group], source, seq)
+    sources = pool.groupBy(F.col(group).alias("_g")).agg(F.countDistinct(F.coalesce(F.col(source).cast("string"), F.lit("\x00"))).alias("_sources"))
+    capped = pool.join(F.broadcast(sources), F.col(group) == F.col("_g")).drop("_g")
+    first = take_in_turns(capped, [group], source, seq, size, F.col("_quota"), F.ceil(F.col("_quota") / F.col("_sources")))
+    got = {r[group]: r.n for r in first.groupBy(group).agg(F.sum("take").alias("n")).collect()}  # one row per group
+    short = {k: v - got.get(k, 0) for k, v in wanted.items() if got.get(k, 0) < v}
+    if not short:
         return first
-    unused = rows.select(seq, source, size).join(first.select(F.col(seq).alias("_used")), F.col(seq) == F.col("_used"), "left_anti")
-    return first.unionByName(in_turns(unused, None, quota - got))
+    left = spark.createDataFrame(list(short.items()), "_group string, _left long")
+    unused = pool.join(F.broadcast(left), F.col(group) == F.col("_group")).drop("_group")
+    unused = unused.join(first.select(F.col(seq).alias("_used")), F.col(seq) == F.col("_used"), "left_anti")
+    return first.unionByName(take_in_turns(unused, [group], source, seq, size, F.col("_left")))
+
+
+def balanced_take(rows: DataFrame, source: str, seq: str, size: str, quota: int) -> DataFrame:
+    """(seq, source, take) of one quota over all rows: see ``grouped_take``."""
+    taken = grouped_take(rows.select(seq, source, size).withColumn("_one", F.lit("all")), "_one", source, seq, size, {"all": quota})
+    return rows.select(F.col(seq).alias("_seq"), source).join(taken, F.col("_seq") == F.col(seq)).select(seq, source, "take")
+
+
+def select_corpus(
+    records: DataFrame,
+    total: int,
+    strata: dict[str, float],
+    weights: dict[str, float],
+    *,
+    weighted: tuple[str, ...] = (),
+    least: dict[str, int] | None = None,
+    language_floors: dict[str, int] | None = None,
+    minified_share: float = 0.0,
+) -> DataFrame:
+    """(seq, stratum, take) of (seq, stratum, family, language, source, minified, n) metadata, exactly ``total`` tokens.
+
+    Strata have rounded shares, the last one the rest. In each stratum languages get their
+    floors first, then families their targets by weight; what a family can't give goes to
+    the others by weight, in rounds, then to any record in order. A share of the stratum
+    ``compiled`` is kept for minified records. ValueError where tokens do not suffice.
+    Each pass is a few window jobs over metadata; between passes only sums come to the driver.
+    """
+    out, floors, done = [], dict(language_floors or {}), 0
+    names = list(strata)
+    for stratum in names:
+        quota = total - done if stratum == names[-1] else int(total * strata[stratum] + 0.5)
+        pool = records.where(F.col("stratum") == stratum)
+        chosen: list[DataFrame] = []
+        reserved = 0
+        if floors and quota:
+            asked, room = {}, quota
+            for language, n in floors.items():
+                asked[language] = min(n, room)
+                room -= asked[language]
+            first = _kept(grouped_take(pool, "language", "source", "seq", "n", asked).select("seq", F.col("language").alias("by"), "take"))
+            got = _sums(first)
+            floors = {k: v - got.get(k, 0) for k, v in floors.items() if v > got.get(k, 0)}
+            reserved = sum(got.values())
+            chosen.append(first)
+        parts = [(pool, quota - reserved)]
+        if stratum == "compiled" and minified_share > 0:
+            if reserved:
+                raise ValueError("language floors cannot share a stratum with minified quotas")
+            small = int(quota * minified_share + 0.5)
+            is_small = F.coalesce(F.col("minified"), F.lit(False))
+            parts = [(pool.where(is_small), small), (pool.where(~is_small), quota - small)]
+        for part, n in parts:
+            targets = allocate_targets(n, weights, (least or {}).get(stratum, 0)) if (stratum in weighted or len(parts) > 1) and n else None
+            chosen += _fill(part, n, targets, chosen)
+        for x in chosen:
+            out.append(x.select("seq", F.lit(stratum).alias("stratum"), "take"))
+        done += quota
+    if floors:
+        raise ValueError(f"not enough tokens of languages: {floors}")
+    result = out[0]
+    for x in out[1:]:
+        result = result.unionByName(x)
+    return result
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A pass's choice, cut off from the passes before it."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
+def _sums(taken: DataFrame) -> dict:
+    return {r.by: r.n for r in taken.groupBy("by").agg(F.sum("take").alias("n")).collect()}  # one row per group
+
+
+def _unused(pool: DataFrame, chosen: list[DataFrame]) -> DataFrame:
+    for x in chosen:
+        pool = pool.join(x.select(F.col("seq").alias("_used")), F.col("seq") == F.col("_used"), "left_anti")
+    return pool
+
+
+def _fill(pool: DataFrame, quota: int, targets: dict[str, int] | None, before: list[DataFrame]) -> list[DataFrame]:
+    taken: list[DataFrame] = []
+    left, asked = quota, targets
+    while left > 0 and asked:
+        more = _kept(grouped_take(_unused(pool, before + taken), "family", "source", "seq", "n", asked).select("seq", F.col("family").alias("by"), "take"))
+        got = sum(_sums(more).values())
+        taken.append(more)
+        left -= got
+        if left <= 0 or not got:
+            break
+        able = [r.family for r in _unused(pool, before + taken).where("n > 0").select("family").distinct().collect()]  # families
+        able = {k: targets[k] for k in targets if k in able}
+        asked, room = {}, left
+        for k, w in able.items():
+            asked[k] = min(room, max(1, int(left * w / max(1, sum(able.values())) + 0.5)))
+            room -= asked[k]
+    if left > 0:
+        rest = _unused(pool, before + taken).select("seq", "n").withColumn("_all", F.lit(1))
+        rest = running_sums(rest, ["_all"], "seq", {"_upto": F.col("n")})
+        more = _kept(rest.select("seq", F.lit("").alias("by"), F.least(F.col("n"), left - (F.col("_upto") - F.col("n"))).cast("long").alias("take")).where("take > 0"))
+        if sum(_sums(more).values()) < left:
+            raise ValueError(f"not enough tokens; need {left - sum(_sums(more).values())} more")
+        taken.append(more)
+    return taken
+
+
+def select_mining(records: DataFrame, total: int, minified_share: float = 0.0, family_floor: int = 0) -> DataFrame:
+    """(seq, side, place, take) of (seq, stratum, family, source, n): a mining corpus of exactly ``total`` tokens.
+
+    Minified records have their share. Of the others each family gets up to ``family_floor``
+    tokens in order, families in the order they come; then (source, family) groups give
+    whole records in turns. ``place`` and ``side`` interleave both pools one to one.
+    """
+    small = int(total * minified_share + 0.5)
+    sides = []
+    for side, pool, quota, floor in ((0, records.where("stratum = 'minified'"), small, 0), (1, records.where("stratum <> 'minified'"), total - small, family_floor)):
+        got, taken = 0, []
+        pool = pool.where("n > 0").withColumn("group", F.concat_ws(":", "source", "family"))
+        if floor and quota:
+            upto = running_sums(pool, ["family"], "seq", {"_upto": F.col("n")})
+            want = upto.withColumn("_want", F.least(F.col("n"), floor - (F.col("_upto") - F.col("n")))).where("_want > 0")
+            order = pool.groupBy(F.col("family").alias("_family")).agg(F.min("seq").alias("_first"))
+            per = want.groupBy(F.col("family").alias("_family")).agg(F.sum("_want").alias("_n")).join(order, "_family").withColumn("_all", F.lit(1))
+            per = running_sums(per, ["_all"], "_first", {"_sum": F.col("_n")}).select("_family", (F.col("_sum") - F.col("_n")).alias("_before"), "_first")
+            want = want.join(F.broadcast(per), F.col("family") == F.col("_family"))  # one row per family
+            left = quota - F.col("_before") - (F.col("_upto") - F.col("n"))
+            first = want.select("seq", F.col("_first").alias("_o1"), F.col("seq").alias("_o2"), F.least(F.col("_want"), left).cast("long").alias("take")).where("take > 0")
+            taken.append(_kept(first))
+            got = taken[0].agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+        if got < quota:
+            rest = with_first(_unused(pool, taken).withColumn("_all", F.lit(1)), ["_all"], "group", "seq")
+            more = take_in_turns(rest, ["_all"], "group", "seq", "n", F.lit(quota - got)).drop("_all")
+            places = running_sums(rest, ["group"], "seq", {"_turn": F.lit(1)}).select(F.col("seq").alias("_seq"), (F.col("_turn") + F.lit(1 << 40)).alias("_o1"), F.col("_first").alias("_o2"))
+            more = _kept(more.join(places, F.col("seq") == F.col("_seq")).select("seq", "_o1", "_o2", "take"))
+            if got + (more.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]) < quota:
+                raise ValueError("not enough mining tokens")
+            taken.append(more)
+        for x in taken:
+            sides.append(x.withColumn("side", F.lit(side)))
+    if not sides:
+        return records.select("seq", F.lit(0).alias("side"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("take")).limit(0)
+    both = sides[0]
+    for x in sides[1:]:
+        both = both.unionByName(x)
+    turn = Window.partitionBy("side", "_o1").orderBy("_o2")
+    ranked = both.withColumn("_in", F.row_number().over(turn).cast("long"))
+    steps = ranked.groupBy("side", "_o1").agg(F.count("*").alias("_n"))
+    steps = running_sums(steps, ["side"], "_o1", {"_upto": F.col("_n")}).select(F.col("side").alias("_side"), F.col("_o1").alias("_step"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    return ranked.join(steps, (F.col("side") == F.col("_side")) & (F.col("_o1") == F.col("_step"))).select("seq", "side", (F.col("_before") + F.col("_in")).alias("place"), "take")
+
+
+def missed_conditions(
+    summary: DataFrame, total: int, strata: dict[str, float], *, families: tuple[str, ...] = (), languages: dict[str, int] | None = None, constructs: dict[str, int] | None = None
+) -> DataFrame:
+    """(condition, value, expected) rows of (dimension, value, n) sums that a selection violates; none if all hold."""
+    spark = summary.sparkSession
+    want = [("all", "", float(total), 0.0, None)]
+    want += [("stratum", k, float(int(total * r + 0.5)), 1.0, None) for k, r in strata.items()]
+    want += [("family", k, 1.0, None, "least") for k in families]
+    want += [("language", k, float(n), None, "least") for k, n in (languages or {}).items()]
+    want += [("construct", k, float(n), None, "least") for k, n in (constructs or {}).items()]
+    table = spark.createDataFrame(want, "condition string, name string, expected double, slack double, kind string")
+    j = F.broadcast(table).join(summary.select("dimension", F.col("value").alias("_value"), "n"), (F.col("condition") == F.col("dimension")) & (F.col("name") == F.col("_value")), "left")
+    n = F.coalesce("n", F.lit(0))
+    bad = F.when(F.col("kind") == "least", n < F.col("expected")).otherwise(F.abs(n - F.col("expected")) > F.col("slack"))
+    return j.where(bad).select("condition", "name", n.cast("long").alias("n"), "expected")
 
 
 def allocate_targets(total: int, weights: dict[str, float], least: int) -> dict[str, int]:

@@ -259,9 +259,13 @@ SELECT a.lang, total, correct, round(correct::DOUBLE / total, 9) AS accuracy, ro
     "confusion_quality": f"WITH {QUALITY} SELECT expected, predicted, count(*) AS n FROM qp GROUP BY expected, predicted",
     "effective_files": "SELECT lang, round(CASE WHEN sum(n_chars::DOUBLE * n_chars) > 0 THEN sum(n_chars)::DOUBLE * sum(n_chars)::DOUBLE / sum(n_chars::DOUBLE * n_chars) ELSE 0 END, 6) AS effective_files FROM documents GROUP BY lang",
     "exact_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY lang, {TRIM}",
-    "structural_dedup": f"""WITH a AS (SELECT doc_id, lang, {TRIM} AS t, text, {SOLID} AS solid FROM documents),
-x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, t ORDER BY doc_id) AS rn FROM a) WHERE rn = 1),
-s AS (SELECT doc_id, length(text) >= 128 AND len(solid) >= 16 AS big, row_number() OVER (PARTITION BY lang, length(text) >= 128 AND len(solid) >= 16, solid ORDER BY doc_id) AS rn FROM x)
+    "structural_dedup": f"""WITH a AS (SELECT doc_id, lang, {TRIM} AS t, text, {SOLID} AS solid,
+    length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units FROM documents),
+x AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lang, t ORDER BY doc_id) AS rn FROM a) WHERE rn = 1),
+c AS (SELECT doc_id, lang, units >= 128 AND len(solid) >= 16 AS big,
+    regexp_replace(text, '/\\*[\\s\\S]*?\\*/|<!--[\\s\\S]*?-->|(?m:^|\\s)(?://|#)[^\\n]*', ' ', 'g') AS text FROM x),
+k AS (SELECT doc_id, lang, big, {SOLID} AS code FROM c),
+s AS (SELECT doc_id, big, row_number() OVER (PARTITION BY lang, big, code ORDER BY doc_id) AS rn FROM k)
 SELECT doc_id FROM s WHERE NOT coalesce(big, false) OR rn = 1""",
     "reserved_antijoin": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), k AS (SELECT doc_id, {TRIM} AS t FROM l),
 r AS (SELECT DISTINCT {TRIM} AS t FROM benchmark)
