@@ -184,14 +184,15 @@ def fit_url_model(
     bins = F.array(
         *(sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES)
     )
-    rows = cut(rows.select(*FEATURES, "y", "w", bins.alias("bins")).repartition(4))
+    # One row per URL and feature, made once: every level of every tree sums them up anew.
+    rows = cut(rows.select(*FEATURES, "y", "w", bins.alias("bins")).repartition(4).select(*FEATURES, "y", "w", F.posexplode("bins").alias("f", "bin")))
     for _ in range(n_trees):
         tree = 0.0
         p = 1 / (1 + F.exp(-model.margin()))
-        stats = rows.select(*FEATURES, "bins", (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
+        stats = rows.select(*FEATURES, "f", "bin", (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
         for level in range(depth):
             hist = (
-                stats.select(_node_of(tree).alias("node"), "g", "h", F.posexplode("bins").alias("f", "bin"))
+                stats.select(_node_of(tree).alias("node"), "g", "h", "f", "bin")
                 .groupBy("node", "f", "bin")
                 .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
                 .collect()  # at most 2^level x features x bins rows
