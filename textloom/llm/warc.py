@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: The fields that a 304 answer may carry to update a stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
@@ -74,20 +76,34 @@ def _fields(block: Column) -> Column:
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """The columns that ``resolve_revisits`` reads, of WARC records given as strings. Row-local."""
+    """The columns that ``resolve_revisits`` reads, of WARC records given as strings. Row-local.
+
+    Each step gives an array of at most one element per record, so nothing is computed twice.
+    """
     gap = "\r\n\r\n"
     whole = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    head = F.substring_index(whole, gap, 1)
-    rows = records.where(whole.startswith("WARC/1.")).select(
-        _fields(head).alias("warc"), F.substring_index(F.substr(whole, F.char_length(head) + len(gap) + 1), gap, 1).alias("http")
+    heads = records.select(F.inline(F.filter(F.array(F.struct(whole.alias("whole"))), lambda r: r["whole"].startswith("WARC/1."))))
+    heads = heads.select("whole", F.substring_index("whole", gap, 1).alias("head"))
+    rows = heads.select(
+        F.inline(
+            F.array(
+                F.struct(
+                    _fields(F.col("head")).alias("warc"),
+                    F.substring_index(F.substr("whole", F.char_length("head") + len(gap) + 1, F.lit(1 << 16)), gap, 1).alias("http"),
+                )
+            )
+        )
+    )
+    known = lambda r: (r["kind"] == "revisit") | ((r["kind"] == "response") & (r["status"] == "200"))
+    parsed = F.struct(
+        F.col("warc")["warc-type"].alias("kind"), F.regexp_extract("http", r"^HTTP/\S+ (\d{3})", 1).alias("status"), "warc", _fields(F.col("http")).alias("headers")
     )
-    rows = rows.select("warc", _fields(F.col("http")).alias("headers"), F.regexp_extract("http", r"^HTTP/\S+ (\d{3})", 1).alias("status"))
-    field, kind = F.col("warc"), F.col("warc")["warc-type"]
-    return rows.where((kind == "revisit") | ((kind == "response") & (F.col("status") == "200"))).select(
+    field = F.col("warc")
+    return rows.select(F.inline(F.filter(F.array(parsed), known))).select(
         F.regexp_extract(field["warc-record-id"], r"(\d+)>?$", 1).try_cast("long").alias("record_id"),
         field["warc-target-uri"].alias("url"),
         F.unix_timestamp(field["warc-date"].try_cast("timestamp")).alias("ts"),
-        kind.alias("kind"),
+        "kind",
         F.col("headers")["etag"].alias("etag"),
         F.col("headers")["last-modified"].alias("last_modified"),
         field["warc-payload-digest"].alias("digest"),
@@ -200,7 +216,8 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def op7_revisits(spark, sf_dir: str) -> DataFrame:
     """Query: the revisits among the WARC records made of all ``pages``."""
-    out = resolve_revisits(parse_records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+    records, _ = stored(parse_records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))))  # read three times below
+    out = resolve_revisits(records)
     joined = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.withColumn("headers", joined)
 
