@@ -341,3 +341,29 @@ def corpus_summary(rows: DataFrame, dims: list[str], measures: dict[str, Column]
         name = F.when(F.col("_g") == only, d).otherwise(name)
         value = F.when(F.col("_g") == only, F.col(d).cast("string")).otherwise(value)
     return sets.select(name.alias("dimension"), value.alias("value"), *measures)
+
+
+def candidate_order(priority: str, *names: str) -> list[Column]:
+    """Falling priority, then names."""
+    return [F.desc(priority), *(F.asc(n) for n in names)]
+
+
+def limit_per_group(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group, with their ``place``; limited before the shuffle as well."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)
+
+
+def distinct_names(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, names): the sorted different names of each group."""
+    return rows.select(by, name).distinct().groupBy(by).agg(F.array_sort(F.collect_list(name)).alias("names"))
+
+
+def missing_values(rows: DataFrame, column: str, required: list[str]) -> DataFrame:
+    """The required values that no row has, as ``missing``."""
+    want = rows.sparkSession.createDataFrame([(v,) for v in required], "missing string")
+    return want.join(rows.select(F.col(column).alias("_v")).distinct(), F.col("missing") == F.col("_v"), "left_anti")
+
+
+def shared_between(rows: DataFrame, value: str, group: str) -> DataFrame:
+    """(value, n_groups) of the values that occur in more than one group: a source may be in one split only."""
+    return rows.groupBy(F.col(value).alias("value")).agg(F.countDistinct(group).alias("n_groups")).where("n_groups > 1")

@@ -134,9 +134,21 @@ SELECT page_id, language, family,
     WHEN coalesce(language IN ('markdown', 'mdx'), false) OR regexp_matches(lower(path), {q(rules.DOCUMENTATION)}) THEN 'documentation' ELSE 'author' END AS stratum,
   regexp_matches(lower(path), {q(rules.GENERATED)}) OR regexp_matches(path, '(?:^|/)package-lock\\.json$') AS generated FROM f"""
 
-CONSTRUCT_SQL = "WITH t AS (SELECT lang, coalesce(text, '') AS s FROM documents) " + " UNION ALL ".join(
-    f"SELECT lang, {q(name)} AS construct, count(*) AS n_docs FROM t WHERE regexp_matches(s, {q(pattern)})" + (" OR lang = 'diff'" if name == "diff-hunk" else "") + " GROUP BY lang"
-    for name, pattern in rules.CONSTRUCTS.items()
+def construct_test(name: str) -> str:
+    tests = [f"regexp_matches(s, {q(rules.CONSTRUCTS[name])})"] if name in rules.CONSTRUCTS else []
+    tests += ["lang = 'diff'"] if name == "diff-hunk" else []
+    for of, languages, families, pattern in rules.GATED_CONSTRUCTS:
+        if of == name:
+            tests.append(f"(lang IN ({', '.join(map(q, (*languages, *families)))}) AND regexp_matches(s, {q(pattern)}))")
+    return " OR ".join(tests)
+
+
+CONSTRUCT_SQL = (
+    "WITH t AS (SELECT lang, coalesce(text, '') AS s FROM documents UNION ALL "
+    "SELECT ['html', 'markdown', 'css', 'common-lisp'][CAST(page_id % 4 + 1 AS INTEGER)], coalesce(html, '') FROM pages) "
+) + " UNION ALL ".join(
+    f"SELECT lang, {q(name)} AS construct, count(*) AS n_docs FROM t WHERE {construct_test(name)} GROUP BY lang"
+    for name in (*rules.CONSTRUCTS, "css-selector", "css-declaration")
 )
 
 

@@ -22,7 +22,7 @@ from ..functions.parts import (
     part_table,
 )
 from ..functions.raw_input import document_profiles, lite_hashes, segments
-from ..operators import align, corpus, html_labels, metrics, quantize, spans, training
+from ..operators import align, corpus, metrics, quantize, spans, training
 
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.3, "fr": 0.2, "it": 0.1}
 JUNK = r"[#$%&*]{3}|\||!!"
@@ -244,8 +244,12 @@ def page_paths(spark, sf):
 
 
 def syntax_constructs(spark, sf):
-    docs = _table(spark, sf, "documents").select("lang", rules.constructs_of(F.coalesce("text", F.lit("")), F.col("lang"), F.col("lang")).alias("c"))
-    return docs.select("lang", F.explode("c").alias("construct")).groupBy("lang", "construct").agg(F.count("*").alias("n_docs"))
+    """Constructs in documents (as their language) and in pages (as HTML, Markdown, style sheets and Lisp in turn)."""
+    docs = _table(spark, sf, "documents").select("lang", F.coalesce("text", F.lit("")).alias("s"))
+    turn = F.get(F.array(*map(F.lit, ("html", "markdown", "css", "common-lisp"))), (F.col("page_id") % 4).cast("int"))
+    both = docs.unionByName(_table(spark, sf, "pages").select(turn.alias("lang"), F.coalesce("html", F.lit("")).alias("s")))
+    rows = both.select("lang", rules.constructs_of(F.col("s"), F.col("lang"), F.col("lang")).alias("c"))
+    return rows.select("lang", F.explode("c").alias("construct")).groupBy("lang", "construct").agg(F.count("*").alias("n_docs"))
 
 
 def scope_classes(spark, sf):
@@ -281,11 +285,6 @@ def replay_factors(spark, sf):
     return j.select("doc_id", F.round(f, 9).alias("factor"))
 
 
-def page_text_spans(spark, sf):
-    s = html_labels.label_html(_table(spark, sf, "pages"), "page_id", "html")
-    return s.groupBy("page_id", "class").agg(F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("units"))
-
-
 def document_profile(spark, sf):
     return document_profiles(_table(spark, sf, "documents"))
 
@@ -330,7 +329,7 @@ QUERIES = {
         align_window_labels, class_confusion, class_scores, class_overall, confusion_quality, effective_files, exact_dedup,
         structural_dedup, reserved_antijoin, round_robin_limit, balanced_take, objective_coverage, weighted_error,
         guard_decisions, corpus_summary, class_weights, auxiliary_weights, page_paths, syntax_constructs, scope_classes,
-        quantized_embeddings, event_latest, texts_in_several_sources, replay_factors, page_text_spans,
+        quantized_embeddings, event_latest, texts_in_several_sources, replay_factors,
         document_profile, token_segments, lite_word_hashes, span_agreement, effective_support,
     )
 } | {"part_features": part_features_by_document}
