@@ -476,6 +476,42 @@ def test_quality_selection(spark, nothing):
     assert least == -math.inf or all(r.sample_key >= least for r in keys.limit(0).collect())
 
 
+def ngrams(text, buckets):
+    """Buckets of words and of pairs of neighbouring words; a pair of equal words is one n-gram whatever the word."""
+    import re
+
+    h = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+    out = [x % buckets for x in h]
+    for a, b in zip(h, h[1:]):
+        x = (a * 0x9E3779B1 + b) % 2**64
+        out.append(1 if a == b else (x ^ (x >> 29)) % buckets)
+    return out
+
+
+def test_quality_by_brute_force(spark):
+    rng, buckets = random.Random(31), 256
+    docs = [(i, prose(rng.randint(0, 40), i) + (" ###" * rng.randint(0, 9) if i % 3 == 0 else "")) for i in range(150)]
+    docs += [(7, docs[7][1]), (200, None), (201, "tie"), (202, "tie")]
+    target = [i for i in range(150) if i % 3]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), target, buckets=buckets, seed=7, noise=1.0)
+    raw, wanted = Counter(), Counter()
+    for i, t in docs:
+        raw.update(ngrams(t, buckets))
+        if i in target:
+            wanted.update(ngrams(t, buckets))
+    ratio = lambda b: math.log((wanted[b] + 1) / (sum(wanted.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets))
+    got = model.keys(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id, r.log_weight)), sorted(docs, key=lambda d: d[0])):
+        weight = sum(ratio(b) for b in ngrams(t, buckets))
+        u = (xxhash.xxh64_intdigest(str(i).encode(), 7) + 0.5) / 2**64
+        assert r.doc_id == i and r.log_weight == pytest.approx(weight, abs=1e-9)
+        assert r.sample_key == pytest.approx(weight - math.log(-math.log(u)), abs=1e-9)
+    keys = sorted((r.sample_key for r in got), reverse=True)
+    table = spark.createDataFrame([(k,) for k in keys], "k double")
+    assert [quality.kth_largest(table, "k", k, bins=4) for k in (1, 20, len(keys))] == [keys[0], keys[19], keys[-1]]
+
+
 def test_weights_by_brute_force(monkeypatch):
     model = quality.QualityModel(np.arange(64, dtype=float), 1, 1.0)
     text = prose(500, 3) + " ### a a a"
@@ -610,6 +646,19 @@ def test_trees_learn_from_labelled_urls(spark):
 # 7
 
 
+def test_weighted_urls_learn_like_repeated_ones(spark):
+    rng = random.Random(3)
+    rows = [(f"http://host{k % 7}.com/{'x' * rng.randint(0, 9)}{k}", int(k % 7 < 3)) for k in range(60)]
+    many = rows + [rows[0]] * 500 + [rows[4]] * 200 + [("http://long.com/" + "y" * 40_000, 1)]
+    model = urls.fit_url_model(spark.createDataFrame(many, "url string, blocked int"), max_training_rows=10_000, n_trees=2)
+    few = {r.suffix: r.suffix_rate for r in model.suffixes.collect()}
+    for suffix, n, y in [("host0.com", 509, 509), ("host4.com", 209 - 1, 0)]:
+        n = sum(u.split("/")[2] == suffix for u, _ in many)
+        y = sum(b for u, b in many if u.split("/")[2] == suffix)
+        assert few[suffix] == pytest.approx((y + 4 * model.prior) / (n + 4))
+    assert model.prior == pytest.approx((sum(b for _, b in many) + 0.5) / (len(many) + 1))
+
+
 def test_revisits(spark):
     h = lambda **k: {x.replace("_", "-"): v for x, v in k.items()}
     rows = [

@@ -1,10 +1,12 @@
 """The pipeline on a small folder of tables: what goes, what stays, and that every id is packed once."""
 
-
+import random
 
 import corpus_pipeline
 from textloom.llm.decontaminate import decontaminate_stage
+from textloom.llm.quality import quality_stage
 from textloom.llm.secrets import clean_stage
+from textloom.llm.simhash_groups import near_dedup_stage
 
 from .test_operators import ids_of, prose
 
@@ -54,3 +56,43 @@ def test_stages_take_awkward_rows(spark, tmp_path):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, None, 3)], "doc_id long, text string, index int")
     assert decontaminate_stage(spark, df, str(tmp_path)).count() == 3
     assert sorted((r["index"], r.text) for r in clean_stage(spark, df, "").collect()) == [(1, None), (2, ""), (3, None)]
+
+
+def small_folder(spark, path, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, key string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    small_folder(spark, str(tmp_path), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    rows = [(None, None, "en", "s", None, "k"), (1, None, "en", "s", 0, "k"), (2, "", None, None, 0, "k"), (3, "same words here", "en", "s", 15, "k"), (3, "same words here", "en", "s", 15, "k"), (4, prose(30_000, 5), "en", "s", None, None)]
+    small_folder(spark, str(tmp_path), rows, [])
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert quality_stage(spark, at, str(tmp_path)).count() == len(rows)
+    kept = near_dedup_stage(spark, at, str(tmp_path)).collect()
+    # Null and empty texts are copies of each other; a row without an id stays, repeated rows stay together.
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3, 3, 4]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 3, 4}
+
+
+def test_near_dedup_stage_by_brute_force(spark):
+    rng, texts = random.Random(17), []
+    for k in range(12):
+        words = prose(rng.randint(5, 80), k).split()
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(w if rng.random() > 0.02 else f"new{rng.random()}" for w in words))
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (t.lower().split() for t in texts)]
+    top = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if x == old else x for x in top]
+    kept = near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(top))
