@@ -564,3 +564,68 @@ def test_partition_and_batches(spark):
     assert len(got) == 200 and set(loads) == set(range(7)) and max(loads.values()) - min(loads.values()) <= 40
     sums = {(r.bucket, r.batch): r.s for r in training.length_batches(df, "k", "n", 50).groupBy("bucket", "batch").agg(F.sum("n").alias("s")).collect()}
     assert sum(sums.values()) == sum(n for _, n in rows) and max(sums.values()) < 50 + 40
+
+
+def test_shard_errors_and_folders(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"split":"train"}\n\nnot json\n{"path":"\u2028 in"}\n{"x"', encoding="utf-8")
+    bad = files.malformed_lines(spark, str(tmp_path / "a.jsonl")).orderBy("line").collect()
+    assert [(r.line, r.text) for r in bad] == [(3, "not json"), (5, '{"x"')] and bad[0].file.endswith("a.jsonl")
+    root = tmp_path / "tree"
+    for name, body in (("b.txt", b"b"), ("a.txt", b"a"), ("empty", b""), ("node_modules/x.js", b"x"), ("src/bad", b"\xff"), ("src/long", b"y" * 99)):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+    got = files.scan_folder(spark, str(root), 50).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.status) for r in got] == [("a.txt", "ok"), ("b.txt", "ok"), ("bad", "not UTF-8"), ("long", "too large")]
+    names = [str(root / n) for n in ("a.txt", "empty", "src/bad", "src/long", "b.txt")]
+    status = {r.path.rsplit("/", 1)[1]: r.status.split(":")[0] for r in files.listed_files(spark, names, 4, 50).collect()}
+    assert status == {"a.txt": "record", "empty": "skipped", "bad": "malformed", "long": "skipped", "b.txt": "skipped"}
+
+
+def test_csr_round_trip_and_replace(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, [rng.randint(-9, 10**6) for _ in range(rng.randint(0, 5))]) for k in range(50)]
+    df = spark.createDataFrame(rows, "k long, v array<int>")
+    files.write_csr(df, str(tmp_path / "csr"), "k", "v", block=8)
+    assert sorted((r.key, r["values"]) for r in files.read_csr(spark, str(tmp_path / "csr")).collect()) == rows
+    assert sorted(r.key for r in files.read_csr(spark, str(tmp_path / "csr"), 13, 29).collect()) == list(range(13, 29))
+    for n in (3, 5):
+        files.replace(df.limit(n), str(tmp_path / "table"))
+        assert spark.read.parquet(str(tmp_path / "table")).count() == n
+    files.write_summary(df.agg(F.count("*").alias("n")), str(tmp_path / "summary.json"))
+    assert spark.read.json(str(tmp_path / "summary.json")).first().n == 50
+    assert not [p.name for p in tmp_path.iterdir() if ".new-" in p.name or ".old-" in p.name]
+
+
+def test_checkpoint_and_codecs(spark, tmp_path):
+    import json
+
+    from textloom.functions import codec
+
+    folder = tmp_path / "model"
+    folder.mkdir()
+    codes = np.array([-31, 0, 31, 16, -15])
+    packed, floats = codec.pack_signed(codes, 6), np.array([1.5, -2.0], "<f4").tobytes()
+    (folder / "data.bin").write_bytes(packed + floats)
+    manifest = [{"name": "a", "shape": [5], "offset": 0, "length": len(packed), "bits": 6, "scale": 0.5}, {"name": "b", "shape": [2, 1], "offset": len(packed), "length": 8}]
+    (folder / "model.json").write_text(json.dumps(manifest))
+    got = files.load_checkpoint(spark, str(folder))
+    assert got["a"].tolist() == (codes * 0.5).tolist() and got["b"].tolist() == [[1.5], [-2.0]]
+    (folder / "other.bin").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        files.load_checkpoint(spark, str(folder))
+    some = np.arange(37) % 16
+    assert codec.unpack_bit_planes(codec.pack_bit_planes(some, 4), 4, 37).tolist() == some.tolist()
+    x = codec.xorshift(7, 1000)
+    assert 0 <= x.min() and x.max() < 1 and 0.45 < x.mean() < 0.55 and len(set(x.tolist())) == 1000
+    kept = codec.runtime_rows()
+    assert len(kept) == 749 and codec.runtime_ids(np.array([0, 658, 660, 754, -1])).tolist() == [0, 658, 659, 748, -1]
+    assert codec.widened_rows(np.arange(6).reshape(6, 1), 2, 2, 4).ravel().tolist() == [0, 1, 2, 3, 2, 3, 4, 5]
+
+
+def test_stream_shard(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text('{"split":"train","source":"x%d"}\n' % k)
+    query = files.stream_shard(spark, str(tmp_path / "in"), max_files=1).writeStream.format("memory").queryName("shards").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r.source for r in spark.table("shards").collect()) == ["x0", "x1", "x2"]

@@ -367,3 +367,24 @@ def missing_values(rows: DataFrame, column: str, required: list[str]) -> DataFra
 def shared_between(rows: DataFrame, value: str, group: str) -> DataFrame:
     """(value, n_groups) of the values that occur in more than one group: a source may be in one split only."""
     return rows.groupBy(F.col(value).alias("value")).agg(F.countDistinct(group).alias("n_groups")).where("n_groups > 1")
+
+
+def with_minified(rows: DataFrame, text: str, minify, languages: tuple[str, ...], least_units: int = 16) -> DataFrame:
+    """Rows and, of the languages given, their minified forms where these differ and are long enough: adds ``minified``.
+
+    ``minify`` makes a column of a column: a minifier is not part of the engine.
+    """
+    small = rows.where(F.col("language").isin(*languages)).withColumn("_small", minify(F.col(text)))
+    small = small.where((F.col("_small") != F.col(text)) & (units_of(F.col("_small")) >= least_units))
+    small = small.withColumn(text, F.col("_small")).drop("_small").withColumn("minified", F.lit(True))
+    return rows.withColumn("minified", F.lit(False)).unionByName(small)
+
+
+def relabelled(records: DataFrame, label) -> DataFrame:
+    """Records with their stored labels dropped and made anew by ``label`` (a column of (source, language))."""
+    return records.drop("sourceLabels").withColumn("sourceLabels", label(F.col("source"), F.col("language")))
+
+
+def compact_metadata(rows: DataFrame, column: str, *fields: str) -> DataFrame:
+    """The struct column without fields that say where and how it was made."""
+    return rows.withColumn(column, F.col(column).dropFields(*fields))

@@ -112,3 +112,15 @@ def moving_average(values: DataFrame, key: str, order: str, value: str, decay: f
     rows = values.groupBy(key).agg(series.alias("_x"))
     rest = F.slice("_x", F.lit(2), F.greatest(F.size("_x") - 1, F.lit(0)))
     return rows.select(key, F.aggregate(rest, F.element_at("_x", 1), lambda a, x: a * decay + x * (1 - decay)).alias("average"))
+
+
+def early_stop(epochs: DataFrame, run: str, epoch: str, score: str, patience: int) -> DataFrame:
+    """(run, best_epoch, stop_epoch): the first epoch ``patience`` after the best one so far, null if none is reached."""
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    rows = epochs.withColumn("_best", F.max_by(epoch, F.struct(F.col(score), -F.col(epoch))).over(so_far))
+    stops = rows.groupBy(run).agg(F.min(F.when(F.col(epoch) - F.col("_best") >= patience, F.col(epoch))).alias("stop_epoch"))
+    seen = rows.join(stops.withColumnRenamed(run, "_run"), F.col(run) == F.col("_run"))
+    kept = seen.where(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
+    return kept.groupBy(run).agg(F.max_by("_best", epoch).alias("best_epoch"), F.first("stop_epoch").alias("stop_epoch"))

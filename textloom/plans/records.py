@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
-from ..operators import corpus, infer, metrics, pooling, quantize, schedule, training
+from ..operators import audit, corpus, infer, metrics, pooling, quantize, schedule, training
 from ..sources import files
+from ..streaming import streams
 from .oracles import OBJECTIVE, QUALITY, counts, q, some
 from .queries import LANGUAGE_WEIGHTS, SCOPES, _counts, _objective, _table
 
@@ -316,6 +317,59 @@ def selection_conditions(spark, sf):
     return corpus.missed_conditions(s, 400_001, {}, languages={"en": 1_000, "de": 390_000, "xx": 1}).select("condition", "name", "n", "expected")
 
 
+def debounced_events(spark, sf):
+    return streams.debounced(_table(spark, sf, "events"), "user_id", "ts", 3600.0, "event_id").select("event_id", "user_id")
+
+
+def job_batches(spark, sf):
+    b = streams.job_batches(_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role"), "id")
+    return b.groupBy("batch").agg(F.count("*").alias("n_jobs"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def early_stops(spark, sf):
+    """Events of each user as epochs; a run ends five epochs after its best one."""
+    return schedule.early_stop(_table(spark, sf, "events").select("user_id", "event_id", F.floor("value").alias("score")).where("event_id IS NOT NULL"), "user_id", "event_id", "score", 400)
+
+
+def minified_pages(spark, sf):
+    p = _table(spark, sf, "pages").select("page_id", "html", F.when(F.col("page_id") % 3 == 0, "html").otherwise("markdown").alias("language"))
+    m = corpus.with_minified(p, "html", lambda t: F.regexp_replace(t, r"\s+", " "), ("html",))
+    return m.select("page_id", "minified", F.char_length("html").cast("long").alias("n"))
+
+
+def compact_records(spark, sf):
+    d = _meta(spark, sf).select("doc_id", F.struct("lang", "source", "n_chars").alias("meta"))
+    return corpus.compact_metadata(d, "meta", "source", "history").select("doc_id", F.to_json("meta").alias("meta"))
+
+
+def relabelled_records(spark, sf):
+    d = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("source"), F.col("lang").alias("language"), F.lit("old").alias("sourceLabels"))
+    r = corpus.relabelled(d, lambda source, language: F.concat(language, F.lit(":"), F.length(source).cast("string")))
+    return r.select("doc_id", F.col("sourceLabels").alias("labels"))
+
+
+def landed_files(spark, sf):
+    """Documents as fetched files against a manifest in which some digests are stale, some files lacking and some not listed."""
+    d = _table(spark, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    manifest = d.where("doc_id % 7 <> 3").select("path", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.lit("stale"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
+    return files.landed(d.where("doc_id % 11 <> 2").select("path", "content"), manifest)
+
+
+def provenance_differences(spark, sf):
+    d = _meta(spark, sf)
+    other = d.where("doc_id % 9 <> 4").withColumn("source", F.when(F.col("doc_id") % 10 == 1, "moved").otherwise(F.col("source")))
+    return files.provenance_differences(d, other, ["doc_id"]).select("doc_id", "source", "side")
+
+
+def projection_audit(spark, sf):
+    """What labels lose when parts take one class each, and when everything is plain."""
+    from .labels import CLASSES, _windows
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    a = audit.projection_audit(docs, _windows(spark, sf, 11, 9), CLASSES)
+    return a.agg(F.sum("labelled").alias("labelled"), F.sum("projected").alias("projected"), F.sum("baseline").alias("baseline"))
+
+
 def parsed_spans(spark, sf):
     """Conversations through the classifier with fixed weights: every part classified, merged into spans."""
     c = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -330,7 +384,8 @@ QUERIES = {
         sources_by_language, missing_languages, manifest_problems, sources_in_two_splits, source_urls, safe_names, number_forms, label_digests, example_entries,
         pooled_embeddings, running_means, moving_averages, tape_ranges, activations, overlap_shares, canonical_properties, truncated_sources, website_scope_classes,
         engine_languages, normal_languages, engine_scores, top_language_agreement, language_drops, tier_guards, promotion_decision, auto_promotion, mature_languages,
-        major_languages, language_factors, best_checkpoint, stage_schedule, experiment_plan, quantization_gap, selection_conditions, parsed_spans,
+        major_languages, language_factors, best_checkpoint, stage_schedule, experiment_plan, quantization_gap, selection_conditions, debounced_events, job_batches, early_stops, minified_pages, compact_records,
+        relabelled_records, landed_files, provenance_differences, projection_audit, parsed_spans,
     )
 }
 
@@ -439,4 +494,28 @@ SELECT language, family, support, round(errors / support, 9) AS error, language
 FROM (VALUES (16), (24), (32)) a(hidden), (VALUES (24), (48)) b(classifier), (VALUES (1), (2)) c(seed)""",
     "quantization_gap": f"""WITH e AS (SELECT list_position({LIST}, list_max({LIST})) AS top, {best_code(6)} AS six, {best_code(4)} AS four FROM embeddings),
 s AS (SELECT avg(CAST(six = top AS DOUBLE)) AS six, avg(CAST(four = top AS DOUBLE)) AS four FROM e) SELECT round(six, 9) AS six, round(four, 9) AS four, round(100 * (six - four), 7) AS gap FROM s""",
+    "debounced_events": """WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
+SELECT event_id, user_id FROM e WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 3600000000""",
+    "job_batches": """WITH r AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS k FROM conversations)
+SELECT k // 64 AS batch, count(*) AS n_jobs, min(id) AS first, max(id) AS last FROM r GROUP BY k // 64""",
+    "early_stops": """WITH e AS (SELECT user_id, event_id, floor(value) AS s FROM events), b AS (SELECT e.user_id, e.event_id, (SELECT f.event_id FROM e f WHERE f.user_id = e.user_id AND f.event_id <= e.event_id ORDER BY f.s DESC, f.event_id LIMIT 1) AS best FROM e),
+t AS (SELECT user_id, min(CASE WHEN event_id - best >= 400 THEN event_id END) AS stop_epoch FROM b GROUP BY user_id)
+SELECT user_id, arg_max(best, event_id) AS best_epoch, any_value(stop_epoch) AS stop_epoch FROM b JOIN t USING (user_id) WHERE stop_epoch IS NULL OR event_id <= stop_epoch GROUP BY user_id""",
+    "minified_pages": r"""WITH m AS (SELECT page_id, html, regexp_replace(html, '[ \t\n\x0B\f\r]+', ' ', 'g') AS s FROM pages)
+SELECT page_id, false AS minified, length(html) AS n FROM m UNION ALL SELECT page_id, true, length(s) FROM m WHERE page_id % 3 = 0 AND s <> html AND length(s) >= 16""",
+    "compact_records": """SELECT doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || '}' AS meta FROM documents""",
+    "relabelled_records": "SELECT doc_id, lang || ':' || length(text) AS labels FROM documents",
+    "landed_files": """SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 2 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'unlisted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS status
+FROM documents WHERE NOT (doc_id % 11 = 2 AND doc_id % 7 = 3)""",
+    "provenance_differences": """SELECT doc_id, source, 'left' AS side FROM documents WHERE doc_id % 9 = 4 OR doc_id % 10 = 1 UNION ALL SELECT doc_id, 'moved', 'right' FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 10 = 1""",
 }
+
+from .labels import L11  # noqa: E402
+from .oracles import OFFSETS  # noqa: E402
+
+ORACLE_SQL["projection_audit"] = f"""WITH {OFFSETS}, {L11},
+m AS (SELECT o.doc_id, i, class, min(seq) AS seq, sum(least(stop, z) - greatest(start, a)) AS w FROM o JOIN l11 ON l11.doc_id = o.doc_id AND a < stop AND z > start GROUP BY o.doc_id, i, class),
+b AS (SELECT doc_id, i, arg_max(class, struct_pack(w := w, s := -seq)) AS class FROM m GROUP BY doc_id, i),
+u AS (SELECT o.doc_id, b.class, unnest(range(CAST(start AS BIGINT), stop)) AS x FROM o LEFT JOIN b USING (doc_id, i) WHERE kind IN (0, 3)),
+e AS (SELECT doc_id, class, unnest(range(a, z)) AS x FROM l11)
+SELECT count(*) AS labelled, count_if(e.class = coalesce(u.class, 'plain')) AS projected, count_if(e.class = 'plain') AS baseline FROM e JOIN u USING (doc_id, x)"""

@@ -42,24 +42,39 @@ def stream_spans(chunks: DataFrame) -> DataFrame:
     """
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cls, start, stop, level = state.get if state.exists else (None, 0, 0, 0)
-        rows, done = [], False
-        for pdf in frames:
-            for r in pdf.sort_values("i").itertuples(index=False):
-                if cls == r[4] and stop == r.start:
-                    stop, level = r.stop, min(level, r.level)
-                else:
-                    if cls is not None:
-                        rows.append((key[0], cls, start, stop, level))
-                    cls, start, stop, level = r[4], r.start, r.stop, r.level
-                if r.last:
-                    rows.append((key[0], cls, start, stop, level))
-                    cls, done = None, True
-        if done:
+        parts = [pdf.sort_values("i")[["class", "start", "stop", "level", "last"]] for pdf in frames]
+        if state.exists:
+            cls, start, stop, level = state.get
+            parts.insert(0, pd.DataFrame([(cls, start, stop, level, False)], columns=["class", "start", "stop", "level", "last"]))
+        rows = pd.concat(parts, ignore_index=True)
+        fresh = (rows["class"] != rows["class"].shift()) | (rows["start"] != rows["stop"].shift()) | rows["last"].shift(fill_value=False)
+        spans = rows.groupby(fresh.cumsum(), sort=True).agg(
+            **{"class": ("class", "first"), "start": ("start", "min"), "stop": ("stop", "max"), "level": ("level", "min"), "last": ("last", "any")}
+        )
+        still_open = not bool(spans["last"].iloc[-1])
+        if still_open:
+            tail = spans.iloc[-1]
+            state.update((tail["class"], int(tail["start"]), int(tail["stop"]), int(tail["level"])))
+            spans = spans.iloc[:-1]
+        elif state.exists:
             state.remove()
-        elif cls is not None:
-            state.update((cls, int(start), int(stop), int(level)))
-        yield pd.DataFrame(rows, columns=["doc_id", "class", "start", "stop", "level"])
+        yield spans.drop(columns="last").assign(doc_id=key[0])[["doc_id", "class", "start", "stop", "level"]]
 
     ordered = chunks.select("doc_id", "i", "start", "stop", "class", "level", "last")
     return ordered.groupBy("doc_id").applyInPandasWithState(merge, SPANS, "class string, start long, stop long, level int", "append", "NoTimeout")
+
+
+def debounced(events: DataFrame, key: str, ts: str, gap_seconds: float, *order: str) -> DataFrame:
+    """The events that no other one of their key follows within the gap: what is left of a burst of edits."""
+    from pyspark.sql import Window
+
+    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, *order))
+    quiet = after.isNull() | (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) > int(gap_seconds * 1_000_000))
+    return events.withColumn("_quiet", quiet).where("_quiet").drop("_quiet")
+
+
+def job_batches(requests: DataFrame, order: str, most: int = 64) -> DataFrame:
+    """Adds ``batch``: at most ``most`` successive requests, in blocks, so no task numbers all of them."""
+    from ..operators.corpus import running_sums
+
+    return running_sums(requests.withColumn("_all", F.lit(1)), ["_all"], order, {"_place": F.lit(1)}).withColumn("batch", F.floor((F.col("_place") - 1) / most)).drop("_all", "_place")
