@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import parts as P
 from textloom.functions import raw_input
 from textloom.functions import rules
-from textloom.operators import align, corpus, html_labels, infer, metrics, mining, quantize, spans, training
+from textloom.operators import align, corpus, html_labels, infer, lite, metrics, mining, quantize, spans, training
 from textloom.sources import files
 from textloom.streaming import streams
 
@@ -629,3 +629,68 @@ def test_stream_shard(spark, tmp_path):
     query = files.stream_shard(spark, str(tmp_path / "in"), max_files=1).writeStream.format("memory").queryName("shards").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.source for r in spark.table("shards").collect()) == ["x0", "x1", "x2"]
+
+
+def lite_by_loops(ids, m):
+    """The lite model part by part and channel by channel."""
+    sig, tanh = (lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))), (lambda x: math.tanh(max(-15, min(15, x))))
+    dot = lambda name, k, x: m[f"{name}.bias"][k] + sum(w * v for w, v in zip(m[name][k], x))
+    rms = lambda x, gain: [v / math.sqrt(sum(y * y for y in x) / len(x) + 1e-6) * g for v, g in zip(x, gain)]
+    n, d = len(ids[0]), lite.DIM
+    x = [[dot("up", c, [sum(m["embedding"][int(f[t])][e] for f in ids if f[t] >= 0) for e in range(32)]) for c in range(d)] for t in range(n)]
+    first = [row[:] for row in x]
+    mean, most = ([f([row[c] for row in x]) for c in range(d)] for f in (lambda v: sum(v) / n, max))
+    low = rms(mean + most, m["film.gain"])
+    low = [tanh(dot("film.down", k, low)) for k in range(lite.FILM)]
+    up = [tanh(dot("film.up", k, low)) for k in range(lite.LAYERS * 2 * d)]
+    for layer, dilation in enumerate(lite.DILATIONS):
+        name, s = f"layer{layer}", m["film.strength"][layer]
+        y = [[v * (1 + s[c] * up[(2 * layer) * d + c]) + s[c] * up[(2 * layer + 1) * d + c] for c, v in enumerate(rms(row, m[f"{name}.gain"]))] for row in x]
+        at = lambda t, c: y[t][c] if 0 <= t < n else 0.0  # noqa: E731, B023
+        local = [[m[f"{name}.taps.bias"][c] + sum(m[f"{name}.taps"][c][k] * at(t + (k - 2) * dilation, c) for k in range(5)) for c in range(d)] for t in range(n)]
+        put, erase = [], []
+        for row in local:
+            rank = [tanh(dot(f"{name}.erase.down", k, row)) for k in range(lite.ERASE)]
+            erase.append([sig(dot(f"{name}.erase.up", k, rank)) for k in range(2 * d)])
+            put.append([tanh(dot(f"{name}.in", c, row)) * sig(dot(f"{name}.in", d + c, row)) for c in range(d)])
+        ahead, back = [[0.0] * d for _ in range(n)], [[0.0] * d for _ in range(n)]
+        for c in range(d):
+            h = 0.0
+            for t in range(n):
+                ahead[t][c] = h = sig(m[f"{name}.base"][c]) * (1 - erase[t][c]) * h + put[t][c]
+            h = 0.0
+            for t in reversed(range(n)):
+                back[t][c] = h = sig(m[f"{name}.base"][d + c]) * (1 - erase[t][d + c]) * h + put[t][c]
+        x = [[x[t][c] + dot(f"{name}.out", c, ahead[t] + back[t]) * sig(m[f"{name}.gate"][c]) for c in range(d)] for t in range(n)]
+    out = []
+    mean, most = ([f([row[c] for row in x]) for c in range(d)] for f in (lambda v: sum(v) / n, max))
+    for t in range(n):
+        g = [[sig(x[k][c] * m["pool.declared"][c]) for k in range(t + 1)] for c in range(d)]
+        prefix = [sum(x[k][c] * g[c][k] for k in range(t + 1)) / max(1.0, sum(g[c])) for c in range(d)]
+        suffix = [sum(x[k][c] for k in range(t, n)) / (n - t) for c in range(d)]
+        context = [tanh(dot("pool", c, mean + most + prefix + suffix)) * sig(dot("pool.gate", c, x[t])) for c in range(d)]
+        joined = rms([x[t][c] + m["highway"] * first[t][c] for c in range(d)], m["head.gain"]) + context
+        hidden = [dot("head", k, joined) for k in range(lite.HEAD)]
+        hidden = [0.5 * a * (1 + tanh(0.7978845608 * (a + 0.044715 * a**3))) for a in hidden]
+        out.append([dot("classes", k, hidden) for k in range(lite.N_CLASSES)])
+    return np.array(out)
+
+
+def test_lite_model(spark):
+    import pyarrow as pa
+
+    words = ["Foo_1", " ", "BAR", "\n", "  ", "\\", "/", "/", "x", "é9"]
+    p = lite.lite_parts(pa.array(words), np.array([len(words)]))
+    assert (p["len_bucket"][0], p["first_char"][0], p["last_char"][0], p["flags"][0]) == (2, 70, 49, 31) and p["flags"][2] & 128
+    assert p["flags"][4] & 16 and p["flags"][5] & 64 and p["next_pair"][6] == p["prev_pair"][7] == 1
+    m = lite.random_lite_weights(3)
+    ids = lite.lite_ids(p)
+    assert np.allclose(lite.lite_logits(ids, m), lite_by_loops(ids, m), atol=1e-9)
+    rows = docs(spark, "a b + c", "", None, "def f(x):\n  return x")
+    got = lite.parse_lite(rows, m).orderBy("doc_id", "start").collect()
+    for doc, n in ((0, 7), (3, 20)):
+        mine = [(r.start, r.stop) for r in got if r.doc_id == doc]
+        assert mine[0][0] == 0 and mine[-1][1] == n and [b for _, b in mine[:-1]] == [a for a, _ in mine[1:]]
+    alone = {i: [r["class"] for r in lite.classify_lite(docs(spark, t), m).orderBy("i").collect()] for i, t in ((0, "a b + c"), (3, "def f(x):\n  return x"))}
+    both = lite.classify_lite(rows, m).orderBy("doc_id", "i").collect()
+    assert {i: [r["class"] for r in both if r.doc_id == i] for i in (0, 3)} == alone

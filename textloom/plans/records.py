@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
-from ..operators import audit, corpus, infer, metrics, pooling, quantize, schedule, training
+from ..operators import audit, corpus, infer, lite, metrics, pooling, quantize, schedule, training
 from ..sources import files
 from ..streaming import streams
 from .oracles import OBJECTIVE, QUALITY, counts, q, some
@@ -370,6 +370,13 @@ def projection_audit(spark, sf):
     return a.agg(F.sum("labelled").alias("labelled"), F.sum("projected").alias("projected"), F.sum("baseline").alias("baseline"))
 
 
+def parsed_spans_lite(spark, sf):
+    """Conversations through the lite model with fixed weights, as spans that tile each text."""
+    c = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    s = lite.parse_lite(c, lite.random_lite_weights())
+    return s.groupBy("doc_id", "class").agg(F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("units"))
+
+
 def parsed_spans(spark, sf):
     """Conversations through the classifier with fixed weights: every part classified, merged into spans."""
     c = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -385,7 +392,7 @@ QUERIES = {
         pooled_embeddings, running_means, moving_averages, tape_ranges, activations, overlap_shares, canonical_properties, truncated_sources, website_scope_classes,
         engine_languages, normal_languages, engine_scores, top_language_agreement, language_drops, tier_guards, promotion_decision, auto_promotion, mature_languages,
         major_languages, language_factors, best_checkpoint, stage_schedule, experiment_plan, quantization_gap, selection_conditions, debounced_events, job_batches, early_stops, minified_pages, compact_records,
-        relabelled_records, landed_files, provenance_differences, projection_audit, parsed_spans,
+        relabelled_records, landed_files, provenance_differences, projection_audit, parsed_spans, parsed_spans_lite,
     )
 }
 
