@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import running_sums
+
 WINDOW_SCHEMA = "record_id long, family string, source string, from int, to int, errors int, density double, score double"
 
 
+def overlap_share(a: int, b: int, c: int, d: int) -> float:
+    """How much of the shorter of [a, b) and [c, d) lies in the other."""
+    return max(0, min(b, d) - max(a, c)) / min(b - a, d - c)
+
+
 def error_windows(parts: DataFrame, window: int = 128, stride: int | None = None, context: int | None = None) -> DataFrame:
     """Windows anchored on failures of (record_id, family, source, i, n_parts, supervised, target, predicted, chance).
 
@@ -31,31 +38,28 @@ def error_windows(parts: DataFrame, window: int = 128, stride: int | None = None
 def choose_windows(windows: DataFrame, families: list[str], max_parts: int = 250_000, per_source: int = 12) -> DataFrame:
     """The best windows of each family in turns; at most ``per_source`` of a source, none half covered by an earlier one.
 
-    Overlap and source limits concern one source at a time, so they are applied per source
-    first; what is left is in turns over families, and the part limit bounds the last fold.
+    Overlap concerns one record at a time, so each record drops its covered windows first and
+    keeps ``per_source`` at most, then each source keeps its best; both choices are those of one
+    list per source. What is left goes in turns over families up to ``max_parts`` parts, by
+    running sums.
     """
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "errors", "density", "record_id", "from"], ascending=[False, False, False, True, True])
-        taken: dict[int, list[tuple[int, int]]] = {}
-        rows = []
-        for r in pdf.itertuples(index=False):
-            a, b = r[3], r[4]
-            near = taken.setdefault(r.record_id, [])
-            if len(rows) >= per_source or any(max(0, min(b, y) - max(a, x)) / min(b - a, y - x) > 0.5 for x, y in near):
-                continue
-            near.append((a, b))
-            rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    from pyspark.sql import Window
+    def uncovered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "errors", "density", "from"], ascending=[False, False, False, True])
+        kept: list[int] = []
+        low, high = pdf["from"].to_numpy(), pdf["to"].to_numpy()
+        for k in range(len(pdf)):
+            share = [overlap_share(low[k], high[k], low[j], high[j]) for j in kept]
+            if len(kept) < per_source and max(share, default=0.0) <= 0.5:
+                kept.append(k)
+        return pdf.iloc[kept]
 
     names = [c.split()[0] for c in WINDOW_SCHEMA.split(", ")]
-    kept = windows.where(F.col("family").isin(families)).select(*names).groupBy("source").applyInPandas(lambda pdf: keep(pdf), WINDOW_SCHEMA)
-    best = Window.partitionBy("family").orderBy(F.desc("score"), F.desc("errors"), F.desc("density"), "record_id", "from")
-    least = F.array_position(F.lit(families), F.col("family"))
-    turns = kept.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= max_parts).withColumn("family_no", least)
-    upto = F.sum(F.col("to") - F.col("from")).over(Window.orderBy("turn", "family_no").rowsBetween(Window.unboundedPreceding, 0))
-    # The last window runs over the best of each family in turns only: their number is bounded by max_parts.
-    first = turns.orderBy("turn", "family_no").limit(max_parts)
-    return first.withColumn("upto", upto).where(F.col("upto") <= max_parts).drop("upto", "family_no")
+    best = [F.desc("score"), F.desc("errors"), F.desc("density"), F.asc("record_id"), F.asc("from")]
+    kept = windows.where(F.col("family").isin(families)).select(*names).groupBy("record_id").applyInPandas(uncovered, WINDOW_SCHEMA)
+    kept = kept.withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where(F.col("_place") <= per_source)
+    turns = kept.withColumn("turn", F.row_number().over(Window.partitionBy("family").orderBy(*best))).where(F.col("turn") <= max_parts)
+    order = (F.col("turn") * len(families) + F.array_position(F.lit(families), F.col("family"))).cast("long")
+    turns = turns.withColumn("_order", order).withColumn("_all", F.lit(1))
+    summed = running_sums(turns, ["_all"], "_order", {"_upto": F.col("to") - F.col("from")})
+    return summed.where(F.col("_upto") <= max_parts).select(*names, "turn")
