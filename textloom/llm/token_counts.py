@@ -21,7 +21,7 @@ a parallel prefix scan: in each round a map is joined to the one that ends where
 so runs of any length take a logarithmic number of rounds. At last the heads before first
 starts are replayed from the entry states so found.
 
-Null and empty texts have no tokens. Special tokens' strings in a text count as the
+Null and empty texts have no tokens; a null id stays null; an empty table gives no rows. Special tokens' strings in a text count as the
 library counts them by default: one token each, and the text around is split there.
 """
 
