@@ -370,6 +370,32 @@ def projection_audit(spark, sf):
     return a.agg(F.sum("labelled").alias("labelled"), F.sum("projected").alias("projected"), F.sum("baseline").alias("baseline"))
 
 
+STRATA = {"author": 0.8, "tests": 0.2}
+
+
+def _candidates(spark, sf):
+    stratum = F.get(F.array(*map(F.lit, STRATA)), (F.floor(F.col("doc_id") / 3) % 2).cast("int"))
+    return _meta(spark, sf).select(
+        F.col("doc_id").alias("seq"), stratum.alias("stratum"), F.col("lang").alias("family"), F.concat("lang", (F.col("doc_id") % 2).cast("string")).alias("language"),
+        "source", (F.col("doc_id") % 4 == 0).alias("minified"), F.col("n_chars").alias("n"),
+    )
+
+
+def selected_corpus(spark, sf):
+    """Per stratum, the characters of a corpus of exactly 200,000 with 5,000 of one language at least."""
+    rows = _candidates(spark, sf)
+    got = corpus.select_corpus(rows, 200_000, STRATA, LANGUAGE_WEIGHTS, weighted=("author",), language_floors={"en1": 5_000})
+    j = got.join(rows.select("seq", "language"), "seq")
+    return j.groupBy("stratum").agg(F.sum("take").alias("taken"), (F.sum(F.when((F.col("language") == "en1") & (F.col("stratum") == "author"), F.col("take"))) >= 5_000).alias("floor_met"))
+
+
+def mining_corpus(spark, sf):
+    """Characters and records per side of a mining corpus of 150,000, a third of them minified."""
+    rows = _candidates(spark, sf).withColumn("stratum", F.when(F.col("minified"), "minified").otherwise(F.col("stratum")))
+    m = corpus.select_mining(rows, 150_000, 1 / 3, 10_000)
+    return m.groupBy("side").agg(F.sum("take").alias("taken"), (F.max("place") == F.count("*")).alias("gapless"))
+
+
 def parsed_spans_lite(spark, sf):
     """Conversations through the lite model with fixed weights, as spans that tile each text."""
     c = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -392,7 +418,7 @@ QUERIES = {
         pooled_embeddings, running_means, moving_averages, tape_ranges, activations, overlap_shares, canonical_properties, truncated_sources, website_scope_classes,
         engine_languages, normal_languages, engine_scores, top_language_agreement, language_drops, tier_guards, promotion_decision, auto_promotion, mature_languages,
         major_languages, language_factors, best_checkpoint, stage_schedule, experiment_plan, quantization_gap, selection_conditions, debounced_events, job_batches, early_stops, minified_pages, compact_records,
-        relabelled_records, landed_files, provenance_differences, projection_audit, parsed_spans, parsed_spans_lite,
+        relabelled_records, landed_files, provenance_differences, projection_audit, selected_corpus, mining_corpus, parsed_spans, parsed_spans_lite,
     )
 }
 
@@ -501,6 +527,8 @@ SELECT language, family, support, round(errors / support, 9) AS error, language
 FROM (VALUES (16), (24), (32)) a(hidden), (VALUES (24), (48)) b(classifier), (VALUES (1), (2)) c(seed)""",
     "quantization_gap": f"""WITH e AS (SELECT list_position({LIST}, list_max({LIST})) AS top, {best_code(6)} AS six, {best_code(4)} AS four FROM embeddings),
 s AS (SELECT avg(CAST(six = top AS DOUBLE)) AS six, avg(CAST(four = top AS DOUBLE)) AS four FROM e) SELECT round(six, 9) AS six, round(four, 9) AS four, round(100 * (six - four), 7) AS gap FROM s""",
+    "selected_corpus": "SELECT * FROM (VALUES ('author', CAST(160000 AS BIGINT), true), ('tests', 40000, NULL)) t(stratum, taken, floor_met)",
+    "mining_corpus": "SELECT * FROM (VALUES (0, CAST(50000 AS BIGINT), true), (1, 100000, true)) t(side, taken, gapless)",
     "debounced_events": """WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
 SELECT event_id, user_id FROM e WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 3600000000""",
     "job_batches": """WITH r AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS k FROM conversations)
