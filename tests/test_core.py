@@ -694,3 +694,18 @@ def test_lite_model(spark):
     alone = {i: [r["class"] for r in lite.classify_lite(docs(spark, t), m).orderBy("i").collect()] for i, t in ((0, "a b + c"), (3, "def f(x):\n  return x"))}
     both = lite.classify_lite(rows, m).orderBy("doc_id", "i").collect()
     assert {i: [r["class"] for r in both if r.doc_id == i] for i in (0, 3)} == alone
+
+
+def test_aligned_documents_equal_the_interval_join(spark):
+    rng, texts, labels = random.Random(2), [], []
+    for d in range(12):
+        texts.append((d, "".join(rng.choice(("word", " ", "a1", "+", "é😀", "\n")) for _ in range(rng.randint(0, 60)))))
+        for seq in range(rng.randint(0, 20)):
+            a = rng.randint(0, 150)
+            labels.append((d, seq, a, a + rng.randint(-1, 40), rng.choice(rules.CLASSES), rng.choice((None, 0.25, 1.0)), rng.choice((None, 1, 6))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ls = spark.createDataFrame(labels, "doc_id long, seq long, from long, to long, class string, confidence double, auxiliary int")
+    row = lambda r: (r.doc_id, r.i, r.start, r.stop, r["class"], r.auxiliary, r.confidence, round(r.coverage, 9))
+    want = sorted(map(row, align.align_labels(ls, P.part_table(df)).collect()))
+    got = sorted(map(row, align.align_documents(df, ls, rules.CLASSES).collect()))
+    assert got == want and len(got) > 200

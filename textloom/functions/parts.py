@@ -181,19 +181,21 @@ def _part_columns(words: pa.Array, sizes: np.ndarray, wanted: set[str]) -> dict:
         at_start = (solid < 0) | (kind[solid] == NEWLINE)
         flags = np.where(word, bits & 15, np.where(kind == SPACE, bits & 32, np.where(head == ord("\\"), 64, 0))).astype(np.int64) + 16 * at_start
         out |= {"len_bucket": np.where(units > 127, 7, np.log2(np.maximum(units, 1)).astype(np.int64)), "first_char": head, "last_char": tail, "flags": flags}
-        at = np.flatnonzero(word)
-        taken = offsets[:-1][at]
-        compact = np.concatenate([[0], np.cumsum(units[at])])
-        spread = np.repeat(taken - compact[:-1], units[at]) + np.arange(compact[-1])
-        for name, start, factor, mask in (("hash8", 197, 147, 255), ("hash7", 57, 119, 127)):
-            out[name] = np.zeros(len(units), dtype=np.int64)
-            out[name][at] = fold_words(data[spread], compact, start, factor, mask)
-        none_before, none_after = index == first, index == first + sizes[doc] - 1
-        for name, left, right, other, none in (
-            ("prev", np.roll(tail, 1), head, np.roll(symbol, 1), none_before), ("next", tail, np.roll(head, -1), np.roll(symbol, -1), none_after),
-        ):
-            out[f"{name}_pair"] = np.where(none, 0, PAIR_CODES[left << 8 | right])
-            out[f"{name}_symbol_pair"] = np.where(none | ~(symbol | other), 0, ((left + 1) * 131 ^ right) % 31 + 1)
+        if wanted & {"hash8", "hash7"}:
+            at = np.flatnonzero(word)
+            taken = offsets[:-1][at]
+            compact = np.concatenate([[0], np.cumsum(units[at])])
+            spread = np.repeat(taken - compact[:-1], units[at]) + np.arange(compact[-1])
+            for name, start, factor, mask in (("hash8", 197, 147, 255), ("hash7", 57, 119, 127)):
+                out[name] = np.zeros(len(units), dtype=np.int64)
+                out[name][at] = fold_words(data[spread], compact, start, factor, mask)
+        if wanted & {n for n in FEATURES if n.endswith("pair")}:
+            none_before, none_after = index == first, index == first + sizes[doc] - 1
+            for name, left, right, other, none in (
+                ("prev", np.roll(tail, 1), head, np.roll(symbol, 1), none_before), ("next", tail, np.roll(head, -1), np.roll(symbol, -1), none_after),
+            ):
+                out[f"{name}_pair"] = np.where(none, 0, PAIR_CODES[left << 8 | right])
+                out[f"{name}_symbol_pair"] = np.where(none | ~(symbol | other), 0, ((left + 1) * 131 ^ right) % 31 + 1)
     return out
 
 

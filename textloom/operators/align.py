@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parts import DOCS_AT_ONCE, PLACED, _part_columns, part_values
+
 
-def align_labels(labels: DataFrame, parts: DataFrame, slot: int = 256) -> DataFrame:
+def align_labels(labels: DataFrame, parts: DataFrame, slot: int = 48) -> DataFrame:
     """Interval join of (doc_id, seq, from, to, class, confidence, auxiliary) with (doc_id, i, start, stop).
 
     Both sides are dealt into slots of ``slot`` units of offset, so the join is an
@@ -23,17 +30,17 @@ def align_labels(labels: DataFrame, parts: DataFrame, slot: int = 256) -> DataFr
         spread("from", "to").alias("l_slot"),
     )
     lo, hi = F.greatest("start", "from"), F.least("stop", "to")
-    met = left.join(right, (F.col("doc_id") == F.col("l_doc")) & (F.col("slot") == F.col("l_slot")))
-    met = met.where((hi > lo) & (F.floor(lo / slot) == F.col("slot"))).withColumn("width", hi - lo)
+    here = (F.col("doc_id") == F.col("l_doc")) & (F.col("slot") == F.col("l_slot")) & (hi > lo) & (F.floor(lo / slot) == F.col("slot"))
+    # Parts without a label stay through the outer join, so they are read and shuffled once.
+    met = left.join(right, here, "left").withColumn("width", hi - lo)
     votes = met.groupBy("doc_id", "i", "l_class").agg(
-        F.sum("width").alias("width"), F.sum(F.col("width") * F.col("l_conf")).alias("weight"),
-        F.min("seq").alias("seq"), F.bit_or("l_aux").alias("aux"),
+        F.min("start").alias("start"), F.min("stop").alias("stop"), F.sum(F.when(F.col("l_doc").isNotNull(), F.col("width"))).alias("width"),
+        F.sum(F.col("width") * F.col("l_conf")).alias("weight"), F.min("seq").alias("seq"), F.bit_or("l_aux").alias("aux"),
     )
-    best = votes.groupBy("doc_id", "i").agg(
-        F.max_by(F.struct("l_class", "width", "weight"), F.struct("width", -F.col("seq"))).alias("best"),
+    out = votes.groupBy("doc_id", "i").agg(
+        F.min("start").alias("start"), F.min("stop").alias("stop"), F.max_by(F.struct("l_class", "width", "weight"), F.struct("width", -F.col("seq"))).alias("best"),
         F.sum("width").alias("covered"), F.bit_or("aux").alias("auxiliary"),
     )
-    out = parts.select("doc_id", "i", "start", "stop").join(best, ["doc_id", "i"], "left")
     share = (F.col("best.width") / F.col("covered")) * (F.col("best.weight") / F.col("best.width")) * (
         F.col("covered") / (F.col("stop") - F.col("start"))
     )
@@ -47,6 +54,77 @@ def align_labels(labels: DataFrame, parts: DataFrame, slot: int = 256) -> DataFr
     )
 
 
+def _aligned(p: dict, doc: np.ndarray, labels: dict, n_classes: int) -> dict:
+    """``align_labels`` for tiling parts of several documents; ``labels`` are in order, with their documents' numbers."""
+    # One line of offsets for all documents, so that one search finds each label's first and last part.
+    size = np.bincount(doc, p["units"], int(labels["n_docs"])).astype(np.int64)
+    base = np.cumsum(size) - size
+    start, stop = p["start"] + base[doc], p["stop"] + base[doc]
+    low = np.clip(labels["from"], 0, size[labels["doc"]]) + base[labels["doc"]]
+    high = np.clip(labels["to"], 0, size[labels["doc"]]) + base[labels["doc"]]
+    first, last = np.searchsorted(stop, low, "right"), np.searchsorted(start, high, "left")
+    n = np.where(high > low, np.maximum(last - first, 0), 0)
+    label = np.repeat(np.arange(len(n)), n)
+    part = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    width = np.minimum(stop[part], high[label]) - np.maximum(start[part], low[label])
+    key, seen, where = np.unique(part * n_classes + labels["class"][label], return_index=True, return_inverse=True)
+    votes, weight = np.bincount(where, width, len(key)), np.bincount(where, width * labels["confidence"][label], len(key))
+    covered = np.bincount(part, width, len(doc))
+    auxiliary = np.zeros(len(doc), dtype=np.int64)
+    np.bitwise_or.at(auxiliary, part, labels["auxiliary"][label])
+    # The widest class of each part; of equal ones the one met first.
+    owner = key // n_classes
+    order = np.lexsort((seen, -votes, owner))
+    best = order[np.append(True, np.diff(owner[order]) != 0)] if len(order) else order
+    chosen, share = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc))
+    at, length = owner[best], (stop - start)[owner[best]]
+    chosen[at] = key[best] % n_classes
+    share[at] = (votes[best] / covered[at]) * (weight[best] / votes[best]) * (covered[at] / length)
+    sure = np.where(covered > 0, np.floor(255 * np.maximum(0.25, share) + 0.5), 0).astype(np.int64)
+    return {"class": chosen, "auxiliary": auxiliary, "confidence": sure, "coverage": covered / np.maximum(stop - start, 1)}
+
+
+def align_documents(docs: DataFrame, labels: DataFrame, classes: tuple[str, ...], *keep: str) -> DataFrame:
+    """``align_labels`` of documents' own parts: a document's labels travel to its text, no part is shuffled.
+
+    Labels of no known class are left out. Result: doc_id, *keep, i, kind, start, stop, class,
+    auxiliary, confidence, coverage.
+    """
+    place = F.create_map(*(F.lit(x) for k, c in enumerate(classes) for x in (c, k)))
+    own = labels.where(F.col("class").isin(*classes)).groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.array_sort(F.collect_list(F.struct(
+            F.col("seq").cast("long").alias("seq"), F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"),
+            F.element_at(place, F.col("class")).cast("long").alias("class"), F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"),
+            F.coalesce(F.col("auxiliary").cast("long"), F.lit(0)).alias("auxiliary"),
+        ))).alias("_labels")
+    )
+    rows = docs.select("doc_id", *keep, part_values(F.coalesce("text", F.lit(""))).alias("_values")).join(own, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    names = pa.array(classes)
+    out = {"i": "int", "kind": "int", "start": "long", "stop": "long", "class": "string", "auxiliary": "int", "confidence": "int", "coverage": "double"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                b = batch.slice(at, DOCS_AT_ONCE)
+                sizes = np.diff(b.column("_values").offsets.to_numpy())
+                p, doc = _part_columns(b.column("_values").flatten(), sizes, set(PLACED)), np.repeat(np.arange(b.num_rows), sizes)
+                lists = b.column("_labels")
+                flat, many = lists.flatten(), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+                given = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("from", "to", "class", "confidence", "auxiliary")}
+                got = _aligned(p, doc, given | {"doc": np.repeat(np.arange(b.num_rows), many), "n_docs": b.num_rows}, len(classes))
+                got["class"] = names.take(pa.array(got["class"]))
+                taken = pa.array(doc)
+                cols = [b.column(n).take(taken) for n in ("doc_id", *keep)]
+                kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+                for name, kind in out.items():
+                    values = got.get(name, p.get(name))
+                    cols.append(values if isinstance(values, pa.Array) else pa.array(values).cast(kinds[kind]))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *keep, *out])
+
+    schema = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in ("doc_id", *keep)), *(f"`{n}` {t}" for n, t in out.items())])
+    return rows.mapInArrow(run, schema)
+
+
 def clip_labels(labels: DataFrame, limit) -> DataFrame:
     """Drop labels that begin at ``limit`` or later and cut the one that crosses it."""
     return labels.where(F.col("from") < limit).withColumn("to", F.least(F.col("to"), F.lit(limit)))

@@ -194,13 +194,11 @@ def first_difference(left: DataFrame, right: DataFrame, key: str, order: str, va
 def projection_audit(docs: DataFrame, labels: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """(doc_id, labelled, projected, baseline): scored units, those right after each part takes its label, those right as plain.
 
-    The labels of a part are those that ``align_labels`` gives it; ``labels`` as there.
+    The label of a part is the one that ``align_documents`` gives it; ``labels`` as there.
     """
-    from ..functions.parts import PLACED, part_table
-    from .align import align_labels
+    from .align import align_documents
 
-    parts = part_table(docs, columns={"i": "int"} | PLACED)
-    spans = align_labels(labels, parts).select("doc_id", F.col("start").alias("from"), F.col("stop").alias("to"), "class")
+    spans = align_documents(docs, labels, classes).select("doc_id", F.col("start").alias("from"), F.col("stop").alias("to"), "class")
     got = audit_labels(docs, labels, spans, classes).select("doc_id", "labelled", F.col("correct").alias("projected"))
     plain = audit_labels(docs, labels, spans.limit(0), classes).select(F.col("doc_id").alias("_d"), F.col("correct").alias("baseline"))
     return got.join(plain, F.col("doc_id") == F.col("_d")).drop("_d")

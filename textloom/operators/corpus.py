@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parts import kind_of, part_values, units_of
+from ..functions.parts import units_of
 
 #: Fixed value: what trimming removes at both ends.
 BLANK = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
@@ -26,6 +26,8 @@ def exact_duplicates(docs: DataFrame, family: str, seq: str) -> DataFrame:
     return docs.select(key.alias("digest"), seq).groupBy("digest").agg(F.min(seq).alias(seq), F.count("*").alias("copies"))
 
 
+#: Fixed value: the parts' alternatives but for white space.
+SOLID = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+|[^0-9A-Za-z_\x{80}-\x{10FFFF}\t\x0B\f \r\n]"
 #: Comments of most languages: what is compared where no labels say which parts are comments.
 COMMENTS = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?m:^|\s)(?://|#)[^\n]*"
 
@@ -35,10 +37,10 @@ def structural_digest(text: Column, family: Column, least_units: int = 128, leas
 
     Length is in UTF-16 units and counts the whole text; the parts that must be there may be comments.
     """
-    solid = lambda t: F.filter(part_values(t), lambda v: ~kind_of(v).isin(1, 2))
+    code = F.regexp_extract_all(F.regexp_replace(text, comments, " "), F.lit(SOLID), F.lit(0))
     return F.when(
-        (units_of(text) >= least_units) & (F.size(solid(text)) >= least_parts),
-        F.sha2(F.concat_ws("\x00", family, F.lit("source"), F.array_join(solid(F.regexp_replace(text, comments, " ")), "\x00")), 256),
+        (units_of(text) >= least_units) & (F.regexp_count(text, F.lit(SOLID)) >= least_parts),
+        F.sha2(F.concat_ws("\x00", family, F.lit("source"), F.array_join(code, "\x00")), 256),
     )
 
 
@@ -96,7 +98,7 @@ def with_first(pool: DataFrame, by: list[str], source: str, seq: str) -> DataFra
 
 
 def take_in_turns(pool: DataFrame, by: list[str], source: str, seq: str, size: str, quota: Column, cap: Column | None = None) -> DataFrame:
-    """(seq, take): within each group of ``by``, records of its sources in turns until the group's quota is met.
+    """(seq, by..., source, take): within each group of ``by``, records of its sources in turns until the group's quota is met.
 
     ``quota`` and ``cap``, which limits what one source gives, are constant in a group. The
     record that reaches the quota or cap is cut; records that give nothing are left out.
@@ -115,11 +117,11 @@ def take_in_turns(pool: DataFrame, by: list[str], source: str, seq: str, size: s
         match = match & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     rows = rows.withColumn("_in_turn", F.coalesce(F.sum("_want").over(within), F.lit(0))).join(per_turn, match)
     take = F.greatest(F.lit(0), F.least(F.col("_want"), quota - F.col("_before") - F.col("_in_turn")))
-    return rows.select(seq, *by, take.cast("long").alias("take")).where("take > 0")
+    return rows.select(seq, *by, source, take.cast("long").alias("take")).where("take > 0")
 
 
 def grouped_take(rows: DataFrame, group: str, source: str, seq: str, size: str, quotas: dict[str, int]) -> DataFrame:
-    """(seq, group, take): each group's quota, up to an equal share from every source in turns, then in turns without a cap.
+    """(seq, group, source, take): each group's quota, up to an equal share from every source in turns, then in turns without a cap.
 
     The first pass gives each source of a group at most ceil(quota / sources) units; a record
     that is cut counts as used. The second pass fills the rest from unused records. The
@@ -128,7 +130,7 @@ def grouped_take(rows: DataFrame, group: str, source: str, seq: str, size: str,
     spark = rows.sparkSession
     wanted = {k: v for k, v in quotas.items() if v > 0}
     if not wanted:
-        return rows.select(seq, group, F.lit(0).cast("long").alias("take")).limit(0)
+        return rows.select(seq, group, source, F.lit(0).cast("long").alias("take")).limit(0)
     table = spark.createDataFrame(list(wanted.items()), "_group string, _quota long")
     pool = rows.select(seq, F.col(group).cast("string").alias(group), source, size).join(F.broadcast(table), F.col(group) == F.col("_group"))  # one row per group
     pool = with_first(pool.drop("_group"), [group], source, seq)
@@ -148,7 +150,7 @@ def grouped_take(rows: DataFrame, group: str, source: str, seq: str, size: str,
 def balanced_take(rows: DataFrame, source: str, seq: str, size: str, quota: int) -> DataFrame:
     """(seq, source, take) of one quota over all rows: see ``grouped_take``."""
     taken = grouped_take(rows.select(seq, source, size).withColumn("_one", F.lit("all")), "_one", source, seq, size, {"all": quota})
-    return rows.select(F.col(seq).alias("_seq"), source).join(taken, F.col("_seq") == F.col(seq)).select(seq, source, "take")
+    return taken.select(seq, source, "take")
 
 
 def select_corpus(
@@ -274,7 +276,7 @@ def select_mining(records: DataFrame, total: int, minified_share: float = 0.0, f
             got = taken[0].agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
         if got < quota:
             rest = with_first(_unused(pool, taken).withColumn("_all", F.lit(1)), ["_all"], "group", "seq")
-            more = take_in_turns(rest, ["_all"], "group", "seq", "n", F.lit(quota - got)).drop("_all")
+            more = take_in_turns(rest, ["_all"], "group", "seq", "n", F.lit(quota - got)).select("seq", "take")
             places = running_sums(rest, ["group"], "seq", {"_turn": F.lit(1)}).select(F.col("seq").alias("_seq"), (F.col("_turn") + F.lit(1 << 40)).alias("_o1"), F.col("_first").alias("_o2"))
             more = _kept(more.join(places, F.col("seq") == F.col("_seq")).select("seq", "_o1", "_o2", "take"))
             if got + (more.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]) < quota:

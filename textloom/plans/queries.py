@@ -13,13 +13,13 @@ from ..functions.parts import (
     NESTED,
     NEWLINE,
     PLACED,
-    PLAIN,
     SPACE,
     SYMBOL,
     WORD,
     explode_parts,
     part_features,
     part_table,
+    units_of,
 )
 from ..functions.raw_input import document_profiles, lite_hashes, segments
 from ..operators import align, corpus, metrics, quantize, spans, training
@@ -51,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def part_kind_counts(spark, sf):
-    parts = explode_parts(_table(spark, sf, "documents"), "lang")
+    parts = part_table(_table(spark, sf, "documents"), "lang", columns={"kind": "int", "units": "int"})
     return parts.groupBy("lang", "kind").agg(F.count("*").alias("n_parts"), F.sum("units").cast("long").alias("n_units"))
 
 
@@ -78,11 +78,11 @@ def nesting_depths(spark, sf):
 
 
 def _classified(spark, sf):
-    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
+    p = part_table(_table(spark, sf, "documents"), columns={"i": "int", "kind": "int", "flags": "int", "first_char": "int"} | PLACED)
     blank = F.col("kind").isin(SPACE, NEWLINE)
     cls = (
-        F.when(blank, "plain").when(F.col("kind") == SYMBOL, "operator").when(F.col("value").rlike("[0-9]"), "number")
-        .when(F.col("value").rlike("^[A-Z]"), "type").otherwise("plain")
+        F.when(blank, "plain").when(F.col("kind") == SYMBOL, "operator").when(F.col("flags").bitwiseAND(F.lit(4)) != 0, "number")
+        .when(F.col("first_char").between(65, 90), "type").otherwise("plain")
     )
     return p.select("*", cls.alias("class"), F.when(blank, 15).otherwise(F.col("i") % 16).alias("level"))
 
@@ -113,15 +113,15 @@ def local_profile(spark, sf):
 
 def align_window_labels(spark, sf):
     """Labels [7k, 7k + 5) of class k mod 9 against all parts."""
-    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
-    ends = p.groupBy("doc_id").agg(F.max("stop").alias("end"))
+    docs = _table(spark, sf, "documents")
+    ends = docs.select("doc_id", units_of(F.coalesce("text", F.lit(""))).alias("end")).where("end > 0")
     k = F.col("k")
     labels = ends.select("doc_id", "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 1) / 7))).alias("k")).select(
         "doc_id", k.alias("seq"), (k * 7).alias("from"), F.least(k * 7 + 5, F.col("end")).alias("to"),
         F.get(F.lit(list(rules.CLASSES)), (k % 9).cast("int")).alias("class"),
         F.when(k % 2 == 0, 1.0).otherwise(0.5).alias("confidence"), (k % 16).cast("int").alias("auxiliary"),
     )
-    a = align.align_labels(labels, p)
+    a = align.align_documents(docs, labels, rules.CLASSES)
     return a.groupBy("doc_id", "class").agg(F.count("*").alias("n_parts"), F.sum("confidence").cast("long").alias("confidence"), F.sum("auxiliary").cast("long").alias("auxiliary"))
 
 
@@ -301,9 +301,9 @@ def lite_word_hashes(spark, sf):
 
 def span_agreement(spark, sf):
     """Per document: share of solid parts on which labels of windows of 7 and of 11 units agree."""
-    p = part_table(_table(spark, sf, "documents"), columns=PLAIN | PLACED)
-    solid = p.where(F.col("kind").isin(WORD, SYMBOL))
-    ends = p.groupBy("doc_id").agg(F.max("stop").alias("end"))
+    docs = _table(spark, sf, "documents")
+    solid = part_table(docs, columns={"i": "int", "kind": "int"} | PLACED).where(F.col("kind").isin(WORD, SYMBOL))
+    ends = docs.select("doc_id", units_of(F.coalesce("text", F.lit(""))).alias("end")).where("end > 0")
 
     def windows(size):
         k = F.col("k")

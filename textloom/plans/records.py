@@ -310,11 +310,9 @@ def quantization_gap(spark, sf):
 
 
 def selection_conditions(spark, sf):
-    """What a balanced take of 400,000 characters violates of stated totals."""
-    taken = corpus.balanced_take(_meta(spark, sf).select("doc_id", "source", F.col("n_chars").alias("n")), "source", "doc_id", "n", 400_000)
-    rows = taken.select("doc_id", "take").join(_meta(spark, sf).select("doc_id", "lang"), "doc_id")
-    s = corpus.corpus_summary(rows.withColumnRenamed("lang", "language"), ["language"], {"n": F.sum("take")})
-    return corpus.missed_conditions(s, 400_001, {}, languages={"en": 1_000, "de": 390_000, "xx": 1}).select("condition", "name", "n", "expected")
+    """Which stated totals the documents violate."""
+    s = corpus.corpus_summary(_meta(spark, sf).withColumnRenamed("lang", "language").withColumnRenamed("source", "stratum"), ["language", "stratum"], {"n": F.count("*")})
+    return corpus.missed_conditions(s, 1_000, {"blog": 0.05, "wiki": 0.1}, languages={"en": 100, "de": 390_000, "xx": 1}).select("condition", "name", "n", "expected")
 
 
 def debounced_events(spark, sf):
@@ -529,6 +527,10 @@ FROM (VALUES (16), (24), (32)) a(hidden), (VALUES (24), (48)) b(classifier), (VA
 s AS (SELECT avg(CAST(six = top AS DOUBLE)) AS six, avg(CAST(four = top AS DOUBLE)) AS four FROM e) SELECT round(six, 9) AS six, round(four, 9) AS four, round(100 * (six - four), 7) AS gap FROM s""",
     "selected_corpus": "SELECT * FROM (VALUES ('author', CAST(160000 AS BIGINT), true), ('tests', 40000, NULL)) t(stratum, taken, floor_met)",
     "mining_corpus": "SELECT * FROM (VALUES (0, CAST(50000 AS BIGINT), true), (1, 100000, true)) t(side, taken, gapless)",
+    "selection_conditions": """WITH w(condition, name, expected, slack, kind) AS (VALUES ('all', '', 1000.0, 0, 'exact'), ('stratum', 'blog', 50.0, 1, 'exact'), ('stratum', 'wiki', 100.0, 1, 'exact'),
+  ('language', 'en', 100.0, 0, 'least'), ('language', 'de', 390000.0, 0, 'least'), ('language', 'xx', 1.0, 0, 'least')),
+n AS (SELECT *, CASE condition WHEN 'all' THEN (SELECT count(*) FROM documents) WHEN 'stratum' THEN (SELECT count(*) FROM documents WHERE source = name) ELSE (SELECT count(*) FROM documents WHERE lang = name) END AS n FROM w)
+SELECT condition, name, n, CAST(expected AS DOUBLE) AS expected FROM n WHERE CASE WHEN kind = 'least' THEN n < expected ELSE abs(n - expected) > slack END""",
     "debounced_events": """WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
 SELECT event_id, user_id FROM e WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 3600000000""",
     "job_batches": """WITH r AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS k FROM conversations)
