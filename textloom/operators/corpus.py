@@ -127,24 +127,28 @@ def grouped_take(rows: DataFrame, group: str, source: str, seq: str, size: str,
     that is cut counts as used. The second pass fills the rest from unused records. The
     quotas, one per group, are a small table; records are metadata.
     """
-    spark = rows.sparkSession
     wanted = {k: v for k, v in quotas.items() if v > 0}
     if not wanted:
         return rows.select(seq, group, source, F.lit(0).cast("long").alias("take")).limit(0)
-    table = spark.createDataFrame(list(wanted.items()), "_group string, _quota long")
-    pool = rows.select(seq, F.col(group).cast("string").alias(group), source, size).join(F.broadcast(table), F.col(group) == F.col("_group"))  # one row per group
-    pool = with_first(pool.drop("_group"), [group], source, seq)
-    sources = pool.groupBy(F.col(group).alias("_g")).agg(F.countDistinct(F.coalesce(F.col(source).cast("string"), F.lit("\x00"))).alias("_sources"))
-    capped = pool.join(F.broadcast(sources), F.col(group) == F.col("_g")).drop("_g")
-    first = take_in_turns(capped, [group], source, seq, size, F.col("_quota"), F.ceil(F.col("_quota") / F.col("_sources")))
+
+    def of_group(values: dict[str, int]) -> Column:
+        """The group's number out of a few, as a literal."""
+        return F.try_element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, int(v)))), F.col(group)).cast("long")
+
+    pool = rows.select(seq, F.col(group).cast("string").alias(group), source, size).where(F.col(group).isin(*wanted))
+    pool = with_first(pool, [group], source, seq)
+    per = pool.select(group, F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("_s")).distinct().groupBy(group).agg(F.count("*").alias("n"))
+    sources = {r[group]: r.n for r in per.collect()}  # one row per group
+    if not sources:
+        return rows.select(seq, group, source, F.lit(0).cast("long").alias("take")).limit(0)
+    quota = of_group(wanted)
+    first = take_in_turns(pool, [group], source, seq, size, quota, of_group({k: -(-wanted[k] // n) for k, n in sources.items()}))
     got = {r[group]: r.n for r in first.groupBy(group).agg(F.sum("take").alias("n")).collect()}  # one row per group
     short = {k: v - got.get(k, 0) for k, v in wanted.items() if got.get(k, 0) < v}
     if not short:
         return first
-    left = spark.createDataFrame(list(short.items()), "_group string, _left long")
-    unused = pool.join(F.broadcast(left), F.col(group) == F.col("_group")).drop("_group")
-    unused = unused.join(first.select(F.col(seq).alias("_used")), F.col(seq) == F.col("_used"), "left_anti")
-    return first.unionByName(take_in_turns(unused, [group], source, seq, size, F.col("_left")))
+    unused = pool.where(F.col(group).isin(*short)).join(first.select(F.col(seq).alias("_used")), F.col(seq) == F.col("_used"), "left_anti")
+    return first.unionByName(take_in_turns(unused, [group], source, seq, size, of_group(short)))
 
 
 def balanced_take(rows: DataFrame, source: str, seq: str, size: str, quota: int) -> DataFrame:
