@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .token_ids import TokenIds
+from .token_ids import worker_token_ids
 
 END_ID = 1
 SCHEMA = (
@@ -141,7 +141,7 @@ def pack(
     """One row per piece. Row-local: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TokenIds(vocabulary)
+        encode = worker_token_ids(vocabulary)
         end = np.array([END_ID], dtype="<u4").tobytes()
         packer = Packer(window, max_open, TaskContext.get().partitionId() << 40)
         for batch in batches:

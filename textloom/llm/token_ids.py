@@ -13,6 +13,7 @@ goes through the library whole.
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 from array import array
@@ -99,3 +100,9 @@ class TokenIds:
             spaced = spaced.replace(", ", " \x00, ").replace(". ", " \x00. ")
         first, *rest = spaced.split(" ")
         return self.whole(first) + b"".join(map(self.units.__getitem__, rest))
+
+
+@functools.lru_cache(maxsize=1)
+def worker_token_ids(path: str | None) -> TokenIds:
+    """One per worker process: its tables are read once, and its units serve the tasks that follow."""
+    return TokenIds(path)
