@@ -27,6 +27,7 @@ library counts them by default: one token each, and the text around is split the
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import sys
@@ -379,6 +380,12 @@ def _pieces(value: bytes) -> Iterator[bytes]:
         yield value[at:]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_counter(path: str | None) -> TokenCounter:
+    """One per worker process: states compiled for one task serve the next ones."""
+    return TokenCounter(path)
+
+
 def count_tokens(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -390,7 +397,7 @@ def count_tokens(
     """(doc_id, n_bytes, n_tokens, over_limit) per document. Row-local: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary)
+        counter = worker_counter(vocabulary)
         for batch in batches:
             values = batch.column("text").cast(pa.binary()).to_pylist()
             n = counter(values)
