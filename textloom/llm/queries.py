@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, odd_sketches, packing, pitman_yor, quality, secrets, simhash, token_counts, topk, urls, warc, whitening
+from . import decontaminate, odd_sketches, packing, pitman_yor, quality, secrets, simhash, time_parts, token_counts, topk, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_whitening": whitening.op11_whitening,
     "op12_odd_sketches": odd_sketches.op12_odd_sketches,
+    "op13_time_parts": time_parts.op13_time_parts,
 }
 
 ORACLE_SQL: dict[str, str] = {
