@@ -17,9 +17,9 @@ the nodes that share a key. Links are made as far as components need them, in th
 each node with the most similar of its keys' first nodes; in keys with several components left
 a spanning forest by estimated similarity; then every candidate pair across components. So copies are
 never expanded into pairs, and no link is lost that bands and sketches let through. Keys with
-equal members are looked at once. A key of more than ``max_list`` nodes is split by the pairs
-of keys its nodes share (a pair at 0.85 shares a second key but in 10^-10 of cases); what is
-still longer is dealt into blocks, every two of which are compared.
+equal members are looked at once. A key of more than ``max_list`` nodes is dealt into blocks,
+every two of which are compared; a key of over 20 times as many is first split by the pairs of
+keys its nodes share (a pair at 0.85 shares a second key but in 10^-10 of cases).
 
 Defined results: null and empty texts and those of white space only have no shingles, size
 zero and no links; texts under k words are one shingle. A row without an id takes part in
@@ -51,6 +51,8 @@ SLOTS = 1 << 25
 #: Partners that meet one node in a group.
 PARTNERS = 256
 CHUNK = 1024
+#: Lists of so many times ``max_list`` nodes are split by second keys: by then blocks would copy a node as often.
+SPLIT = BANDS // 2
 
 _RANDOM = np.random.default_rng(12)
 _FACTORS = _RANDOM.integers(0, 1 << 64, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -246,13 +248,13 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
         left = cut(labelled(members, comps))
         several = left.groupBy("key").agg(F.min("node_comp").alias("x"), F.max("node_comp").alias("y")).where("x <> y").select(F.col("key").alias("open_key"))
         left = left.join(several, F.col("key") == F.col("open_key")).drop("open_key")
-        long = cut(left.where(F.col("n") > max_list).select("key", "node"))
+        long = cut(left.where(F.col("n") > SPLIT * max_list).select("key", "node"))
         if long.limit(1).count():
             finer = long.join(nodes.select(F.col("node").alias("m"), "bands"), F.col("node") == F.col("m"))
             finer = finer.select("key", "node", F.explode("bands").alias("band")).where("band <> key").select(F.xxhash64("key", "band").alias("key"), "node")
             finer = cut(finer)
             finer = labelled(members_of(finer, listed(finer)), comps)
-            left = left.where(F.col("n") <= max_list).unionByName(finer)
+            left = left.where(F.col("n") <= SPLIT * max_list).unionByName(finer)
         blocks = dealt(left, max_list).join(small.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m"))
         return blocks.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("node", "node_comp", "size", "sketch"))).alias("rows")).select("rows")
 
