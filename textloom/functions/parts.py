@@ -8,7 +8,7 @@ is computed where the document lies: the JVM splits the text, Arrow carries the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +224,25 @@ def part_table(docs: DataFrame, *keep: str, columns: dict[str, str] | None = Non
     return rows.mapInArrow(run, schema)
 
 
+def map_parts(docs: DataFrame, columns: set[str], function: Callable[[pa.RecordBatch, np.ndarray, dict], pa.RecordBatch], schema: str) -> DataFrame:
+    """``function`` over whole documents: their other columns, the number of parts of each, and part columns.
+
+    The part columns are numpy arrays (``value`` an Arrow one) of all parts of the documents,
+    one document after the other. Row-local: what is made of a document needs no shuffle.
+    """
+    rows = docs.select(*(c for c in docs.columns if c != "text"), part_values(F.coalesce("text", F.lit(""))).alias("_values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                b = batch.slice(at, DOCS_AT_ONCE)
+                lists = b.column("_values")
+                sizes = np.diff(lists.offsets.to_numpy())
+                yield function(b.drop_columns(["_values"]), sizes, _part_columns(lists.flatten(), sizes, set(columns)))
+
+    return rows.mapInArrow(run, schema)
+
+
 def part_features(docs: DataFrame) -> DataFrame:
     """One row per part with the unpacked feature record."""
     return part_table(docs, columns={"i": "int", "kind": "int"} | FEATURES)

@@ -1,11 +1,92 @@
-"""Runs over a document's parts: span merge, run lengths, local profiles."""
+"""Runs over a document's parts: span merge, run lengths, local profiles.
+
+``merge_spans``, ``merge_spans_lite`` and ``run_lengths`` take labels from a table. Where the
+labels follow from the parts themselves (a classifier of part columns), ``document_spans``,
+``document_tiles`` and ``document_runs`` give the same rows where the documents lie.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parts import NEWLINE, SPACE, in_order
+from ..functions.parts import NEWLINE, SPACE, in_order, map_parts
+
+#: Class code and level of each part, from part columns.
+Classifier = Callable[[dict], tuple[np.ndarray, np.ndarray]]
+
+
+def _changes(cls: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a run begins: at a change of class, and wherever ``first`` says so."""
+    return np.flatnonzero(np.append(True, cls[1:] != cls[:-1])[: len(cls)] | first)
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(sizes.sum()), dtype=bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
+
+
+def _spans(doc: pa.Array, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    kinds = {"class": pa.int32(), "level": pa.int32(), "block": pa.int32(), "length": pa.int32()}
+    arrays = [doc, *(pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
+
+
+def document_spans(docs: DataFrame, classify: Classifier, columns: set[str]) -> DataFrame:
+    """(doc_id, class, start, stop, level) of (doc_id, text): neighbours of one class, with their least level. Row-local."""
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(b.num_rows), sizes)
+        cls, level = classify(parts)
+        at = _changes(cls, _firsts(sizes))
+        end = np.append(at[1:], len(cls)) - 1 if len(at) else at
+        least = np.minimum.reduceat(level, at) if len(at) else level
+        return _spans(b.column("doc_id").take(pa.array(doc[at])), {"class": cls[at], "start": parts["start"][at], "stop": parts["stop"][end], "level": least})
+
+    return map_parts(docs.select("doc_id", "text"), {"start", "stop", *columns}, run, "doc_id long, class int, start long, stop long, level int")
+
+
+def document_tiles(docs: DataFrame, classify: Classifier, columns: set[str]) -> DataFrame:
+    """(doc_id, class, start, stop) of (doc_id, text): spans that tile it, white space with the span before it or else the first one. Row-local.
+
+    White space alone is one span of class 0.
+    """
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(b.num_rows), sizes)
+        cls, _ = classify(parts)
+        solid = np.flatnonzero((parts["kind"] != SPACE) & (parts["kind"] != NEWLINE))
+        first = np.append(True, doc[solid][1:] != doc[solid][:-1])[: len(solid)]
+        at = solid[_changes(cls[solid], first)]
+        bare = np.setdiff1d(np.flatnonzero(sizes), doc[solid])
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(np.append(at, begins[bare]), kind="stable")
+        at, kind = np.append(at, begins[bare])[order], np.append(cls[at], np.zeros(len(bare), cls.dtype))[order]
+        leads = np.append(True, doc[at][1:] != doc[at][:-1])[: len(at)]
+        start = np.where(leads, 0, parts["start"][at])
+        ends = parts["stop"][(begins + sizes - 1)[doc[at]]] if len(at) else start
+        stop = np.where(np.append(leads[1:], True)[: len(at)], ends, np.append(start[1:], 0)[: len(at)])
+        return _spans(b.column("doc_id").take(pa.array(doc[at])), {"class": kind, "start": start, "stop": stop})
+
+    return map_parts(docs.select("doc_id", "text"), {"start", "stop", "kind", *columns}, run, "doc_id long, class int, start long, stop long")
+
+
+def document_runs(docs: DataFrame, classify: Classifier, columns: set[str], block: int = 1024) -> DataFrame:
+    """(doc_id, block, class, length) of (doc_id, text): runs of one class in blocks of parts. Row-local."""
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(b.num_rows), sizes)
+        cls, _ = classify(parts)
+        at = _changes(cls, parts["i"] % block == 0)
+        length = np.diff(np.append(at, len(cls)))
+        return _spans(b.column("doc_id").take(pa.array(doc[at])), {"block": parts["i"][at] // block, "class": cls[at], "length": length})
+
+    return map_parts(docs.select("doc_id", "text"), {"i", *columns}, run, "doc_id long, block int, class int, length int")
 
 
 def merge_spans(labelled: DataFrame) -> DataFrame:

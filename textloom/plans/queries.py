@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def part_kind_counts(spark, sf):
-    parts = part_table(_table(spark, sf, "documents"), "lang", columns={"kind": "int", "units": "int"})
+    parts = explode_parts(_table(spark, sf, "documents"), "lang")
     return parts.groupBy("lang", "kind").agg(F.count("*").alias("n_parts"), F.sum("units").cast("long").alias("n_units"))
 
 
@@ -77,33 +78,41 @@ def nesting_depths(spark, sf):
     )
 
 
-def _classified(spark, sf):
-    p = part_table(_table(spark, sf, "documents"), columns={"i": "int", "kind": "int", "flags": "int", "first_char": "int"} | PLACED)
-    blank = F.col("kind").isin(SPACE, NEWLINE)
-    cls = (
-        F.when(blank, "plain").when(F.col("kind") == SYMBOL, "operator").when(F.col("flags").bitwiseAND(F.lit(4)) != 0, "number")
-        .when(F.col("first_char").between(65, 90), "type").otherwise("plain")
-    )
-    return p.select("*", cls.alias("class"), F.when(blank, 15).otherwise(F.col("i") % 16).alias("level"))
+#: What parts are taken for, by code: digits make a number, a capital a type.
+KIND_CLASSES = ("plain", "operator", "number", "type")
+KIND_COLUMNS = {"i", "kind", "flags", "first_char"}
+
+
+def kind_classes(parts: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Class codes and levels of parts; white space is plain and has the highest level."""
+    kind, flags, head = parts["kind"], parts["flags"], parts["first_char"]
+    blank = (kind == SPACE) | (kind == NEWLINE)
+    word, digit = ~blank & (kind != SYMBOL), flags & 4 != 0
+    cls = (kind == SYMBOL) * 1 + (word & digit) * 2 + (word & ~digit & (head >= 65) & (head <= 90)) * 3
+    return cls.astype(np.int32), np.where(blank, 15, parts["i"] % 16)
+
+
+def kind_class(code: str):
+    return F.element_at(F.lit(list(KIND_CLASSES)), F.col(code) + 1).alias("class")
 
 
 def kind_spans(spark, sf):
-    s = spans.merge_spans(_classified(spark, sf))
-    return s.groupBy("doc_id", "class").agg(
-        F.count("*").alias("n_spans"), F.max(F.col("stop") - F.col("start")).cast("long").alias("longest"), F.sum(F.col("confidence") * 16).cast("long").alias("sixteenths")
+    s = spans.document_spans(_table(spark, sf, "documents"), kind_classes, KIND_COLUMNS)
+    return s.groupBy("doc_id", kind_class("class")).agg(
+        F.count("*").alias("n_spans"), F.max(F.col("stop") - F.col("start")).cast("long").alias("longest"), F.sum(F.col("level") + 1).cast("long").alias("sixteenths")
     )
 
 
 def kind_spans_lite(spark, sf):
-    s = spans.merge_spans_lite(_classified(spark, sf))
-    return s.groupBy("doc_id", "class").agg(
+    s = spans.document_tiles(_table(spark, sf, "documents"), kind_classes, KIND_COLUMNS)
+    return s.groupBy("doc_id", kind_class("class")).agg(
         F.count("*").alias("n_spans"), F.max(F.col("stop") - F.col("start")).cast("long").alias("longest"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("units")
     )
 
 
 def kind_rle(spark, sf):
-    r = spans.run_lengths(part_table(_table(spark, sf, "documents"), columns={"i": "int", "kind": "int"}).withColumnRenamed("kind", "class"))
-    return r.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), F.countDistinct("block").alias("n_blocks"))
+    r = spans.document_runs(_table(spark, sf, "documents"), lambda parts: (parts["kind"], None), {"kind"})
+    return r.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("length").cast("long").alias("longest"), F.countDistinct("block").alias("n_blocks"))
 
 
 def local_profile(spark, sf):
