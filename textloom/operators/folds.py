@@ -7,17 +7,19 @@ until one is left, and the open batch is then carried down again. Every level re
 level below wrote, so the work is in proportion to the records, in tasks of ``width`` records
 or ``fan`` summaries.
 
-``taken_while_they_fit`` chooses records in order, skipping what no longer fits. What does not
+``ranked`` numbers the rows of groups of any size. ``least_loaded`` deals records to bins a size
+at a time. ``taken_while_they_fit`` chooses records in order, skipping what no longer fits. What does not
 fit once never fits again, so each round looks only at the next few records that do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import kept
@@ -188,13 +190,122 @@ def _carried(limit: int, after: bool):
     return carry
 
 
-def taken_while_they_fit(records: DataFrame, turn: str, place: list[str], size: str, most_records: int, most_size: int) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Adds each row's number in its group, from 1, in ``order`` (columns, falling ones too), by ranges instead of windows.
+
+    Rows are dealt by key range into sorted buckets; the place in the bucket plus what the
+    buckets before it hold of the group is the number. Rows that are equal in all columns of
+    ``order`` go in any order, so let it end in a key. A group may hold all rows.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, *order, "_own"]
+    rows = df.withColumn("_own", F.monotonically_increasing_id()).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    placed = kept(rows.drop("_own").withColumn("_place", F.monotonically_increasing_id())).withColumn("_bucket", F.shiftright("_place", 33))
+    counts = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.min("_place").alias("_lo"))
+    sums = running_sums(counts.withColumn("_all", F.lit(1)), ["_all", *by], "_bucket", {"_upto": F.col("_n")})
+    sums = sums.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), F.col("_bucket").alias("_b"), (F.col("_upto") - F.col("_n") - F.col("_lo") + 1).alias("_shift"))
+    match = placed["_bucket"] == sums["_b"]
+    for i, c in enumerate(by):
+        match = match & placed[c].eqNullSafe(sums[f"_g{i}"])
+    return placed.join(sums, match).select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
+
+
+def drawn(key: Column, weight: Column, seed: int) -> Column:
+    """The logarithm of a random number for the key over its weight: the higher, the earlier in a weighted order."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 12)
+    return F.log((F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 48)) / F.greatest(F.lit(1.0), weight.cast("double"))
+
+
+def weighted_turns(records: DataFrame, key: str, family: str, weight: Column, seed: int) -> DataFrame:
+    """Adds ``turn`` and ``place``: families in turns, each in a random order in which heavier records tend to come first.
+
+    Families follow each other by their least key. Order and draws are functions of key and seed.
+    """
+    rows = records.withColumn("_draw", drawn(F.col(key), weight, seed))
+    first = records.groupBy(F.col(family).alias("_family")).agg(F.min(key).alias("_first"))
+    turns = ranked(rows, [family], [F.desc("_draw"), F.asc(key)], "turn").drop("_draw")
+    turns = turns.join(first, F.col(family).eqNullSafe(F.col("_family")))
+    return ranked(turns, [], [F.asc("turn"), F.asc("_first"), F.asc(key)], "place").drop("_family", "_first")
+
+
+def loads_taken(loads: np.ndarray, size: int, items: int) -> np.ndarray:
+    """How many of ``items`` equal sizes each bin takes when each goes to the least loaded bin (the first of several)."""
+    taken = np.zeros(len(loads), dtype=np.int64)
+    if not size:
+        taken[int(np.argmin(loads))] = items
+        return taken
+    # Bin b offers loads[b], loads[b] + size, ...; the least offers are taken, by value and bin.
+    level = _level(loads, size, np.array([items]))[0]
+    taken = _offers(loads, size, np.array([level - 1]))[0]
+    at_level = np.flatnonzero((loads <= level) & ((level - loads) % size == 0))
+    taken[at_level[: items - taken.sum()]] += 1
+    return taken
+
+
+def _offers(loads: np.ndarray, size: int, level: np.ndarray) -> np.ndarray:
+    """(levels, bins): how many offers of each bin are at a level or below."""
+    return np.maximum(0, (level[:, None] - loads) // size + 1)
+
+
+def _level(loads: np.ndarray, size: int, items: np.ndarray) -> np.ndarray:
+    """The least level with so many offers at or below it."""
+    low = np.full(len(items), loads.min() - 1)
+    high = loads.max() + size * items
+    while (low + 1 < high).any():
+        mid = (low + high) // 2
+        enough = _offers(loads, size, mid).sum(axis=1) >= items
+        low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+    return high
+
+
+def bins_taken(loads: np.ndarray, size: int, places: np.ndarray) -> np.ndarray:
+    """The bin of the items at these places (from 0) among equal sizes."""
+    if not size:
+        return np.full(len(places), int(np.argmin(loads)))
+    level = _level(loads, size, places + 1)
+    nth = places - _offers(loads, size, level - 1).sum(axis=1)
+    offering = (loads <= level[:, None]) & ((level[:, None] - loads) % size == 0)
+    return np.argmax(np.cumsum(offering, axis=1) > nth[:, None], axis=1)
+
+
+def least_loaded(records: DataFrame, key: str, size: str, count: int) -> DataFrame:
+    """(key, size, bin): records by falling size, then key, each to the bin that holds least, the first of several.
+
+    Records of one size are one step, whatever their number: the loads before each size come
+    from the sizes and their counts alone (as many rows as there are sizes), and a record's
+    bin from the loads before its size and its rank in it. Records without a size are left out.
+    """
+    known = records.where(F.col(size).isNotNull()).select(key, F.col(size).cast("long").alias("_size"))
+    sizes = known.groupBy("_size").agg(F.count("*").alias("n"))
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        loads, out = np.zeros(count, dtype=np.int64), []
+        for n, items in sorted(zip(pdf["_size"], pdf["n"]), reverse=True):
+            out.append(loads)
+            loads = loads + n * loads_taken(loads, int(n), int(items))
+        return pd.DataFrame({"_of": sorted(pdf["_size"], reverse=True), "loads": out})
+
+    steps = sizes.groupBy(F.lit(0).alias("_all")).applyInPandas(before, "_of long, loads array<long>")
+    rows = ranked(known, ["_size"], [F.asc(key)]).join(steps, F.col("_size") == F.col("_of"))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            bins = np.zeros(len(pdf), dtype=np.int32)
+            for n, at in pdf.groupby("_size").indices.items():
+                bins[at] = bins_taken(np.asarray(pdf["loads"].iloc[at[0]]), int(n), pdf["rank"].to_numpy()[at] - 1)
+            yield pd.DataFrame({key: pdf[key], size: pdf["_size"], "bin": bins})
+
+    kind = records.schema[key].dataType.simpleString()
+    return rows.mapInPandas(place, f"`{key}` {kind}, `{size}` long, bin int")
+
+
+def taken_while_they_fit(records: DataFrame, turn: str, place: list[str], size: str, most_records: int, most_size: int, falling: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``place`` (from 0) to the records taken in order of ``turn`` and ``place``, and drops the others.
 
     A record is taken while fewer than ``most_records`` are and the sizes taken stay within
     ``most_size``; one that would pass it is skipped. A turn of which none is taken is the last.
     Each round brings at most ``most_records`` records that still fit to the driver, the first
-    of which is always taken.
+    of which is always taken. Columns of ``falling`` go from high to low; none may be null.
     """
     spark = records.sparkSession
     keys = [turn, *place]
@@ -203,7 +314,7 @@ def taken_while_they_fit(records: DataFrame, turn: str, place: list[str], size:
         rows = records.where(F.col(size) <= left)
         if behind is not None:
             rows = rows.where(behind)
-        rows = rows.select(*keys, F.col(size).alias("_size")).orderBy(*keys).limit(most_records).collect()
+        rows = rows.select(*keys, F.col(size).alias("_size")).orderBy(*(F.desc(k) if k in falling else F.asc(k) for k in keys)).limit(most_records).collect()
         if not rows:
             break
         ended = False
@@ -220,7 +331,10 @@ def taken_while_they_fit(records: DataFrame, turn: str, place: list[str], size:
         if ended:
             break
         end = rows[-1]
-        behind = F.struct(*keys) > F.struct(*(F.lit(end[k]) for k in keys))
+        behind = F.lit(False)
+        for k in reversed(keys):
+            further = F.col(k) < F.lit(end[k]) if k in falling else F.col(k) > F.lit(end[k])
+            behind = further | ((F.col(k) == F.lit(end[k])) & behind)
     schema = records.select(*keys).schema.add("_place", "integer")
     chosen = spark.createDataFrame([(*t, i) for i, t in enumerate(taken)], schema)
     return records.join(chosen, keys).withColumnRenamed("_place", "place")

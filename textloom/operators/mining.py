@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import kept
 from .corpus import running_sums
+from .folds import ranked
 
 WINDOW_SCHEMA = "record_id long, family string, source string, from int, to int, errors int, density double, score double"
 
@@ -35,30 +36,52 @@ def error_windows(parts: DataFrame, window: int = 128, stride: int | None = None
     )
 
 
-def choose_windows(windows: DataFrame, families: list[str], max_parts: int = 250_000, per_source: int = 12) -> DataFrame:
-    """The best windows of each family in turns; at most ``per_source`` of a source, none half covered by an earlier one.
+def uncovered(windows: DataFrame, best: list[str], share: float = 0.5) -> DataFrame:
+    """The windows that no better window kept of their record covers by over ``share`` of the shorter one.
 
-    Overlap concerns one record at a time, so each record drops its covered windows first and
-    keeps ``per_source`` at most, then each source keeps its best; both choices are those of one
-    list per source. What is left goes in turns over families up to ``max_parts`` parts, by
-    running sums.
+    Windows that cover each other so much conflict. Of those undecided, a window is kept if it
+    is better than all it conflicts with, and what conflicts with a kept one goes, until none
+    is undecided: the same windows that a list taken from the best to the worst would keep.
+    A record may have any number of windows: conflicts meet by the stretches of a window's
+    length that both touch. ``best`` are columns to compare by, the higher the better.
     """
+    rows = kept(windows.withColumn("_id", F.monotonically_increasing_id()))
+    length = rows.agg(F.max(F.col("to") - F.col("from"))).first()[0]
+    if not length:
+        return windows
+    rank = F.struct(*best, F.col("_id"))
+    slots = rows.select("_id", "record_id", "from", "to", rank.alias("rank"), F.explode(F.sequence(F.floor(F.col("from") / length), F.floor((F.col("to") - 1) / length))).alias("slot"))
+    one = slots.select(*(F.col(c).alias(f"{c}1") for c in slots.columns))
+    met = one.join(slots, (F.col("record_id1") == F.col("record_id")) & (F.col("slot1") == F.col("slot")) & (F.col("rank1") < F.col("rank")))
+    both = F.least("to1", "to") - F.greatest("from1", "from")
+    over = both > share * F.least(F.col("to1") - F.col("from1"), F.col("to") - F.col("from"))
+    conflicts = kept(met.where(over).select(F.col("_id1").alias("worse"), F.col("_id").alias("better")).distinct())
+    left, gone, lost = conflicts, None, None
+    while left.limit(1).count():
+        # Kept now: better ones that are the worse one of no conflict left.
+        firm = left.select(F.col("better").alias("x")).distinct().join(left.select(F.col("worse").alias("x")), "x", "left_anti")
+        lost = kept(left.join(firm, F.col("better") == F.col("x")).select(F.col("worse").alias("y")).distinct())
+        gone = lost if gone is None else gone.union(lost)
+        left = left.join(lost, F.col("worse") == F.col("y"), "left_anti").join(lost, F.col("better") == F.col("y"), "left_anti")
+        left = kept(left)
+    rows = rows if gone is None else rows.join(gone, F.col("_id") == F.col("y"), "left_anti")
+    return rows.select(*windows.columns)
+
 
-    def uncovered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "errors", "density", "from"], ascending=[False, False, False, True])
-        kept: list[int] = []
-        low, high = pdf["from"].to_numpy(), pdf["to"].to_numpy()
-        for k in range(len(pdf)):
-            share = [overlap_share(low[k], high[k], low[j], high[j]) for j in kept]
-            if len(kept) < per_source and max(share, default=0.0) <= 0.5:
-                kept.append(k)
-        return pdf.iloc[kept]
+def choose_windows(windows: DataFrame, families: list[str], max_parts: int = 250_000, per_source: int = 12) -> DataFrame:
+    """The best windows of each family in turns; at most ``per_source`` of a source, none half covered by an earlier one.
 
+    Overlap concerns one record at a time, so covered windows go first, then each source keeps
+    its best: the same as one list for all, in which a source that is full takes no more. What
+    is left goes in turns over families up to ``max_parts`` parts, by running sums.
+    """
     names = [c.split()[0] for c in WINDOW_SCHEMA.split(", ")]
     best = [F.desc("score"), F.desc("errors"), F.desc("density"), F.asc("record_id"), F.asc("from")]
-    kept = windows.where(F.col("family").isin(families)).select(*names).groupBy("record_id").applyInPandas(uncovered, WINDOW_SCHEMA)
-    kept = kept.withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where(F.col("_place") <= per_source)
-    turns = kept.withColumn("turn", F.row_number().over(Window.partitionBy("family").orderBy(*best))).where(F.col("turn") <= max_parts)
+    windows = windows.where(F.col("family").isin(families)).select(*names)
+    worse = windows.withColumn("_start", -F.col("from"))
+    rest = uncovered(worse, ["score", "errors", "density", "_start"]).drop("_start")
+    rest = rest.withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where(F.col("_place") <= per_source)
+    turns = ranked(rest, ["family"], best, "turn")
     order = (F.col("turn") * len(families) + F.array_position(F.lit(families), F.col("family"))).cast("long")
     turns = turns.withColumn("_order", order).withColumn("_all", F.lit(1))
     summed = running_sums(turns, ["_all"], "_order", {"_upto": F.col("to") - F.col("from")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import folds, graphs, training
 from .queries import _table
 
 QUERIES = {}
@@ -33,3 +33,64 @@ def greedy_length_batches(spark, sf):
     bucket = F.when(n <= 1, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(n)))).cast("long")
     docs = _table(spark, sf, "documents").where("n_chars > 0").select("doc_id", n.cast("long").alias("n"), bucket.alias("bucket"))
     return folds.greedy_batches(docs, ["bucket"], "doc_id", "n", 20_000).select("doc_id", "bucket", "batch")
+
+
+@query("""WITH RECURSIVE d AS (SELECT lang AS language, text, max(doc_id) AS made, arg_max(source, doc_id) AS family FROM documents WHERE length(text) > 0 AND lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, text),
+t AS (SELECT made, family, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units, row_number() OVER (PARTITION BY family ORDER BY made DESC) AS turn, max(made) OVER (PARTITION BY family) AS newest FROM d),
+o AS MATERIALIZED (SELECT made, units, turn, row_number() OVER (ORDER BY turn, newest DESC, family) AS k FROM t WHERE turn <= 256),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS made, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS turn, false AS taken, false AS ended
+  UNION ALL SELECT o.k, o.made, CASE WHEN (NOT f.ended AND o.turn <= f.turn + 1 AND f.n < 256 AND f.used + o.units <= 200000) THEN f.used + o.units ELSE f.used END, f.n + CAST((NOT f.ended AND o.turn <= f.turn + 1 AND f.n < 256 AND f.used + o.units <= 200000) AS BIGINT), CASE WHEN (NOT f.ended AND o.turn <= f.turn + 1 AND f.n < 256 AND f.used + o.units <= 200000) THEN o.turn ELSE f.turn END, (NOT f.ended AND o.turn <= f.turn + 1 AND f.n < 256 AND f.used + o.units <= 200000), f.ended OR o.turn > f.turn + 1
+  FROM f JOIN o ON o.k = f.k + 1)
+SELECT made, CAST(n - 1 AS INTEGER) AS place FROM f WHERE taken""")
+def diverse_documents(spark, sf):
+    """Documents as failures of a source: the latest of each text, sources in turns, in 200,000 units."""
+    d = _table(spark, sf, "documents").where("length(text) > 0 AND lang IS NOT NULL AND source IS NOT NULL")
+    entries = d.select(F.col("lang").alias("language"), F.col("source").alias("family"), F.sha2("text", 256).alias("source_sha256"), F.col("doc_id").alias("created_at"), F.col("text").alias("source"))
+    return training.diverse_failures(entries, 256, 200_000).select(F.col("created_at").alias("made"), "place")
+
+
+@query("""WITH RECURSIVE r AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE n_chars IS NOT NULL),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS doc_id, [0::BIGINT, 0, 0, 0, 0, 0, 0] AS loads, 0 AS bin
+  UNION ALL SELECT r.k, r.doc_id, list_transform(f.loads, lambda x, i: CASE WHEN i = list_position(f.loads, list_min(f.loads)) THEN x + r.n ELSE x END), list_position(f.loads, list_min(f.loads)) - 1
+  FROM f JOIN r ON r.k = f.k + 1)
+SELECT doc_id, CAST(bin AS INTEGER) AS bin FROM f WHERE k > 0""")
+def least_loaded_bins(spark, sf):
+    """Documents by falling length, each to the least loaded of seven bins."""
+    return folds.least_loaded(_table(spark, sf, "documents"), "doc_id", "n_chars", 7).select("doc_id", "bin")
+
+
+@query("""WITH u AS (SELECT doc_id, lang, (CAST('0x' || substr(md5('5:' || doc_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0 AS u, greatest(1.0, n_chars / 1000.0) AS w FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ln(u) / w DESC, doc_id) AS turn, min(doc_id) OVER (PARTITION BY lang) AS first FROM u)
+SELECT doc_id, turn, row_number() OVER (ORDER BY turn, first, doc_id) AS place FROM t""")
+def weighted_family_turns(spark, sf):
+    """Documents with languages in turns, longer ones earlier by chance."""
+    d = _table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return folds.weighted_turns(d, "doc_id", "lang", F.col("n_chars") / 1000.0, 5).select("doc_id", "turn", "place")
+
+
+ALIASES = """p AS (SELECT client_id AS node, CASE WHEN master_id <> client_id THEN master_id WHEN client_id % 4 = 0 THEN NULL ELSE (client_id * 7 + 5) % 1009 END AS alias FROM clients)"""
+
+
+def _aliases(spark, sf):
+    """Clients stand for their master, and some masters for another client, in cycles too."""
+    c, m = F.col("client_id"), F.col("master_id")
+    alias = F.when(m != c, m).when(c % 4 == 0, F.lit(None)).otherwise((c * 7 + 5) % 1009)
+    return _table(spark, sf, "clients").select(c.alias("node"), alias.alias("alias"))
+
+
+@query(f"""WITH RECURSIVE {ALIASES}, q AS (SELECT node, min(CASE WHEN alias <> node THEN alias END) AS alias FROM p GROUP BY node),
+w AS (SELECT node AS start, node AS here, 0 AS steps, [node] AS seen FROM q
+  UNION ALL SELECT w.start, q.alias, w.steps + 1, list_append(w.seen, q.alias) FROM w JOIN q ON q.node = w.here WHERE q.alias IS NOT NULL AND NOT list_contains(w.seen, q.alias)),
+e AS (SELECT start, arg_max(here, steps) AS here, max(steps) AS steps FROM w GROUP BY start)
+SELECT start AS node, CASE WHEN q.alias IS NULL THEN here END AS root, CASE WHEN q.alias IS NULL THEN CAST(steps AS BIGINT) END AS steps, q.alias IS NOT NULL AS cyclic FROM e LEFT JOIN q ON q.node = e.here""")
+def alias_roots(spark, sf):
+    return graphs.resolved(_aliases(spark, sf), "node", "alias")
+
+
+@query(f"""WITH RECURSIVE {ALIASES}, r AS (SELECT client_id AS node, 0 AS depth FROM clients WHERE segment = 'retail'
+  UNION SELECT p.alias, r.depth + 1 FROM r JOIN p ON p.node = r.node WHERE p.alias IS NOT NULL AND r.depth < 60)
+SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def alias_closure(spark, sf):
+    """All that clients of one segment stand for, over any number of steps."""
+    starts = _table(spark, sf, "clients").where("segment = 'retail'").select(F.col("client_id").alias("node"))
+    return graphs.closure(_aliases(spark, sf).select("node", F.col("alias").alias("next")), starts)
