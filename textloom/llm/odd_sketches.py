@@ -143,7 +143,7 @@ def forest_by_estimate(comps: np.ndarray, sizes: np.ndarray, sketches: np.ndarra
 
 
 def candidates(at: int, comps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, most: int) -> list[tuple[int, int, int]]:
-    """(differing bits, at, other) for rows behind ``at`` in other components that may be similar."""
+    """(differing bits, at, other) for rows behind ``at`` in other components that may be similar; sketches are unsigned words."""
     rest = slice(at + 1, None)
     good = (comps[rest] != comps[at]) & (np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9)
     other = np.flatnonzero(good) + at + 1
@@ -243,27 +243,33 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
         joined = rows.join(there, F.col(column) == F.col("_node"), "left")
         return joined.select(*rows.columns, F.coalesce("_comp", column).alias(f"{column}_comp"))
 
-    def open_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
-        """(rows) of each group of nodes of a list that still has several components."""
+    def open_lists(members: DataFrame, comps: DataFrame) -> DataFrame:
+        """(key, i, j, node): the lists that still have several components, in groups of which each pair of nodes shares one."""
         left = cut(labelled(members, comps))
         several = left.groupBy("key").agg(F.min("node_comp").alias("x"), F.max("node_comp").alias("y")).where("x <> y").select(F.col("key").alias("open_key"))
-        left = left.join(several, F.col("key") == F.col("open_key")).drop("open_key")
+        left = left.join(several, F.col("key") == F.col("open_key")).select("key", "n", "node")
         long = cut(left.where(F.col("n") > SPLIT * max_list).select("key", "node"))
         if long.limit(1).count():
             finer = long.join(nodes.select(F.col("node").alias("m"), "bands"), F.col("node") == F.col("m"))
             finer = finer.select("key", "node", F.explode("bands").alias("band")).where("band <> key").select(F.xxhash64("key", "band").alias("key"), "node")
             finer = cut(finer)
-            finer = labelled(members_of(finer, listed(finer)), comps)
-            left = left.where(F.col("n") <= SPLIT * max_list).unionByName(finer)
-        blocks = dealt(left, max_list).join(small.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m"))
-        return blocks.groupBy("key", "i", "j").agg(F.array_sort(F.collect_list(F.struct("node", "node_comp", "size", "sketch"))).alias("rows")).select("rows")
+            left = left.where(F.col("n") <= SPLIT * max_list).unionByName(members_of(finer, listed(finer)).select("key", "n", "node"))
+        return cut(dealt(left, max_list).select("key", "i", "j", "node"))
+
+    def open_groups(placed: DataFrame, comps: DataFrame) -> DataFrame:
+        """(rows) of each group that still has several components."""
+        rows = labelled(placed, comps).join(small.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m"))
+        rows = rows.groupBy("key", "i", "j").agg(
+            F.array_sort(F.collect_list(F.struct("node", "node_comp", "size", "sketch"))).alias("rows"), F.min("node_comp").alias("x"), F.max("node_comp").alias("y")
+        )
+        return rows.where("x <> y").select("rows")
 
     def pairs_in(blocks: DataFrame, whole: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for value in b.column("rows"):
                     node, comp, size = (value.values.field(c).to_numpy() for c in ("node", "node_comp", "size"))
-                    sketch = value.values.field("sketch").flatten().to_numpy().reshape(len(node), WORDS)
+                    sketch = value.values.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(node), WORDS)
                     if whole:
                         steps = ([(x, y) for _, x, y in candidates(at, comp, size, sketch, similarity, most)] for at in range(len(node) - 1))
                     else:
@@ -283,8 +289,9 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
     tested = best = cut(best)
     links = verified(best)
     comps = connected_components(links)
+    placed = open_lists(members, comps)
     for whole in (False, True):
-        pairs = pairs_in(open_blocks(members, comps), whole).union(across(stars, comps)).distinct()
+        pairs = pairs_in(open_groups(placed, comps), whole).union(across(stars, comps)).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         release(spark)
         if not pairs.limit(1).count():
