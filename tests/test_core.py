@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
@@ -581,6 +582,16 @@ def test_shard_errors_and_folders(spark, tmp_path):
     assert status == {"a.txt": "record", "empty": "skipped", "bad": "malformed", "long": "skipped", "b.txt": "skipped"}
 
 
+def test_listed_files_match_whole_relative_paths(spark, tmp_path, monkeypatch):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "a b+%.js").write_text("outer")
+    (tmp_path / "s" / "a b+%.js").write_text("inner")
+    names = [os.path.relpath(tmp_path / x) for x in ("a b+%.js", "s/a b+%.js", "a b+%.js")]
+    got = files.listed_files(spark, names, 9, 50)
+    assert [r.text for r in sorted(got.collect(), key=lambda r: r.path)] == ["outer", "outer", "inner"]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
 def test_csr_round_trip_and_replace(spark, tmp_path):
     rng = random.Random(4)
     rows = [(k, [rng.randint(-9, 10**6) for _ in range(rng.randint(0, 5))]) for k in range(50)]
@@ -588,6 +599,8 @@ def test_csr_round_trip_and_replace(spark, tmp_path):
     files.write_csr(df, str(tmp_path / "csr"), "k", "v", block=8)
     assert sorted((r.key, r["values"]) for r in files.read_csr(spark, str(tmp_path / "csr")).collect()) == rows
     assert sorted(r.key for r in files.read_csr(spark, str(tmp_path / "csr"), 13, 29).collect()) == list(range(13, 29))
+    plan = files.read_csr(spark, str(tmp_path / "csr"), 13, 29)._jdf.queryExecution().toString()
+    assert "LessThan(first,29)" in plan and "GreaterThanOrEqual(last,13)" in plan
     for n in (3, 5):
         files.replace(df.limit(n), str(tmp_path / "table"))
         assert spark.read.parquet(str(tmp_path / "table")).count() == n

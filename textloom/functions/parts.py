@@ -246,3 +246,25 @@ def map_parts(docs: DataFrame, columns: set[str], function: Callable[[pa.RecordB
 def part_features(docs: DataFrame) -> DataFrame:
     """One row per part with the unpacked feature record."""
     return part_table(docs, columns={"i": "int", "kind": "int"} | FEATURES)
+
+
+def register_functions(spark) -> None:
+    """SQL functions of the session: ``text_parts(text)`` as a table, and what a part is, by its value.
+
+    ``SELECT d.doc_id, p.* FROM d, LATERAL text_parts(d.text) p`` has a row (i, value, kind,
+    units) for each part. The bodies are SQL, so they run as built-in functions do.
+    """
+    quoted = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
+    code = "ascii(value)"
+    kind = (
+        f"CASE WHEN {code} BETWEEN 48 AND 57 OR {code} BETWEEN 65 AND 90 OR {code} BETWEEN 97 AND 122 OR {code} = 95 OR {code} > 127 THEN {WORD} "
+        f"WHEN {code} IN (9, 11, 12, 32) THEN {SPACE} WHEN {code} IN (10, 13) THEN {NEWLINE} ELSE {SYMBOL} END"
+    )
+    units = "CAST(char_length(value) + regexp_count(value, '[\\\\x{10000}-\\\\x{10FFFF}]') AS INT)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION part_kind(value STRING) RETURNS INT RETURN {kind}")
+    for number, name in enumerate(KIND_NAMES):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_{name}_part(value STRING) RETURNS BOOLEAN RETURN value IS NOT NULL AND value <> '' AND ({kind}) = {number}")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION text_parts(text STRING) RETURNS TABLE (i INT, value STRING, kind INT, units INT) "
+        f"RETURN SELECT i, value, {kind}, {units} FROM (SELECT posexplode(regexp_extract_all(coalesce(text, ''), '{quoted}', 0)) AS (i, value))"
+    )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parts import units_of
+from ..functions.parts import map_parts, units_of
 
 #: Fixed value: what trimming removes at both ends.
 BLANK = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
@@ -44,6 +48,66 @@ def structural_digest(text: Column, family: Column, least_units: int = 128, leas
     )
 
 
+#: The comments of languages; a family that is not here has none.
+C_LIKE = r"/\*[\s\S]*?\*/|//[^\n]*"
+HASH = r"#[^\n]*"
+MARKUP = r"<!--[\s\S]*?-->"
+DASHES = r"--[^\n]*"
+COMMENTS_OF = {
+    "c": C_LIKE, "cpp": C_LIKE, "csharp": C_LIKE, "css": r"/\*[\s\S]*?\*/", "go": C_LIKE, "haskell": r"\{-[\s\S]*?-\}|--[^\n]*", "html": MARKUP, "java": C_LIKE,
+    "javascript": C_LIKE, "kotlin": C_LIKE, "lua": r"--\[\[[\s\S]*?\]\]|--[^\n]*", "markdown": MARKUP, "perl": HASH, "php": C_LIKE + "|" + HASH, "python": HASH, "r": HASH,
+    "ruby": HASH, "rust": C_LIKE, "scala": C_LIKE, "scss": C_LIKE, "shell": HASH, "sql": r"/\*[\s\S]*?\*/|--[^\n]*", "swift": C_LIKE, "toml": HASH, "typescript": C_LIKE,
+    "xml": MARKUP, "yaml": HASH,
+}
+
+
+def structural_digest_of(text: Column, family: Column) -> Column:
+    """``structural_digest`` that leaves out the comments of the text's own language only.
+
+    A form counts wherever it stands, in strings too; labels (``labelled_digests``) know better.
+    """
+    digest = F.lit(None).cast("string")
+    for form in sorted(set(COMMENTS_OF.values())):
+        named = [f for f, own in COMMENTS_OF.items() if own == form]
+        digest = F.when(family.isin(named), structural_digest(text, family, comments=form)).otherwise(digest)
+    # What nothing matches keeps all of the text.
+    return F.when(family.isin(list(COMMENTS_OF)), digest).otherwise(structural_digest(text, family, comments=r"(?!)"))
+
+
+def labelled_digests(docs: DataFrame, labels: DataFrame, family: str, least_units: int = 128, least_parts: int = 16) -> DataFrame:
+    """(doc_id, digest) of (doc_id, text, family) by its labelled comments (doc_id, start, stop).
+
+    The digest is that of the values of all parts that touch no comment; null for texts of
+    fewer units or parts. Labels meet the text by document: each document's comments come to it
+    as one list, and the parts are told apart where the text lies.
+    """
+    spots = labels.where("stop > start").groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("comments"))
+    rows = docs.select("doc_id", "text", F.col(family).alias("family")).join(spots, F.col("doc_id") == F.col("_d"), "left").drop("_d")
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        out, at = [], 0
+        family, comments = b.column("family").to_pylist(), b.column("comments")
+        for k, n in enumerate(sizes.tolist()):
+            start, stop = parts["start"][at : at + n], parts["stop"][at : at + n]
+            values = parts["value"].slice(at, n)
+            at += n
+            if n < least_parts or stop[-1] < least_units:
+                out.append(None)
+                continue
+            spans = comments[k].values if comments[k].is_valid else None
+            if spans is not None:
+                # The furthest end of the comments that begin before a part ends.
+                begin, end = (spans.field(c).to_numpy() for c in ("start", "stop"))
+                last = np.searchsorted(begin, stop, side="left")
+                reach = np.append(0, np.maximum.accumulate(end))[last]
+                values = values.filter(pa.array(reach <= start))
+            text = "\0".join([family[k] or "", "source", *values.to_pylist()])
+            out.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "digest"])
+
+    return map_parts(rows, {"start", "stop", "value"}, run, "doc_id long, digest string")
+
+
 def deduplicate(docs: DataFrame, family: str, seq: str) -> DataFrame:
     """Rows kept after exact, then structural deduplication; the first in ``seq`` order stays."""
     digest = F.sha2(F.concat_ws("\x00", F.col(family), F.lit("source"), trimmed(F.coalesce("text", F.lit("")))), 256)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, graphs, training
+from ..functions import parts
+from ..operators import corpus, folds, graphs, training
+from .oracles import OFFSETS
+from .oracles import ORACLE_SQL as CORE_SQL
 from .queries import _table
 
 QUERIES = {}
@@ -94,3 +97,38 @@ def alias_closure(spark, sf):
     """All that clients of one segment stand for, over any number of steps."""
     starts = _table(spark, sf, "clients").where("segment = 'retail'").select(F.col("client_id").alias("node"))
     return graphs.closure(_aliases(spark, sf).select("node", F.col("alias").alias("next")), starts)
+
+
+@query("SELECT item_id, brand, row_number() OVER (PARTITION BY brand ORDER BY icu_sort_key(name, 'root'), item_id) AS place FROM items")
+def locale_order(spark, sf):
+    """Items of a brand in the order of their names as dictionaries have it."""
+    items = _table(spark, sf, "items").select("item_id", "brand", "name")
+    return folds.ranked(items, ["brand"], [F.collate("name", "UNICODE"), F.asc("item_id")], "place").select("item_id", "brand", "place")
+
+
+@query(CORE_SQL["part_kind_counts"])
+def sql_part_counts(spark, sf):
+    """``part_kind_counts`` in SQL, by the table function."""
+    parts.register_functions(spark)
+    return spark.sql(
+        "SELECT lang, kind, count(*) AS n_parts, sum(units) AS n_units FROM {docs} d, LATERAL text_parts(d.text) p GROUP BY lang, kind",
+        docs=_table(spark, sf, "documents"),
+    )
+
+
+@query(f"""WITH {OFFSETS}, e AS (SELECT doc_id, max(stop) AS end FROM o GROUP BY doc_id),
+c AS (SELECT doc_id, unnest(range(0, CAST(floor((e.end - 1) / 90) AS BIGINT) + 1)) * 90 AS a FROM e),
+g AS (SELECT doc_id, a, least(a + 20, e.end) AS z FROM c JOIN e USING (doc_id)),
+h AS (SELECT doc_id, i, value FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = o.doc_id AND g.a < o.stop AND g.z > o.start)),
+v AS (SELECT doc_id, string_agg(value, chr(1) ORDER BY i) AS code FROM h GROUP BY doc_id),
+n AS (SELECT doc_id, max(stop) AS units, count(*) AS n FROM o GROUP BY doc_id),
+s AS (SELECT n.doc_id, d.lang, coalesce(code, '') AS code FROM n JOIN documents d USING (doc_id) LEFT JOIN v USING (doc_id) WHERE units >= 128 AND n >= 16)
+SELECT min(doc_id) AS doc_id, count(*) AS copies FROM s GROUP BY coalesce(lang, ''), code""")
+def labelled_dedup(spark, sf):
+    """Documents that differ in comments alone, the first of each; 20 of every 90 units are labelled comments."""
+    d = _table(spark, sf, "documents")
+    ends = d.select("doc_id", parts.units_of(F.coalesce("text", F.lit(""))).alias("end")).where("end > 0")
+    turns = ends.select("doc_id", "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 1) / 90))).alias("k"))
+    labels = turns.select("doc_id", (F.col("k") * 90).alias("start"), F.least(F.col("k") * 90 + 20, F.col("end")).alias("stop"))
+    found = corpus.labelled_digests(d, labels, "lang").where("digest IS NOT NULL")
+    return found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")

@@ -90,15 +90,23 @@ def scan_folder(spark: SparkSession, root: str, max_bytes: int, excluded: tuple[
     ).orderBy("path")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with scheme and every folder, relative ones from the working folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toString()
+
+
 def listed_files(spark: SparkSession, paths: list[str], max_files: int, max_bytes: int) -> DataFrame:
     """(path, status, text) of listed files: records, or why they are skipped or malformed.
 
     Beyond ``max_files`` they are skipped. A file that does not exist is an error.
     """
     # Empty files are no rows of the reader, so what it does not return is empty.
-    wanted = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "place int, wanted string")
-    files = spark.read.format("binaryFile").load(paths[:max_files]) if paths[:max_files] else spark.createDataFrame([], "path string, length long, content binary")
-    j = wanted.join(files, F.col("path").endswith(F.col("wanted")), "left")
+    # Paths are compared as the file system writes them, whole; a path that is listed twice gives two records.
+    wanted = spark.createDataFrame([(k, p, qualified(spark, p)) for k, p in enumerate(paths)], "place int, wanted string, whole string")
+    files = spark.read.format("binaryFile").load(sorted(set(paths[:max_files]))) if paths[:max_files] else spark.createDataFrame([], "path string, length long, content binary")
+    j = wanted.hint("merge").join(files.withColumnRenamed("path", "at"), F.col("whole") == F.col("at"), "left")
     status = (
         F.when(F.col("place") >= max_files, "skipped: too many files").when(F.coalesce("length", F.lit(0)) == 0, "skipped: empty").when(F.col("length") > max_bytes, "skipped: too large")
         .when(~F.is_valid_utf8(F.col("content").cast("string")), "malformed: not UTF-8").otherwise("record")
@@ -141,7 +149,7 @@ def replace(rows: DataFrame, path: str, form: str = "parquet") -> None:
     fs.delete(hadoop.Path(old), True)
 
 
-CSR = "block long, first long, offsets binary, values binary"
+CSR = "block long, first long, last long, offsets binary, values binary"
 
 
 def write_csr(records: DataFrame, path: str, key: str, values: str, block: int = 4096) -> None:
@@ -157,8 +165,8 @@ def write_csr(records: DataFrame, path: str, key: str, values: str, block: int =
         def out(part: list[tuple[int, list[int]]]) -> pa.RecordBatch:
             offsets = np.cumsum([0, *(len(v) for _, v in part)]).astype("<i8")
             flat = np.array([x for _, v in part for x in v], dtype="<i4")
-            cols = [pa.array([part[0][0] // block]), pa.array([part[0][0]]), pa.array([offsets.tobytes()]), pa.array([flat.tobytes()])]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "first", "offsets", "values"])
+            cols = [pa.array([part[0][0] // block]), pa.array([part[0][0]]), pa.array([part[-1][0]]), pa.array([offsets.tobytes()]), pa.array([flat.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "first", "last", "offsets", "values"])
 
         for b in batches:
             for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True):
@@ -174,8 +182,8 @@ def write_csr(records: DataFrame, path: str, key: str, values: str, block: int =
 
 
 def read_csr(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
-    """(key, values) of the rows ``first`` .. ``last`` - 1; blocks outside are not read."""
-    blocks = spark.read.schema(CSR).parquet(path).where(F.col("first") < (last if last is not None else 2**62))
+    """(key, values) of the rows ``first`` .. ``last`` - 1; the scan leaves blocks before and behind out by their bounds."""
+    blocks = spark.read.schema(CSR).parquet(path).where((F.col("first") < (last if last is not None else 2**62)) & (F.col("last") >= first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
