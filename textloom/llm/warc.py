@@ -16,7 +16,7 @@ response, replaced by the ones of the revisit that a 304 answer may carry. Other
 ``mismatch``, or ``unresolved`` where there is no earlier response, with the permitted
 headers of the revisit alone.
 
-Records of equal time are ordered by id. A null URL matches nothing. Repeated records are
+Records of equal time are ordered by id, null ids and null times first. A null URL matches nothing. Repeated records are
 resolved each on its own. Null header maps count as empty; header names are lower-cased,
 and of names equal but for case the first stays. An empty table gives no rows; a very long URL,
 field or body is read whole.
@@ -24,7 +24,12 @@ field or body is read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -64,7 +69,8 @@ def _clean(headers: Column) -> Column:
 
 def _fields(block: Column) -> Column:
     """The ``Name: value`` lines of a header block, below its first line, as a map by lower-cased name."""
-    lines = F.filter(F.slice(F.split(block, "\r\n"), 2, 10_000), lambda x: F.contains(x, F.lit(":")))
+    lines = F.split(block, "\r\n")
+    lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.contains(x, F.lit(":")))
     return _first_of(
         F.transform(
             lines,
@@ -78,6 +84,8 @@ def _fields(block: Column) -> Column:
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     """The columns that ``resolve_revisits`` reads, of WARC records given as strings. Row-local.
 
+    ``record_uri`` is the record's whole id, ``record_id`` the number at its end (null where none
+    is or it has letters beside it), ``micros`` its date in microseconds, ``ts`` in seconds.
     Each step gives an array of at most one element per record, so nothing is computed twice.
     """
     gap = "\r\n\r\n"
@@ -89,7 +97,7 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
             F.array(
                 F.struct(
                     _fields(F.col("head")).alias("warc"),
-                    F.substring_index(F.substr("whole", F.char_length("head") + len(gap) + 1, F.lit(1 << 16)), gap, 1).alias("http"),
+                    F.substring_index(F.substr("whole", F.char_length("head") + len(gap) + 1), gap, 1).alias("http"),
                 )
             )
         )
@@ -100,9 +108,11 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     )
     field = F.col("warc")
     return rows.select(F.inline(F.filter(F.array(parsed), known))).select(
-        F.regexp_extract(field["warc-record-id"], r"(\d+)>?$", 1).try_cast("long").alias("record_id"),
+        field["warc-record-id"].alias("record_uri"),
+        F.regexp_extract(field["warc-record-id"], r"(?:^|[^0-9A-Za-z])(\d+)>?$", 1).try_cast("long").alias("record_id"),
         field["warc-target-uri"].alias("url"),
         F.unix_timestamp(field["warc-date"].try_cast("timestamp")).alias("ts"),
+        F.unix_micros(field["warc-date"].try_cast("timestamp")).alias("micros"),
         "kind",
         F.col("headers")["etag"].alias("etag"),
         F.col("headers")["last-modified"].alias("last_modified"),
@@ -111,16 +121,105 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     )
 
 
-def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
+RECORD_END = b"\r\n\r\n"
+
+
+def framed(pieces: Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(status, record) of a WARC file's bytes: each header and as many bytes as its Content-Length says.
+
+    The status is ``whole``, or ``cut`` for a last record that the file ends in, or one without
+    a length, with which reading ends.
+    """
+    held = b""
+    pieces = iter(pieces)
+
+    def more() -> bool:
+        nonlocal held
+        piece = next(pieces, None)
+        held += piece or b""
+        return piece is not None
+
+    while True:
+        seen = 0
+        while True:
+            if held[:1] in (b"\r", b"\n"):
+                held, seen = held.lstrip(b"\r\n"), 0
+            end = held.find(RECORD_END, seen)
+            seen = max(0, len(held) - 3)
+            if end >= 0 or not more():
+                break
+        if end < 0:
+            if held:
+                yield "cut", held
+            return
+        length = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", held[:end])
+        stop = end + len(RECORD_END) + int(length[1]) if length else -1
+        parts, size = [held], len(held)
+        while stop > size and (piece := next(pieces, None)) is not None:
+            parts.append(piece)
+            size += len(piece)
+        held = b"".join(parts)
+        if stop < 0 or stop > size:
+            yield "cut", held
+            return
+        yield "whole", held[:stop]
+        held = held[stop:]
+
+
+def inflated(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, of gzip members one after the other or plain, in pieces of bounded size."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        for at in range(0, len(data), step):
+            yield bytes(data[at : at + step])
+        return
+    at, member, rest = 0, zlib.decompressobj(31), b""
+    while True:
+        if not rest:
+            if at >= len(data):
+                return
+            rest, at = bytes(data[at : at + step]), at + step
+        try:
+            piece = member.decompress(rest, step)
+        except zlib.error:
+            return
+        if piece:
+            yield piece
+        rest = member.unconsumed_tail
+        if member.eof:
+            rest, member = member.unused_data, zlib.decompressobj(31)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, place, status, record) of the WARC files under a path, gzip members or plain.
+
+    A file is read by one task (Spark's binary source holds files of up to 2 GB; archives are
+    cut at half of that), member by member and record by record. Bytes that are no UTF-8 become
+    replacement characters. What follows a broken member or a record without a length is lost,
+    and the record it breaks in has the status ``cut``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                for place, (status, record) in enumerate(framed(inflated(memoryview(content.as_buffer())))):
+                    cells = [pa.array([name]), pa.array([place], pa.int64()), pa.array([status]), pa.array([record.decode("utf-8", "replace")])]
+                    yield pa.RecordBatch.from_arrays(cells, names=["path", "place", "status", "record"])
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, "path string, place long, status string, record string")
+
+
+def resolve_revisits(records: DataFrame, slices: int = 64, *, id_col: str = "record_id", time_col: str = "ts") -> DataFrame:
     """One row per revisit of (record_id, url, ts, kind, etag, last_modified, digest, headers).
 
-    kind is ``response`` or ``revisit``; other records are passed over. Result:
-    record_id, canonical_url, refers_to, outcome, headers.
+    kind is ``response`` or ``revisit``; other records are passed over. Ids are of any type that
+    has an order, times whole numbers of any unit (``record_uri`` and ``micros`` of parsed
+    records, for files whose ids are UUIDs). Result: record_id, canonical_url, refers_to,
+    outcome, headers.
     """
     rows = records.where("kind IN ('response', 'revisit')").select(
-        F.col("record_id").cast("long").alias("record_id"),
+        F.col(id_col).alias("record_id"),
         canonical_url(F.col("url")).alias("canonical_url"),
-        F.col("ts").cast("long").alias("ts"),
+        F.col(time_col).cast("long").alias("ts"),
         "kind", "etag", "last_modified", "digest",
         _clean(F.col("headers")).alias("headers"),
     )
@@ -217,7 +316,7 @@ def captures(pages: DataFrame) -> DataFrame:
 def op7_revisits(spark, sf_dir: str) -> DataFrame:
     """Query: the revisits among the WARC records made of all ``pages``."""
     records, _ = stored(parse_records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))))  # read three times below
-    out = resolve_revisits(records)
+    out = resolve_revisits(records, time_col="micros")
     joined = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.withColumn("headers", joined)
 
