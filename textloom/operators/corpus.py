@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ def exact_duplicates(docs: DataFrame, family: str, seq: str) -> DataFrame:
 
 #: Fixed value: the parts' alternatives but for white space.
 SOLID = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+|[^0-9A-Za-z_\x{80}-\x{10FFFF}\t\x0B\f \r\n]"
-#: Comments of most languages: what is compared where no labels say which parts are comments.
+#: Comments of most languages at once, for texts of which neither labels nor the language tell.
 COMMENTS = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?m:^|\s)(?://|#)[^\n]*"
 
 
@@ -108,10 +109,13 @@ def labelled_digests(docs: DataFrame, labels: DataFrame, family: str, least_unit
     return map_parts(rows, {"start", "stop", "value"}, run, "doc_id long, digest string")
 
 
-def deduplicate(docs: DataFrame, family: str, seq: str) -> DataFrame:
-    """Rows kept after exact, then structural deduplication; the first in ``seq`` order stays."""
+def deduplicate(docs: DataFrame, family: str, seq: str, shape: Callable[[Column, Column], Column] = structural_digest_of) -> DataFrame:
+    """Rows kept after exact, then structural deduplication; the first in ``seq`` order stays.
+
+    ``shape`` gives the structural digest of text and family, null for none.
+    """
     digest = F.sha2(F.concat_ws("\x00", F.col(family), F.lit("source"), trimmed(F.coalesce("text", F.lit("")))), 256)
-    marked = docs.select(seq, digest.alias("exact"), structural_digest(F.coalesce("text", F.lit("")), F.col(family)).alias("shape"))
+    marked = docs.select(seq, digest.alias("exact"), shape(F.coalesce("text", F.lit("")), F.col(family)).alias("shape"))
     exact = marked.groupBy("exact").agg(F.min(F.struct(seq, "shape")).alias("x")).select("x.*")
     shaped = exact.where("shape IS NOT NULL").groupBy("shape").agg(F.min(seq).alias(seq)).select(seq)
     return exact.where("shape IS NULL").select(seq).unionByName(shaped)

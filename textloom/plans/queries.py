@@ -175,7 +175,8 @@ def exact_dedup(spark, sf):
 
 
 def structural_dedup(spark, sf):
-    return corpus.deduplicate(_table(spark, sf, "documents"), "lang", "doc_id").select("doc_id")
+    """Prose has no comment form of its own, so any language's is left out."""
+    return corpus.deduplicate(_table(spark, sf, "documents"), "lang", "doc_id", corpus.structural_digest).select("doc_id")
 
 
 def reserved_antijoin(spark, sf):
