@@ -12,7 +12,8 @@ result is the same.
 A null URL, or one without ``://``, has an empty host and path, matches no rule and gets
 the model's verdict for the empty URL. Repeated rows get equal verdicts; without labelled
 rows of both classes the model is a constant (allow when there are none at all). A URL of
-any length is read whole. An empty table gives no rows.
+any length is read whole. A null id stays null, its row judged like any other. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
