@@ -230,6 +230,37 @@ def markup_spans(spark, sf):
     return s.groupBy("doc_id", "class").agg(F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("units"))
 
 
+#: What each engine's markup calls the words that begin so: frames from the outer to the inner one.
+ENGINE_FRAMES = {
+    "highlight.js": (("^[0-9]", ("hljs-string", "hljs-number")), ("^[A-Z]", ("hljs-title class_",)), ("^s", ("hljs-title function_",)), ("^t", ("hljs-literal",)), ("^a", ("hljs-subst", "unheard-of"))),
+    "sugar-high": (("^[0-9A-Z]", ("sh__token--class",)), ("^s", ("sh__token--string",)), ("^t", ("sh__token--keyword", "unheard-of")), ("^a", ("sh__token--keyword", "sh__token--identifier"))),
+    "starry-night": (("^[0-9]", ("pl-c1",)), ("^[A-Z]", ("pl-k",)), ("^s", ("pl-s", "pl-en")), ("^t", ("pl-c1",)), ("^a", ("pl-s", "unheard-of"))),
+}
+ENGINE_SIGNS = {"highlight.js": "hljs-punctuation", "sugar-high": "sh__token--sign", "starry-night": "pl-k"}
+
+
+def engine_markup_spans(spark, sf):
+    """Conversations in the markup of three more engines, read back by each one's rules."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    p = part_table(c, columns=PLAIN)
+    out = None
+    for engine, frames in ENGINE_FRAMES.items():
+        text = _escaped(F.col("value"))
+        wrap = lambda names, inner: F.concat(F.lit(f"<span class='{names}'>"), inner, F.lit("</span>"))
+        marked = text
+        for begins, names in reversed(frames):
+            whole = text
+            for n in reversed(names):
+                whole = wrap(n, whole)
+            marked = F.when(F.col("value").rlike(begins), whole).otherwise(marked)
+        marked = F.when(F.col("kind") == SYMBOL, wrap(ENGINE_SIGNS[engine], text)).when(F.col("kind") == WORD, marked).otherwise(text)
+        pages = p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", marked.alias("m")))), lambda r: r["m"]), "").alias("html"))
+        s = html_labels.label_html(pages, "doc_id", "html", engine)
+        s = s.groupBy("doc_id", "class").agg(F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("units")).withColumn("engine", F.lit(engine))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def decoded_entities(spark, sf):
     docs = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = html_labels.decode_entities(_escaped(F.col("text")))
@@ -241,7 +272,7 @@ QUERIES = {
     for f in (
         clipped_labels, invalid_labels, filled_gaps, rasterized_classes, uncovered_stretches, span_set_metrics, character_audit, character_confusion,
         region_confusion, evaluation_sets, mismatch_report, part_boundaries, boundary_weights, focused_failures, length_band_scores, accuracy_bands,
-        median_accuracy, prediction_disagreement, first_differences, error_windows, supervision_mask, token_labels, markup_spans, decoded_entities,
+        median_accuracy, prediction_disagreement, first_differences, error_windows, supervision_mask, token_labels, markup_spans, engine_markup_spans, decoded_entities,
     )
 }
 
@@ -336,3 +367,15 @@ x AS (SELECT CASE WHEN regexp_matches(value, '^[0-9]') THEN 'number' WHEN regexp
     CASE WHEN regexp_matches(value, '^[0-9]') OR kind = 3 THEN 0 WHEN regexp_matches(value, '^[A-Z]') THEN 16 ELSE 2 END AS aux FROM t WHERE h > 0
   UNION ALL SELECT 'comment', 1.0, n - h, 1 FROM t WHERE n > h)
 SELECT class, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n_labels, CAST(sum(w) AS BIGINT) AS units, CAST(sum(aux) AS BIGINT) AS auxiliary FROM x GROUP BY class, confidence"""
+
+LITERALS = "(?i)^(false|infinity|nan|null|true|undefined)$"
+ORACLE_SQL["engine_markup_spans"] = f"""WITH {CONV}, e AS (SELECT unnest(['highlight.js', 'sugar-high', 'starry-night']) AS engine),
+h AS (SELECT doc_id, i, units, value, kind, left(value, 1) AS a FROM p),
+c AS (SELECT engine, doc_id, i, units, CASE WHEN kind IN (1, 2) THEN 'plain' WHEN kind = 3 THEN 'operator'
+  WHEN a BETWEEN '0' AND '9' THEN 'number'
+  WHEN regexp_matches(a, '[A-Z]') THEN CASE WHEN engine = 'starry-night' THEN 'keyword' WHEN engine = 'sugar-high' AND regexp_matches(value, '{LITERALS}') THEN 'constant' ELSE 'type' END
+  WHEN a = 's' THEN CASE WHEN engine = 'sugar-high' THEN 'string' ELSE 'function' END
+  WHEN a = 't' THEN CASE WHEN engine = 'sugar-high' THEN 'keyword' ELSE 'constant' END
+  ELSE 'plain' END AS class FROM h, e),
+f AS (SELECT *, CASE WHEN lag(class) OVER w = class THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY engine, doc_id ORDER BY i))
+SELECT engine, doc_id, class, CAST(sum(fresh) AS BIGINT) AS n_spans, CAST(sum(units) AS BIGINT) AS units FROM f GROUP BY ALL"""
