@@ -68,3 +68,15 @@ def test_names_in_locale_order(spark):
     df = spark.createDataFrame([*enumerate(names)], "id long, name string")
     got = [r.name for r in sorted(folds.ranked(df, [], [F.collate("name", "UNICODE"), F.asc("id")]).collect(), key=lambda r: r["rank"])]
     assert got == [None, "a", "A", "ä", "Ä", "a b", "ab", "b", "B", "z"]
+
+
+def test_truncation_counts_units(spark):
+    from textloom.functions import names
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "é", "😀", "\uf8ff", "𝒳"]) for _ in range(rng.randrange(12))) for _ in range(60)] + ["", None, "x" * 9]
+    df = spark.createDataFrame([*enumerate(texts)], "k int, t string")
+    for most in (1, 4, 7):
+        got = {r.k: r.s for r in df.select("k", names.truncated(F.col("t"), most).alias("s")).collect()}
+        want = {k: t and t.encode("utf-16-le")[: 2 * most].decode("utf-16-le", "ignore") for k, t in enumerate(texts)}
+        assert got == want

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .parts import ASTRAL
+
 # Short names of languages.
 LANGUAGE_ALIASES = {
     "js": "javascript", "ts": "typescript", "py": "python", "rb": "ruby", "sh": "shellscript", "bash": "shellscript",
@@ -84,8 +86,14 @@ def directory_name(name: Column, revision: Column) -> Column:
 
 
 def truncated(text: Column, most: int = MOST_UNITS) -> Column:
-    """The first ``most`` UTF-16 units of texts without characters beyond the basic plane."""
-    return F.substring(text, 1, most)
+    """The first ``most`` UTF-16 units; a character that the end would halve is left out."""
+    # A mark before each character of two units makes characters count as units do.
+    near = F.substring(text, 1, most)
+    marked = F.regexp_replace(near, f"({ASTRAL})", "\uf8ff$1")
+    halved = F.substring(marked, most, 2).rlike(f"^\uf8ff{ASTRAL}")
+    cut = F.substring(marked, 1, F.when(halved, most - 1).otherwise(most))
+    whole = F.octet_length(near) < F.char_length(near) + 3
+    return F.when(whole, near).otherwise(F.regexp_replace(cut, f"\uf8ff({ASTRAL})", "$1"))
 
 
 def pin_problem(kind: Column, license: Column, revision: Column, allowed: list[str]) -> Column:

@@ -73,7 +73,7 @@ def per_source_limit(spark, sf):
 
 
 def candidate_order(spark, sf):
-    """Documents by falling priority (their number of different constructs), then source and id: the first 500 of each language."""
+    """Documents by falling priority (here the rest of their length by eleven), then source and id: the first 500 of each language."""
     rows = _table(spark, sf, "documents").select("doc_id", "lang", "source", (F.length("text") % 11).alias("priority"))
     p = corpus.limit_per_group(rows, "lang", corpus.candidate_order("priority", "source", "doc_id"), 500)
     return p.select("doc_id", "lang", F.col("place").cast("long").alias("place"))
