@@ -10,7 +10,9 @@ node's MinHash samples come two things:
   count p tells how many differ, most precisely for similar pairs: the similarity is about
   ``1 + bits / (4 samples) * ln(1 - 2 p / bits)``. Pairs with more differing bits than a pair
   of the asked similarity has with probability 10^-9 (exact distribution, ``most_apart``)
-  are no candidates; neither are pairs whose sizes alone rule the similarity out.
+  are no candidates; neither are pairs whose sizes alone rule the similarity out, or of which
+  more parity bits of all their shingles differ than shingles may (which is never so for a
+  pair that is similar, and tells best for small sets).
 
 Candidates are confirmed by intersecting the sets, which are read off the texts once more for
 the nodes that share a key. Links are made as far as components need them, in three rounds:
@@ -40,12 +42,14 @@ from pyspark.sql import functions as F
 from .common import batches_of, cut, discard, release, stored, table, texts
 from .components import connected_components
 from .simhash import remix
-from .simhash_groups import dealt, node_of, shingle_set, similar
+from .simhash_groups import dealt, may_differ, node_of, shingle_set, similar
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 WORDS = 8
 BITS = 64 * WORDS
+#: Words of the parity bits of all shingles, behind those of the samples.
+WHOLE = 16
 #: Bits of the map that tells which texts are read again; fixed, so a full map only reads more.
 SLOTS = 1 << 25
 #: Partners that meet one node in a group.
@@ -76,13 +80,22 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """``WORDS`` words of 64 parity bits."""
-    at = remix(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 7) >> np.uint64(55)
-    odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
+def parities(at: np.ndarray, words: int) -> np.ndarray:
+    """Whether an odd number fell on each bit, as words of 64."""
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of 64 parity bits of the samples and their numbers."""
+    return parities(remix(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 7) >> np.uint64(55), WORDS)
+
+
+def sketch_of(shingles: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """The odd sketch of the samples, then that of all shingles in ``WHOLE`` words."""
+    return np.append(odd_sketch(samples), parities(shingles & np.uint64(64 * WHOLE - 1), WHOLE))
+
+
 def estimate(apart: int | np.ndarray) -> float | np.ndarray:
     """The similarity of which that many differing bits tell."""
     return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * np.asarray(apart) / BITS, 1e-9))
@@ -106,9 +119,9 @@ def most_apart(similarity: float, miss: float = 1e-9) -> int:
     return int(np.flatnonzero(tail <= miss)[0])
 
 
-def differing(a: str, b: str):
-    """How many bits of the sketches (columns of 64-bit words) differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+def differing(a: str, b: str, words: range):
+    """How many bits of these words of the sketches (columns of 64-bit words) differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words), F.lit(0))
 
 
 def listed(posts: DataFrame) -> DataFrame:
@@ -147,8 +160,9 @@ def candidates(at: int, comps: np.ndarray, sizes: np.ndarray, sketches: np.ndarr
     rest = slice(at + 1, None)
     good = (comps[rest] != comps[at]) & (np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9)
     other = np.flatnonzero(good) + at + 1
-    apart = np.bitwise_count(sketches[other] ^ sketches[at]).sum(axis=1, dtype=np.int64)
-    kept = apart <= most
+    bits = np.bitwise_count(sketches[other] ^ sketches[at])
+    apart, whole = (x.sum(axis=1, dtype=np.int64) for x in (bits[:, :WORDS], bits[:, WORDS:]))
+    kept = (apart <= most) & (whole <= may_differ(sizes[other] + sizes[at], similarity))
     return [(int(d), at, int(x)) for d, x in zip(apart[kept], other[kept], strict=True)]
 
 
@@ -173,7 +187,7 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
                 samples = min_samples(x) if len(x) else None
                 nodes.append(node_of(x) if len(x) else None)
                 sizes.append(len(x))
-                sketches.append(odd_sketch(samples) if len(x) else None)
+                sketches.append(sketch_of(x, samples) if len(x) else None)
                 bands.append(band_keys(samples) if len(x) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +213,8 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
             side = small.select(F.col("node").alias(f"{end}_"), F.col("size").alias(f"{end}_size"), F.col("sketch").alias(f"{end}_sketch"))
             pairs = pairs.join(side, F.col(end) == F.col(f"{end}_"))
         fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-        return pairs.where(fits).select("a", "b", differing("a_sketch", "b_sketch").alias("apart")).where(F.col("apart") <= most)
+        sure = differing("a_sketch", "b_sketch", range(WORDS, WORDS + WHOLE)) <= may_differ(F.col("a_size") + F.col("b_size"), similarity)
+        return pairs.where(fits & sure).select("a", "b", differing("a_sketch", "b_sketch", range(WORDS)).alias("apart")).where(F.col("apart") <= most)
 
     stars = members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     stars = stars.union(lists.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
@@ -269,7 +284,7 @@ def _near_duplicates(docs: DataFrame, k: int, similarity: float, id_col: str, te
             for b in batches:
                 for value in b.column("rows"):
                     node, comp, size = (value.values.field(c).to_numpy() for c in ("node", "node_comp", "size"))
-                    sketch = value.values.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(node), WORDS)
+                    sketch = value.values.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(node), WORDS + WHOLE)
                     if whole:
                         steps = ([(x, y) for _, x, y in candidates(at, comp, size, sketch, similarity, most)] for at in range(len(node) - 1))
                     else:
