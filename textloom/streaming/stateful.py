@@ -44,17 +44,22 @@ SPAN = "doc_id long, class int, start long, stop long, level int"
 def chunks(docs: DataFrame, classify: Callable[[dict], tuple[np.ndarray, np.ndarray]], columns: set[str], size: int = 4096) -> DataFrame:
     """(``CHUNK``) of the documents' parts, ``size`` parts each; the last chunk of a document says so.
 
-    ``classify`` gives class and level of each part from part columns. A document without parts
-    has no chunk, and neither has one without an id. Row-local.
+    ``classify`` gives class and level of each part from part columns. Neighbours of one class
+    go as one entry with their least level, so that a chunk is short before it is shuffled or
+    waits in the state. A document without parts has no chunk, and neither has one without an
+    id. Row-local.
     """
 
     def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
         cls, level = classify(parts)
         doc, i, n = np.repeat(np.arange(b.num_rows), sizes), parts["i"], len(parts["i"])
-        first = np.flatnonzero(i % size == 0)
-        offsets = pa.array(np.append(first, n), pa.int32())
+        begins = i % size == 0
+        first, at = np.flatnonzero(begins), np.flatnonzero(np.append(True, cls[1:] != cls[:-1])[:n] | begins)
+        ends = np.append(at[1:], n)[: len(at)] - 1
+        offsets = pa.array(np.append(np.searchsorted(at, first), len(at)), pa.int32())
         last = i[first] // size == (sizes[doc[first]] - 1) // size
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((cls, pa.int32()), (parts["stop"], pa.int64()), (level, pa.int32()))]
+        least = np.minimum.reduceat(level, at) if n else level
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((cls[at], pa.int32()), (parts["stop"][ends], pa.int64()), (least, pa.int32()))]
         ids = b.column("doc_id").take(pa.array(doc[first]))
         return pa.RecordBatch.from_arrays([ids, pa.array(i[first] // size, pa.int32()), pa.array(last), *lists], names=["doc_id", "chunk", "last", "classes", "stops", "levels"])
 
