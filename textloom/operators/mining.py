@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parts import map_parts
 from ..sources.folders import kept
 from .corpus import running_sums
 from .folds import ranked
@@ -36,6 +41,39 @@ def error_windows(parts: DataFrame, window: int = 128, stride: int | None = None
     )
 
 
+def document_error_windows(
+    docs: DataFrame, judge: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], columns: set[str], window: int = 128, stride: int | None = None, context: int | None = None,
+) -> DataFrame:
+    """``error_windows`` where documents lie: (record_id, from, to, errors, density, score) of (doc_id, text).
+
+    ``judge`` gives for all parts, from part columns: supervised, wrong, chance. Row-local: a
+    window's sums are taken between its ends in the document's own parts.
+    """
+    stride, context = stride or window // 2, context or window // 4
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        doc, begins = np.repeat(np.arange(b.num_rows), sizes), np.cumsum(sizes) - sizes
+        supervised, wrong, chance = judge(parts)
+        bad = supervised & wrong
+        at = np.flatnonzero(bad)
+        n = sizes[doc[at]]
+        start = np.maximum(0, np.minimum(np.maximum(0, n - window), parts["i"][at] // stride * stride - context))
+        low = np.unique(begins[doc[at]] + start)
+        of = doc[low]
+        high = np.minimum(begins[of] + sizes[of], low + window)
+        # Sums between the ends of each window; windows may overlap.
+        ends = np.stack([low, high], axis=1).ravel()
+        within = lambda x: np.add.reduceat(np.append(x, x.dtype.type(0)), ends)[::2] if len(low) else np.zeros(0, x.dtype)
+        errors, total = within(bad.astype(np.int64)), within(supervised.astype(np.int64))
+        loss = within(np.where(bad, -np.log(np.maximum(1e-6, chance)), 0.0))
+        keep = total > 0
+        cols = [pa.array((x - begins[of])[keep], pa.int32()) for x in (low, high)]
+        cols += [pa.array(errors[keep], pa.int32()), pa.array((errors / np.maximum(total, 1))[keep]), pa.array(loss[keep])]
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of[keep])), *cols], names=["record_id", "from", "to", "errors", "density", "score"])
+
+    return map_parts(docs.select("doc_id", "text"), columns | {"i"}, run, "record_id long, `from` int, `to` int, errors int, density double, score double")
+
+
 def uncovered(windows: DataFrame, best: list[str], share: float = 0.5) -> DataFrame:
     """The windows that no better window kept of their record covers by over ``share`` of the shorter one.
 
