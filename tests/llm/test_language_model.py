@@ -179,3 +179,44 @@ def test_long_ranges_of_histograms():
     i, over = pitman_yor.trials(dict(zip(bins.tolist(), n.tolist(), strict=True)))
     want = sum(int((values > k).sum()) for k in range(1, 100_000))
     assert over.sum() == pytest.approx(want, rel=0.1) and over[0] == 5
+
+
+def log_stirling(n, discount):
+    """The logarithms of ``stirling``."""
+    row = np.array([-np.inf, 0.0])
+    for k in range(1, n):
+        stay = row + np.log(np.maximum(k - discount * np.arange(k + 1), 1e-300))
+        row = np.logaddexp(np.append(stay, -np.inf), np.append(-np.inf, row))
+    return row[1:]
+
+
+@pytest.mark.parametrize(("n", "discount", "strength"), [(2, 0.6, 0.4), (9, 0.3, 2.0), (120, 0.7, 3.0), (257, 0.7, 2.0), (400, 0.6, 60.0), (3000, 0.75, 20.0)])
+def test_a_pass_draws_all_customers_however_many(n, discount, strength):
+    """After two passes from one table each, tables and sizes have their exact distribution."""
+    rows = 3000 if n < 1000 else 600
+    known = np.arange(rows)
+    s = pitman_yor.State(known, known, known < 0, known, known, np.full(rows, n), np.ones(rows, dtype=np.int64), np.full(rows, n), [])
+    g, rng = pitman_yor.Params(discount, strength), np.random.default_rng(8)
+    for _ in range(2):
+        pitman_yor.gibbs(s, g, (s.c, np.zeros(rows), np.ones(rows)), rng)
+    assert len(s.sizes) == s.t.sum() and (np.add.reduceat(s.sizes, np.cumsum(s.t) - s.t) == n).all() and (s.sizes > 0).all()
+    w = log_stirling(n, discount) + np.arange(1, n + 1) * math.log(strength)
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    mean = w @ np.arange(1, n + 1)
+    sd = math.sqrt(w @ (np.arange(1, n + 1) - mean) ** 2)
+    assert abs(s.t.mean() - mean) < 5 * sd / math.sqrt(rows) and s.t.std() == pytest.approx(sd, rel=0.1)
+    # The least table: a customer alone has weight strength times the seatings of the others.
+    if n <= 400:
+        others = log_stirling(n - 1, discount) + np.arange(1, n) * math.log(strength)
+        top = max(others.max(), (log_stirling(n, discount) + np.arange(1, n + 1) * math.log(strength)).max())
+        all_ = np.exp(log_stirling(n, discount) + np.arange(1, n + 1) * math.log(strength) - top).sum()
+        alone = n * strength * np.exp(others - top).sum() / all_
+        assert (s.sizes == 1).sum() / rows == pytest.approx(alone, rel=0.06, abs=0.02)
+
+
+def test_old_tables_beyond_those_drawn_one_by_one():
+    rng = np.random.default_rng(3)
+    got = [pitman_yor.old_tables(5.0, 0.6, 20_000, rng, 1_000) for _ in range(2000)]
+    want = (5.0 / (5.0 + 0.6 * np.arange(1, 20_000))).sum()
+    assert np.mean(got) == pytest.approx(want, abs=0.5)
+    assert pitman_yor.old_tables(5.0, 0.6, 1, rng) == 0

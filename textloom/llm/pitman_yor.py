@@ -9,10 +9,10 @@ token follows it; each of their tables sends one customer to the parent.
   token with the counts of the rows they occur in. A bucket, of about ``BUCKET`` tokens
   whatever the corpus, is a row of arrays. A token that is a good part of a bucket in a sample
   (at most ``MOST_HOT`` of them) is dealt by its pairs, so no bucket grows with a frequent token.
-* Gibbs passes: customers are taken from their tables one at a time and drawn to a table
-  anew, given the other customers of the pair, the parent's probability and the context's
-  totals of the pass before. A pair has its customers drawn in random order, ``DRAWS`` of
-  them a pass and more where there are many. The parent's tables are drawn from their exact
+* Gibbs passes: all customers of a pair leave their tables and are drawn anew together, given
+  the parent's probability and the context's totals of the pass before: up to ``EXACT`` of
+  them from their exact conditional, more of them by Metropolis-Hastings steps that keep it
+  and cost as much as there are tables. The parent's tables are drawn from their exact
   conditional up to ``EXACT`` customers of a token and carried on one by one beyond.
 * Totals of contexts, and of tokens in several buckets, meet in a shuffle: each bucket sends
   one partial sum for each of its keys and gets the total back. Only histograms (at most a
@@ -54,8 +54,9 @@ MOST_DOCS = 65_536
 BUCKET = 2_000_000
 MOST_HOT = 1 << 20
 EXACT = 256
-#: Draws a pass for pairs of at least so many customers.
-DRAWS = ((2, 6), (16, 24), (256, 96))
+#: Steps a pass over whole pairs of more than ``EXACT`` customers, and as many over groups of about ``GROUP`` of their tables.
+STEPS = 4
+GROUP = 8
 CONTEXT_BITS = (1 << 48) - 1
 BLOB = "kind int, p int, q long, n long, data binary"
 STATE, POSTS, ROWS = 0, 1, 2
@@ -372,7 +373,7 @@ def carry_on(t: int, done: int, n: int, new: float, discount: float, rng) -> int
 
 
 def reseat(sizes: np.ndarray, t: np.ndarray, c: np.ndarray, new: np.ndarray, discount: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """One customer of each pair leaves its table and is drawn to one; (sizes, t) after that.
+    """One customer of each pair leaves its table and is drawn to one; (sizes, t) after that: the plain step of the passes' chain.
 
     ``sizes`` holds the pairs' tables one after another; a new table has weight ``new``, a table of
     n others n - discount.
@@ -402,29 +403,136 @@ def reseat(sizes: np.ndarray, t: np.ndarray, c: np.ndarray, new: np.ndarray, dis
     return (grown[np.insert(keep, at, True)] if len(at) else sizes[keep]), t
 
 
+def log_seatings(discount: float) -> np.ndarray:
+    """Row n, column t: the logarithm of the weights of all seatings of n customers at t tables, up to ``EXACT``."""
+    log_s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    log_s[1, 1] = 0.0
+    t = np.arange(EXACT + 1)
+    for n in range(1, EXACT):
+        stay = log_s[n] + np.log(np.maximum(n - discount * t, 1e-300))
+        log_s[n + 1] = np.logaddexp(stay, np.append(-np.inf, log_s[n, :-1]))
+    return log_s
+
+
+def seated(c: np.ndarray, new: np.ndarray, discount: float, log_s: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """All customers (2 to ``EXACT``) of each pair drawn at once from their exact conditional: (sizes, t).
+
+    The tables' number has weight new^t times the weights of its seatings; who opens a table
+    is drawn from the last customer back, and who joins one takes the table of a former
+    customer, of weight 1, or 1 - discount where that one opened it.
+    """
+    t, out, pairs, low = np.ones(len(c), dtype=np.int64), [], [], 2
+    for high in (4, 16, 64, EXACT):
+        band = np.flatnonzero((c >= low) & (c <= high))
+        k, low = np.arange(1, high + 1), high + 1
+        for a in range(0, len(band), (1 << 20) // high):
+            at = band[a : a + (1 << 20) // high]
+            w = log_s[c[at], 1 : high + 1] + k * np.log(np.maximum(new[at], 1e-300))[:, None]
+            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[at] = 1 + np.minimum((w < rng.random(len(at))[:, None] * w[:, -1:]).sum(axis=1), c[at] - 1)
+            at = at[(t[at] > 1) & (t[at] < c[at])]
+            n_at, left, rows = c[at], t[at].copy(), np.arange(len(at))
+            opens = np.zeros((high + 1, len(at)), dtype=bool)
+            for n in range(high, 1, -1):
+                with np.errstate(invalid="ignore"):
+                    chance = np.exp(log_s[n - 1, left - 1] - log_s[n, left])
+                opens[n] = (n_at >= n) & (rng.random(len(at)) < chance)
+                left -= opens[n]
+            size, joined_at = np.zeros((len(at), high), dtype=np.int64), np.zeros((len(at), high), dtype=np.int64)
+            size[:, 0], tables, joined = 1, np.ones(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+            for n in range(2, high + 1):
+                u, v = rng.random((2, len(at)))
+                first = u * (n - 1 - discount * tables) < (1 - discount) * tables
+                to = np.where(first | (joined == 0), (v * tables).astype(np.int64), joined_at[rows, (v * joined).astype(np.int64)])
+                to, here = np.where(opens[n], tables, to), n_at >= n
+                size[rows[here], to[here]] += 1
+                tables += opens[n]
+                joins = here & ~opens[n]
+                joined_at[rows[joins], joined[joins]] = to[joins]
+                joined += joins
+            which, place = np.nonzero(size)
+            out.append(size[which, place])
+            pairs.append(at[which])
+    plain = np.flatnonzero((t == 1) | (t == c))
+    out.append(np.repeat(np.where(t[plain] == 1, c[plain], 1), t[plain]))
+    pairs.append(np.repeat(plain, t[plain]))
+    return np.concatenate(out)[np.argsort(np.concatenate(pairs), kind="stable")], t
+
+
+def redrawn(sizes: np.ndarray, t: np.ndarray, c: np.ndarray, new: np.ndarray, discount: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """All customers of each pair leave and are drawn at once, by a Metropolis-Hastings step: (sizes, t).
+
+    Tables are a Poisson number, new / discount on average, of Sibuya sizes, given their sum c.
+    A random customer's table takes what the others, drawn freely, leave over; any tilt x^size
+    of the others is right, and that with about c customers in them is taken. The steps' cost
+    is that of the tables, however many customers sit there.
+    """
+    low, high = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(60):
+        mid = (low + high) / 2
+        over = (c - 1) * np.exp(mid * (1 - discount)) > new * -np.expm1(mid)
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    log_x = np.log1p(-np.exp(np.minimum(low, -1e-12)))
+
+    def weight(m: np.ndarray) -> np.ndarray:
+        out = -discount * np.log(m) + discount * (1 + discount) / (2 * m)
+        few = np.flatnonzero(m < 10_000)
+        out[few] = [math.log(x) + math.lgamma(x - discount) - math.lgamma(x + 1) for x in m[few].tolist()]
+        return out + m * log_x
+
+    starts, up_to = np.cumsum(t) - t, np.cumsum(sizes)
+    marked = np.searchsorted(up_to, up_to[starts] - sizes[starts] + np.minimum((rng.random(len(c)) * c).astype(np.int64), c - 1), side="right")
+    owner = np.repeat(np.arange(len(c)), rng.poisson(new / discount * np.exp(log_x)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = np.floor(np.log(1 - rng.random(len(owner))) / np.log1p(-rng.beta(discount, 1 - discount, len(owner)))) + 1
+    y = np.minimum(np.nan_to_num(y, nan=np.inf, posinf=np.inf), c[owner] + 1.0)
+    kept = np.log(1 - rng.random(len(owner))) <= (y - 1) * log_x[owner]
+    y, owner = y[kept].astype(np.int64), owner[kept]
+    rest = c - np.bincount(owner, y, len(c)).astype(np.int64)
+    ratio = weight(np.maximum(rest, 1).astype(float)) - weight(sizes[marked].astype(float))
+    moves = (rest >= 1) & (np.log(1 - rng.random(len(c))) <= ratio)
+    was, mine = np.repeat(np.arange(len(c)), t), moves[owner]
+    stay = ~moves[was]
+    pair = np.concatenate([was[stay], np.flatnonzero(moves), owner[mine]])
+    return np.concatenate([sizes[stay], rest[moves], y[mine]])[np.argsort(pair, kind="stable")], np.bincount(pair, minlength=len(c))
+
+
+def redrawn_by_groups(sizes: np.ndarray, t: np.ndarray, c: np.ndarray, new: np.ndarray, discount: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """``redrawn`` for whole pairs, then for random groups of about ``GROUP`` tables, in which few steps are turned down.
+
+    Tables go to a pair's groups at random, so the tables of one of its k groups have weight
+    new / k, given their customers, and groups are independent.
+    """
+    for _ in range(STEPS):
+        sizes, t = redrawn(sizes, t, c, new, discount, rng)
+    k = np.ceil(np.minimum(new / discount, c) / GROUP).astype(np.int64).clip(1)
+    pair = np.repeat(np.arange(len(c)), t)
+    group = (np.cumsum(k) - k)[pair] + (rng.random(len(pair)) * k[pair]).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    groups, own_t = np.unique(group, return_counts=True)
+    sizes, of = sizes[order], np.searchsorted(np.cumsum(k), groups, side="right")
+    own_c = np.add.reduceat(sizes, np.cumsum(own_t) - own_t)
+    for _ in range(STEPS):
+        sizes, own_t = redrawn(sizes, own_t, own_c, new[of] / k[of], discount, rng)
+    return sizes, np.bincount(of, own_t, len(c)).astype(np.int64)
+
+
 def gibbs(s: State, g: Params, totals: tuple[np.ndarray, np.ndarray, np.ndarray], rng) -> None:
-    """Draw the bucket's customers anew, some of each pair, in place."""
+    """Draw all of the bucket's customers anew, in place."""
     context_c, context_t, parent = totals
     multi = np.flatnonzero(s.c > 1)
     if not len(multi):
         return
-    c, t, sizes = s.c[multi], s.t[multi], s.sizes
+    c, t = s.c[multi], s.t[multi]
     new = (g.strength + g.discount * context_t[s.of_context[multi]]) * parent[s.of_token[multi]]
-    done = 0
-    for least, draws in DRAWS:
-        at = np.flatnonzero(c >= least)
-        if not len(at):
-            break
-        mine = np.repeat(c >= least, t)
-        own, own_t = sizes[mine], t[at]
-        for _ in range(done, draws):
-            own, own_t = reseat(own, own_t, c[at], new[at], g.discount, rng)
-        # Put the tables back in the order of the pairs.
-        rest = sizes[~mine]
-        pair = np.concatenate([np.repeat(at, own_t), np.repeat(np.flatnonzero(c < least), t[c < least])])
-        t[at] = own_t
-        sizes = np.concatenate([own, rest])[np.argsort(pair, kind="stable")]
-        done = draws
+    few = c <= EXACT
+    small, many = np.flatnonzero(few), np.flatnonzero(~few)
+    sizes, t[small] = seated(c[small], new[small], g.discount, log_seatings(g.discount), rng)
+    if len(many):
+        own, own_t = redrawn_by_groups(s.sizes[np.repeat(~few, s.t[multi])], t[many], c[many], new[many], g.discount, rng)
+        pair = np.concatenate([np.repeat(small, t[small]), np.repeat(many, own_t)])
+        t[many] = own_t
+        sizes = np.concatenate([sizes, own])[np.argsort(pair, kind="stable")]
     s.t[multi], s.sizes = t, sizes
 
 
@@ -513,12 +621,12 @@ def answer(asks: DataFrame, g: Params, asked: int) -> DataFrame:
     return asks.repartitionById(asked, F.col("q").cast("int")).sortWithinPartitions("q", "p").mapInArrow(run, BLOB)
 
 
-def totals_of(s: State, parts: list[bytes], g: Params, asked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Customers and tables of the bucket's contexts, and probability and training count of its tokens."""
+def totals_of(s: State, t: np.ndarray, parts: list[bytes], g: Params, asked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Customers and tables of the bucket's contexts, and probability and training count of its tokens, with the pairs' tables ``t``."""
     got = [unpack(x) for x in parts]
     context_c, context_t, hot_c, hot_t = (np.concatenate([x[i] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64) for i in range(4))
     n = len(s.tokens)
-    c, up = s.sums(s.c, s.of_token, n), s.sums(s.t, s.of_token, n)
+    c, up = s.sums(s.c, s.of_token, n), s.sums(t, s.of_token, n)
     at = s.shared_tokens(asked)
     c[at], up[at] = hot_c, hot_t
     spare = (g.root_strength + g.root_discount * g.sums[N_ROOT_TABLES]) * g.base()
@@ -568,6 +676,17 @@ def trials(hist: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(bins < 1024, bins, unbinned(bins + 1)), np.round(above[bins + 1] * width).astype(np.int64)
 
 
+def old_tables(strength: float, discount: float, top: int, rng, one_by_one: int = 1_000_000) -> int:
+    """How many of k = 1 .. top - 1 fall to the strength, each with chance strength / (strength + discount * k).
+
+    Those beyond ``one_by_one`` are a Poisson number: it differs from theirs by less than
+    (strength / discount)^2 / ``one_by_one`` in total variation.
+    """
+    k = np.arange(1, min(top, one_by_one))
+    rest = np.log((strength + discount * (top - 0.5)) / (strength + discount * (one_by_one - 0.5))) * strength / discount if top > one_by_one else 0.0
+    return int((rng.random(len(k)) < strength / (strength + discount * k)).sum() + rng.poisson(rest))
+
+
 def draw_params(stats: list, g: Params, seed: int) -> Params:
     """Parameters and global sums for the next pass."""
     rng = np.random.default_rng([seed, g.number])
@@ -590,8 +709,7 @@ def draw_params(stats: list, g: Params, seed: int) -> Params:
     one, two = hist[AT_ROOT].get(1, 0), hist[AT_ROOT].get(2, 0)
     out.root_discount = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
     top = sums[N_ROOT_TABLES]
-    k = np.arange(1, min(top, 1_000_000))
-    alone = int((rng.random(len(k)) < g.root_strength / (g.root_strength + out.root_discount * k)).sum())
+    alone = old_tables(g.root_strength, out.root_discount, top, rng)
     logs = log_beta_sum(g.root_strength + 1, np.array([max(sums[N_TABLES] - 1.0, 1.0)]), np.array([1]), rng)
     out.root_strength = float(max(rng.gamma(1 + alone, 1 / (1 - logs)), 1e-3))
     return out
@@ -648,7 +766,7 @@ def swept(rows: DataFrame, g: Params, asked: int, seed: int, keep: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, got in groups(batches, "p"):
             s = State.unpack(got[0]["data"])
-            *totals, _ = totals_of(s, answers_in(got, 1), g, asked)
+            *totals, _ = totals_of(s, s.t, answers_in(got, 1), g, asked)
             if keep:
                 s.kept.append(s.t.copy())
             gibbs(s, g, tuple(totals), np.random.default_rng([seed, g.number, p]))
@@ -661,7 +779,7 @@ def chances(s: State, answers: list[list[bytes]], kept: list[Params], asked: int
     """Averaged predictive probability of each pair, and its token's training count."""
     out, tables = np.zeros(len(s.c)), [*s.kept, s.t]
     for parts, g, t in zip(answers, kept, tables, strict=True):
-        c, context_t, parent, n = totals_of(s, parts, g, asked)
+        c, context_t, parent, n = totals_of(s, t, parts, g, asked)
         here, up = c[s.of_context], context_t[s.of_context]
         out += (s.c - g.discount * t + (g.strength + g.discount * up) * parent[s.of_token]) / (g.strength + here)
     return out / len(kept), n[s.of_token]
