@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,102 @@ def test_row_local_runs_equal_those_of_labelled_tables(spark):
     assert pick(spans.document_tiles(docs, kind_classes, KIND_COLUMNS), "class", "start", "stop") == pick(tiles, "class", "start", "stop")
     runs = spans.run_lengths(labelled, 16)
     assert pick(spans.document_runs(docs, kind_classes, KIND_COLUMNS, 16), "block", "class", "length") == pick(runs, "block", "class", "length")
+
+
+class Handle:
+    """State and timers of one key in memory; counts what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def exists(self):
+                handle.asked += 1
+                return name in handle.value
+
+            def get(self):
+                handle.asked += 1
+                return handle.value.get(name)
+
+            def update(self, value):
+                handle.asked += 1
+                handle.value[name] = value
+
+            def clear(self):
+                handle.asked += 1
+                handle.value.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, seconds):
+        self.now = seconds * 1000
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_bucket_of_documents_is_one_step():
+    """Calls to the state don't grow with the documents of a bucket."""
+    rng, rows, want = random.Random(2), [], set()
+    for d in range(2000):
+        n = rng.randrange(1, 6)
+        runs = [[(rng.randrange(3), rng.randrange(4)) for _ in range(rng.randrange(1, 4))] for _ in range(n)]
+        stop, spans_ = 0, []
+        for k, part in enumerate(runs):
+            stops = [stop := stop + rng.randrange(1, 5) for _ in part]
+            rows.append((d, k, k == n - 1, *(np.array(x) for x in ([c for c, _ in part], stops, [v for _, v in part]))))
+            for (c, v), z in zip(part, stops, strict=True):
+                if spans_ and spans_[-1][0] == c:
+                    spans_[-1][2:] = [z, min(v, spans_[-1][3])]
+                else:
+                    spans_.append([c, spans_[-1][2] if spans_ else 0, z, v])
+        want |= {(d, *x) for x in spans_}
+    rows += rng.sample(rows, 500)
+    rng.shuffle(rows)
+    handle, carry, got = Handle(), stateful.SpanCarry(), []
+    carry.init(handle)
+    for a in range(0, len(rows), 1000):
+        some = pd.DataFrame(rows[a : a + 1000], columns=["doc_id", "chunk", "last", "classes", "stops", "levels"])
+        for out in carry.handleInputRows((0,), iter([some[:300], some[300:]]), None):
+            got += list(out.itertuples(index=False, name=None))
+    assert len(got) == len(want) and set(got) == want
+    assert handle.asked <= 10 * (len(rows) // 1000 + 1)
+
+
+def test_a_bucket_of_keys_has_one_timer():
+    """Calls to the state don't grow with the keys of a bucket, and one timer waits for all of them."""
+    rng = random.Random(4)
+    events = sorted({(rng.randrange(500), rng.randrange(40_000) * 1_000_000, p) for p in range(6000)}, key=lambda e: e[1])
+    handle, quiet, got = Handle(), stateful.Quiet(30_000_000), []
+    quiet.init(handle)
+    for k, a in enumerate(range(0, len(events), 1000)):
+        some = pd.DataFrame(events[a : a + 1000], columns=["key", "micros", "place"])
+        clock = Clock(events[a - 1][1] // 1_000_000 if k else 0)
+        for out in quiet.handleInputRows((0,), iter([some]), clock):
+            got += list(out.itertuples(index=False, name=None))
+        assert len(handle.timers) == 1
+
+    class End:
+        def getExpiryTimeInMs(self):
+            return next(iter(handle.timers))
+
+    for out in quiet.handleExpiredTimer((0,), Clock(10**6), End()):
+        got += list(out.itertuples(index=False, name=None))
+    want, by = set(), sorted(events, key=lambda e: (e[0], e[1], e[2]))
+    for e, after in zip(by, [*by[1:], (-1, 0, 0)], strict=True):
+        if after[0] != e[0] or after[1] - e[1] > 30_000_000:
+            want.add(e)
+    assert len(got) == len(want) and set(got) == want and handle.asked < 60

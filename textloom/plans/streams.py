@@ -18,9 +18,15 @@ from .oracles import PATTERN, q
 from .queries import KIND_COLUMNS, _table, kind_class, kind_classes
 from .records import ORACLE_SQL as RECORD_SQL
 
+def _buckets(rows, each):
+    """Buckets of state of about ``each`` rows, so that what one holds doesn't grow with the table."""
+    return max(32, -(-rows.count() // each))
+
+
 def streamed_spans(spark, sf):
     """Spans of all documents, from chunks of parts that come in any order, every fifth one twice."""
     folder = new_folder(spark)
+    buckets = _buckets(_table(spark, sf, "documents"), 2048)
     made = stateful.chunks(_table(spark, sf, "documents"), kind_classes, KIND_COLUMNS)
     mix = F.xxhash64("doc_id", "chunk")
     made.withColumn("mix", mix).write.parquet(f"{folder}/chunks")
@@ -31,7 +37,7 @@ def streamed_spans(spark, sf):
         for rows in arrivals:
             rows.drop("mix").write.mode("append").parquet(f"{folder}/source")
             stream = spark.readStream.schema(stateful.CHUNK).parquet(f"{folder}/source")
-            out = stateful.streamed_spans(stream).writeStream.format("parquet").option("path", f"{folder}/spans")
+            out = stateful.streamed_spans(stream, buckets).writeStream.format("parquet").option("path", f"{folder}/spans")
             out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     s = spark.read.schema(stateful.SPAN).parquet(f"{folder}/spans")
     return s.groupBy("doc_id", kind_class("class")).agg(
@@ -43,6 +49,7 @@ def streamed_quiet_events(spark, sf):
     """Events that no other one of their user follows within an hour, settled by timers of event time."""
     folder = new_folder(spark)
     events = _table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    buckets = _buckets(events, 8192)
     third = F.floor(F.unix_micros("ts") / (10 * 86_400 * 1_000_000))
     events = events.withColumn("third", third)
     last = events.agg(F.max("ts").alias("ts")).first().ts
@@ -53,7 +60,7 @@ def streamed_quiet_events(spark, sf):
         for rows in (*(events.where(F.col("third") == t).drop("third") for t in thirds), ends):
             rows.write.mode("append").parquet(f"{folder}/source")
             stream = spark.readStream.schema(ends.schema).parquet(f"{folder}/source")
-            quiet = stateful.quiet_events(stream, "user_id", "ts", "event_id", 3600.0)
+            quiet = stateful.quiet_events(stream, "user_id", "ts", "event_id", 3600.0, buckets=buckets)
             out = quiet.writeStream.format("parquet").option("path", f"{folder}/quiet").option("checkpointLocation", f"{folder}/checkpoint")
             out.trigger(availableNow=True).start().awaitTermination()
     quiet = spark.read.schema(stateful.QUIET).parquet(f"{folder}/quiet")
