@@ -247,18 +247,26 @@ def _near_groups(docs: DataFrame, k: int, similarity: float, max_list: int, id_c
         degree = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / 64).alias("groups"))
         placed = cut(pairs.join(degree, F.col("a") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group")))
         ends = placed.select("a", "group", F.col("b").alias("member")).union(placed.select("a", "group", F.col("a").alias("member")).distinct())
-        rows = sets_of(ends).groupBy("a", "group").agg(F.collect_set(F.struct("member", "shingles")).alias("rows"))
+        # A group's node comes first and its partners pass by, so that one set is held at a time.
+        rows = sets_of(ends).select("a", "group", (F.col("member") != F.col("a")).alias("partner"), "member", "shingles")
+        rows = rows.repartition("a", "group").sortWithinPartitions("a", "group", "partner", "member")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, first, before, good = None, np.zeros(0, np.uint64), None, False
             for b in batches:
                 out: list[tuple[int, int]] = []
-                for a, value in zip(b.column("a").to_pylist(), b.column("rows"), strict=True):
-                    member, own = value.values.field("member").to_pylist(), value.values.field("shingles")
-                    first = np.frombuffer(own[member.index(a)].as_py(), np.uint64)
-                    out += [(a, x) for x, y in zip(member, own, strict=True) if x != a and similar(first, np.frombuffer(y.as_py(), np.uint64), similarity)]
+                a, group, partner, member = (b.column(c).to_pylist() for c in ("a", "group", "partner", "member"))
+                for k, x in enumerate(b.column("shingles")):
+                    if not partner[k]:
+                        # Rows of a node that recur are alike, as are those of a partner.
+                        if (a[k], group[k]) != at:
+                            at, first, before = (a[k], group[k]), np.frombuffer(x.as_py(), np.uint64), None
+                    elif (a[k], group[k]) == at and member[k] != before:
+                        before, good = member[k], similar(first, np.frombuffer(x.as_py(), np.uint64), similarity)
+                        out += [(a[k], member[k])] * good
                 yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in out], pa.int64()) for e in (0, 1)], names=["a", "b"])
 
-        return cut(rows.select("a", "rows").mapInArrow(run, "a long, b long"))
+        return cut(rows.mapInArrow(run, "a long, b long"))
 
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(with_both(stars).mapInArrow(may_link, "a long, b long"))
