@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from textloom.llm.decontaminate import decontaminate_stage
 from textloom.llm.quality import quality_stage
 from textloom.llm.secrets import clean_stage
@@ -80,6 +81,21 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 3, 4}
 
 
+def test_stages_hold_small_batches_of_texts(spark, tmp_path):
+    docs = [(k, "word " * 1_000) for k in range(2_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["n_bytes", "n_rows"])
+
+    stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(measured, "n_bytes long, n_rows long"))
+    found = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()
+    # All 10 MB were one batch.
+    assert sum(r.n_rows for r in found) == 2_000 and max(r.n_bytes for r in found) < 2 << 20
+    assert all(hasattr(s, "__wrapped__") for _, s in corpus_pipeline.STAGES)
+
+
 def test_near_dedup_stage_by_brute_force(spark):
     rng, texts = random.Random(17), []
     for k in range(12):

@@ -83,6 +83,17 @@ def release(spark: SparkSession) -> None:
     system.gc()
 
 
+def small_batches(spark: SparkSession, n_bytes: int = 1 << 20, n_rows: int = 1024) -> None:
+    """From now on the session's Arrow batches hold about ``n_bytes``, and Parquet texts are read ``n_rows`` at a time.
+
+    By default a batch may be all texts of a task, once in the reader's vectors, once in Arrow
+    buffers outside the heap and once in Python, and processes keep what they once took.
+    Stages return frames that run later, so the setting stays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(n_rows))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, n_bytes: int = 8 << 20) -> Iterator[None]:
     """Within, Arrow batches hold about ``n_bytes`` at most, however large their rows are."""

@@ -137,11 +137,12 @@ def pack(
     window: int = 2048,
     max_open: int = 1024,
     vocabulary: str | None = None,
+    max_units: int | None = None,
 ) -> DataFrame:
     """One row per piece. Row-local: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_token_ids(vocabulary)
+        encode = worker_token_ids(vocabulary, max_units)
         end = np.array([END_ID], dtype="<u4").tobytes()
         packer = Packer(window, max_open, TaskContext.get().partitionId() << 40)
         for batch in batches:
@@ -160,5 +161,8 @@ def op3_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage (the last): the pieces of every document that is left."""
-    return pack(docs)
+    """Pipeline stage (the last): the pieces of every document that is left.
+
+    Workers keep their tables between stages, so these are smaller than the query's.
+    """
+    return pack(docs, max_units=60_000)

@@ -159,7 +159,7 @@ def near_groups(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, group_id) of every document with an id; group_id is the least id of the group."""
-    with batches_of(docs.sparkSession):
+    with batches_of(docs.sparkSession, 1 << 20):
         return _near_groups(docs, k, similarity, max_list, id_col, text_col)
 
 

@@ -37,8 +37,8 @@ def default_vocabulary() -> str:
 class _Units(dict):
     """Unit -> ids, in two generations: the older one goes when the newer one is full."""
 
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
+    def __init__(self, encode, most: int | None = None):
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, unit: str) -> bytes:
         got = self.older.get(unit)
@@ -46,7 +46,7 @@ class _Units(dict):
             mark = unit[:1]
             asked = unit if mark == "\n" else unit[1:] if mark == "\x00" else f" {unit}"
             got = array("I", self.encode(asked)).tobytes()
-        if len(self) >= MAX_UNITS:
+        if len(self) >= (self.most or MAX_UNITS):
             self.older = dict(self)
             self.clear()
         self[unit] = got
@@ -60,14 +60,14 @@ class TokenIds:
     beside it, new units are encoded from that, which is faster; else by the library.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, max_units: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         path = path or default_vocabulary()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units = _Units(self._unit_encoder(path.removesuffix(".json") + ".tiktoken"))
+        self.units = _Units(self._unit_encoder(path.removesuffix(".json") + ".tiktoken"), max_units)
 
     def _unit_encoder(self, ranks_path: str):
         if not os.path.exists(ranks_path):
@@ -103,6 +103,6 @@ class TokenIds:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_token_ids(path: str | None) -> TokenIds:
+def worker_token_ids(path: str | None, max_units: int | None = None) -> TokenIds:
     """One per worker process: its tables are read once, and its units serve the tasks that follow."""
-    return TokenIds(path)
+    return TokenIds(path, max_units)
