@@ -6,14 +6,14 @@ of a text's length, the grids live for a bounded number of units, and only count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parts import PLACED, _part_columns, part_values, units_of
+from ..functions.parts import PLACED, _part_columns, map_parts, part_values, units_of
 from .align import Labeller, _aligned, given_labels, label_lists, with_labels
 from .metrics import confusion, overall, per_class, ratio
 
@@ -233,6 +233,27 @@ def first_difference(left: DataFrame, right: DataFrame, key: str, order: str, va
     return j.groupBy(F.coalesce(key, "_k").alias(key)).agg(F.min(differ).alias("at"))
 
 
+def document_first_difference(docs: DataFrame, judge: Callable[[dict], tuple[np.ndarray, np.ndarray]], columns: set[str]) -> DataFrame:
+    """``first_difference`` of two classes of parts where documents lie: (doc_id, at) of (doc_id, text).
+
+    ``judge`` gives for all parts, from part columns: does it count, and do its classes differ.
+    A document in which none counts has no row. Only a row a document is shuffled, for ids that recur.
+    """
+
+    def run(b: pa.RecordBatch, sizes: np.ndarray, parts: dict) -> pa.RecordBatch:
+        counts, differs = judge(parts)
+        some = np.flatnonzero(sizes)
+        begins = (np.cumsum(sizes) - sizes)[some]
+        none = np.iinfo(np.int32).max
+        at = np.where(counts & differs, parts["i"], none)
+        at, any_counts = (x.reduceat(y, begins) if len(some) else np.zeros(0, y.dtype) for x, y in ((np.minimum, at), (np.logical_or, counts)))
+        some, at = some[any_counts], at[any_counts]
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(at, pa.int32(), mask=at == none)], names=["doc_id", "at"])
+
+    rows = map_parts(docs.select("doc_id", "text"), columns | {"i"}, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int")
+    return rows.groupBy("doc_id").agg(F.min("at").alias("at"))
+
+
 def projection_audit(docs: DataFrame, labels: DataFrame | Labeller, classes: tuple[str, ...], *, length: Column | None = None) -> DataFrame:
     """(doc_id, labelled, projected, baseline): scored units, those right after each part takes its label, those right as plain.
 
