@@ -7,7 +7,7 @@ import pyarrow as pa
 from textloom.llm.decontaminate import decontaminate_stage
 from textloom.llm.quality import quality_stage
 from textloom.llm.secrets import clean_stage
-from textloom.llm.simhash_groups import near_dedup_stage
+from textloom.llm.simhash_groups import near_dedup_stage, near_groups
 
 from .test_operators import ids_of, prose
 
@@ -112,3 +112,17 @@ def test_near_dedup_stage_by_brute_force(spark):
                 top = [new if x == old else x for x in top]
     kept = near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(top))
+
+
+def test_near_dedup_stage_where_ids_recur(spark):
+    """No group goes as a whole: of an id with several texts, each goes by its own group."""
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (5, a + " end"), (5, b), (9, b), (9, c), (9, c), (12, c.upper()), (12, None), (13, ""), (None, a), (None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row long, doc_id long, text string")
+    kept = near_dedup_stage(spark, df, "")
+    assert kept.columns == df.columns
+    # Of a: id 1; of b: 5; of c: both rows of 9; of no words: 12. Rows without an id stay.
+    assert sorted(r.row for r in kept.collect()) == [0, 2, 4, 5, 7, 9, 10]
+    groups = near_groups(df)
+    assert groups.columns == ["doc_id", "group_id"]
+    assert sorted(map(tuple, groups.collect())) == [(1, 1), (5, 1), (5, 5), (9, 5), (9, 9), (9, 9), (12, 9), (12, 12), (13, 12)]

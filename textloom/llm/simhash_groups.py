@@ -19,7 +19,8 @@ size: the bits that differ are at most as many as the shingles that do, at any n
 bits to which both are folded, so this rules out no link.
 
 Of each group the least doc_id stays. Null and empty texts are equal to each other. Rows
-without an id are always kept; repeated rows of an id stay or go together.
+without an id are always kept. Repeated rows of an id stay or go together; where an id has
+different texts, each goes by its own text's group, so that no group goes as a whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, cut, discard, release, stored, texts
@@ -66,6 +67,11 @@ def folded(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, least)) for x in bits])
 
 
+def text_hash(text: Column) -> Column:
+    """Of a text or null, which counts as the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def slot_of(column: str):
     return F.pmod(F.xxhash64(column), F.lit(SLOTS))
 
@@ -157,10 +163,15 @@ def near_groups(
     max_list: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
+    by_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, group_id) of every document with an id; group_id is the least id of the group."""
+    """(doc_id, group_id) of every document with an id; group_id is the least id of the group.
+
+    ``by_text`` adds each row's ``text_hash``, which tells the texts of an id apart.
+    """
     with batches_of(docs.sparkSession, 1 << 20):
-        return _near_groups(docs, k, similarity, max_list, id_col, text_col)
+        groups = _near_groups(docs, k, similarity, max_list, id_col, text_col)
+    return groups if by_text else groups.drop("text_hash")
 
 
 def _near_groups(docs: DataFrame, k: int, similarity: float, max_list: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,16 +185,17 @@ def _near_groups(docs: DataFrame, k: int, similarity: float, max_list: int, id_c
             keys = [rarest(x, common.value, similarity).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                    b.column("doc_id"), b.column("text_hash"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([parity_bits(x) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "node", "size", "bits", "keys"],
+                names=["doc_id", "text_hash", "node", "size", "bits", "keys"],
             )
 
     # Tables with the keys and their lists are the largest; each goes once the next one is written.
-    found, found_path = stored(source.mapInArrow(digest, "doc_id long, node long, size long, bits binary, keys array<long>"))
+    hashed = source.withColumn("text_hash", text_hash(F.col("text")))
+    found, found_path = stored(hashed.mapInArrow(digest, "doc_id long, text_hash long, node long, size long, bits binary, keys array<long>"))
     nodes, nodes_path = stored(found.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))))
-    found = cut(found.select("doc_id", "node"))
+    found = cut(found.select("doc_id", "text_hash", "node"))
     discard(spark, found_path)
     small = cut(nodes.select(F.col("node").alias("member"), "least", "size", "bits"))
     posts = nodes.select(F.explode("keys").alias("key"), "node")
@@ -348,10 +360,13 @@ def _near_groups(docs: DataFrame, k: int, similarity: float, max_list: int, id_c
         F.bitwise_not("node").alias("key"), F.coalesce("reached", "least").alias("group_id")
     )
     # Joined on the complement, so that both sides are exchanged and a hot value can be split.
-    return found.select("doc_id", F.bitwise_not("node").alias("key")).join(ids, "key").select("doc_id", "group_id")
+    return found.select("doc_id", "text_hash", F.bitwise_not("node").alias("key")).join(ids, "key").select("doc_id", "text_hash", "group_id")
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, with all its columns."""
-    gone = near_groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("doc_id_that_goes")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id_that_goes"], "left_anti")
+    groups = near_groups(docs, by_text=True).where("doc_id <> group_id")
+    gone = groups.select(F.col("doc_id").alias("doc_id_that_goes"), F.col("text_hash").alias("text_that_goes")).distinct()
+    # An id may have other texts that stay.
+    same = (docs["doc_id"].cast("long") == gone["doc_id_that_goes"]) & (text_hash(docs["text"]) == gone["text_that_goes"])
+    return docs.join(gone, same, "left_anti")
